@@ -79,7 +79,8 @@ def ordered_fold(
     """Stream each key's rows in order through a stateful step; memory does not grow with the key.
 
     ``start()`` makes the step of one key: it gets a pandas slice of consecutive rows and returns a frame of results
-    for it, carrying its own state to the next slice. For rules whose next state needs the whole state before it.
+    for it, carrying its own state to the next slice; at the end of the key it gets None and returns what it still
+    holds, or None. For rules whose next state needs the whole state before it.
     """
     keys = list(keys)
 
@@ -93,7 +94,13 @@ def ordered_fold(
                 part = pdf.iloc[a:b]
                 key = tuple(part[keys].iloc[0])
                 if key != current:
+                    rest = step(None) if step else None
+                    if rest is not None:
+                        yield rest
                     current, step = key, start()
                 yield step(part)
+        rest = step(None) if step else None
+        if rest is not None:
+            yield rest
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

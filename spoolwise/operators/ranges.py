@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scans import KEY
+from .scans import KEY, by_time, low_after, peak_before, scan
 
 BIN = "_bin"
 
@@ -40,3 +40,35 @@ def overlap_join(
     if condition is not None:
         out = out.where(condition)
     return out.drop(BIN, "_l0", "_r0")
+
+
+def asof_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_at: tuple[Column, int],
+    right_at: tuple[Column, Column | int],
+    best: Sequence[str],
+    name: str,
+    backward: bool = True,
+    keys: Sequence[str] = (KEY,),
+    chunk_seconds: float = 600.0,
+) -> DataFrame:
+    """``left`` plus struct ``name``: the right row with the largest ``best`` among those placed before it on the time
+    line (``backward=False``: the smallest ``best`` among those after it). Null when there is none.
+
+    Both sides share one time line, cut into chunks: a position is (time, tie), so ties say who comes first. Only the
+    ``best`` columns travel, first the ones that decide.
+    """
+    keys = list(keys)
+    payload = F.struct(*best)
+    stamp = lambda at: (at[0].alias("_t"), (at[1] if isinstance(at[1], Column) else F.lit(at[1])).alias("_tie"))
+    row = F.struct(*[c for c in left.columns if c not in keys])
+    lhs = left.select(*keys, *stamp(left_at), row.alias("_row"))
+    rhs = right.select(*keys, *stamp(right_at), payload.alias("_best"))
+    line = lhs.unionByName(rhs, allowMissingColumns=True)
+    kind = peak_before if backward else low_after
+    out = scan(line, keys, ["_t", "_tie"], by_time("_t", chunk_seconds), _hit=kind(F.col("_best")))
+    out = out.where(F.col("_row").isNotNull())
+    return out.select(*keys, *[F.col("_row." + c) for c in left.columns if c not in keys], F.col("_hit").alias(name)).select(
+        *left.columns, name
+    )

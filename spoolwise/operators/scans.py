@@ -56,6 +56,11 @@ def peak_before(value: Column) -> Running:
     return Running("peak_before", value)
 
 
+def low_after(value: Column) -> Running:
+    """The smallest value of all later rows."""
+    return Running("low_after", value)
+
+
 def by_index(ix: str, rows: int = CHUNK_ROWS) -> Column:
     return F.floor(F.col(ix) / rows)
 
@@ -78,6 +83,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
             out = F.sum(v)
         elif r.kind == "peak_before":
             out = F.max(v)
+        elif r.kind == "low_after":
+            out = F.min(v)
         elif r.kind in ("before", "upto"):
             out = F.max_by(v, F.when(v.isNotNull(), at))
         else:
@@ -90,6 +97,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
             return F.sum(v).over(w.rowsBetween(past, 0 if inclusive else -1))
         if kind == "peak_before":
             return F.max(v).over(w.rowsBetween(past, -1))
+        if kind == "low_after":
+            return F.min(v).over(w.rowsBetween(1, future))
         if kind in ("before", "upto"):
             return F.last(v, ignorenulls=True).over(w.rowsBetween(past, 0 if inclusive else -1))
         return F.first(v, ignorenulls=True).over(w.rowsBetween(0 if inclusive else 1, future))
@@ -112,6 +121,8 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
             v = mine + F.coalesce(theirs, F.lit(0))
         elif r.kind == "peak_before":
             v = F.greatest(mine, theirs)
+        elif r.kind == "low_after":
+            v = F.least(mine, theirs)
         else:
             v = F.coalesce(mine, theirs)
         return v.alias(name)

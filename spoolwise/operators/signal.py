@@ -19,7 +19,7 @@ def peak_levels(
     spans: DataFrame, signal: DataFrame, full_scale: float = 32768.0, width: float = 60.0
 ) -> DataFrame:
     """Peak level of each span (recording_id, span_ix, start, end), the floor where nothing was sampled."""
-    hit = overlap_join(spans, signal, ("start", "end"), ("t", "t"), width, F.col("t").between(F.col("start"), F.col("end")))
+    hit = overlap_join(spans, signal, ("start", "end"), ("t", "t"), width, (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
     peak = hit.groupBy(KEY, "span_ix").agg(F.max(F.abs("value")).alias("_p"))
     return spans.join(peak, [KEY, "span_ix"], "left").withColumn("peak_db", to_db(F.coalesce("_p", F.lit(0.0)), full_scale)).drop("_p")
 

@@ -87,7 +87,9 @@ def _limit_length():
     """Walk a long run: a word whose end lies over the limit past the span's start opens the next span."""
     state = {"start": None, "part": 0}
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+    def step(pdf: pd.DataFrame | None) -> pd.DataFrame | None:
+        if pdf is None:
+            return None
         starts, ends = pdf["start"].to_numpy(), pdf["end"].to_numpy()
         parts = np.empty(len(pdf), dtype="int64")
         for n in range(len(pdf)):
@@ -309,7 +311,9 @@ def chunk_blocks(blocks: DataFrame, limit: int = 28000) -> DataFrame:
     def start():
         state = {"size": 0, "chunk": 0}
 
-        def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        def step(pdf: pd.DataFrame | None) -> pd.DataFrame | None:
+            if pdf is None:
+                return None
             out = np.empty(len(pdf), dtype="int64")
             for n, size in enumerate((pdf["_len"] + 2).tolist()):
                 if state["size"] and state["size"] + size > limit:
