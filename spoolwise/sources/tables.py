@@ -45,6 +45,11 @@ def cues_from_documents(docs: DataFrame) -> DataFrame:
     return cues_from_turns(docs.withColumn("_one", F.lit(0)), "doc_id", "_one", "text")
 
 
+def epoch(ts: str = "ts") -> Column:
+    """Seconds since 1970 of a timestamp; run the session in UTC, as for any stored local time."""
+    return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
+
+
 def utterances_from_cues(cues: DataFrame, shift: float = 5.0, every: int = 3) -> DataFrame:
     """Every third cue as a note line, its time shifted: stands in for meeting notes."""
     return cues.where(F.col("cue_ix") % every == 0).select(
@@ -54,7 +59,7 @@ def utterances_from_cues(cues: DataFrame, shift: float = 5.0, every: int = 3) ->
 
 def signal_from_events(events: DataFrame) -> DataFrame:
     return events.select(
-        F.col("user_id").alias(KEY), (F.unix_micros("ts") / F.lit(1e6)).alias("t"), F.col("value"), "event_id"
+        F.col("user_id").alias(KEY), (epoch()).alias("t"), F.col("value"), "event_id"
     )
 
 
@@ -62,12 +67,12 @@ def marks_from_events(events: DataFrame, start: str = "signup", end: str = "erro
     """Start and end lines of a log, from two event types."""
     kind = F.when(F.col("event_type") == start, "start").when(F.col("event_type") == end, "end")
     return events.where(F.col("event_type").isin(start, end)).select(
-        F.col("user_id").alias(KEY), (F.unix_micros("ts") / F.lit(1e6)).alias("t"), kind.alias("kind"), "event_id"
+        F.col("user_id").alias(KEY), (epoch()).alias("t"), kind.alias("kind"), "event_id"
     )
 
 
 def intervals_from_events(events: DataFrame, stretch: float = 1000.0) -> DataFrame:
-    t = F.unix_micros("ts") / F.lit(1e6)
+    t = epoch()
     return events.select(F.col("user_id").alias(KEY), t.alias("start"), (t + F.col("value") * stretch).alias("end"))
 
 
