@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .let import let
+
 EPS = 1e-6
 SPAN_ARRAY = "array<struct<a:double,b:double>>"
 
@@ -40,8 +42,10 @@ def joined_runs(spans: Column, gap: float) -> Column:
 
 def fragments(start: Column, end: Column, removals: Column) -> Column:
     """What is left of ``start..end`` between ordered removals."""
-    edges = F.concat(F.array(span(start, start)), removals, F.array(span(end, end)))
+    return let(F.concat(F.array(span(start, start)), removals, F.array(span(end, end))), _between)
+
 
+def _between(edges: Column) -> Column:
     def piece(x: Column, k: Column) -> Column:
         reached = F.array_max(F.transform(F.slice(edges, F.lit(1), k), lambda e: e["b"]))
         return F.when((k > 0) & (x["a"] > reached), span(reached, x["a"]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .let import let
 from .lexicon import CLEANUP, ENGLISH, Lexicon
 
 TOKEN = "[a-z0-9']+"
@@ -128,7 +129,11 @@ def drop_unpaired_quotes(text: Column) -> Column:
 
     Parts between quotes are looked at pairwise, so no state runs along the text.
     """
-    parts = F.split(text, '"', -1)
+    paired = let(F.split(text, '"', -1), _pair_quotes)
+    return F.when(F.contains(text, F.lit('"')), paired).otherwise(text)
+
+
+def _pair_quotes(parts: Column) -> Column:
     n = F.size(parts) - 1
 
     def opens(k: Column) -> Column:
@@ -146,24 +151,26 @@ def drop_unpaired_quotes(text: Column) -> Column:
     def piece(part: Column, ix: Column) -> Column:
         return F.when((ix < n) & kept(ix + 1), F.concat(part, F.lit('"'))).otherwise(part)
 
-    return F.when(F.contains(text, F.lit('"')), F.array_join(F.transform(parts, piece), "")).otherwise(text)
+    return F.array_join(F.transform(parts, piece), "")
 
 
 def tidy_sentence(text: Column, lex: Lexicon = ENGLISH) -> Column:
     """Clean, drop unpaired quotes, start with a capital."""
-    out = F.btrim(F.regexp_replace(drop_unpaired_quotes(clean_text(text, lex)), r"\s+", " "), F.lit(" ,;:"))
-    return F.concat(F.upper(F.left(out, F.lit(1))), F.substring(out, F.lit(2), F.length(out)))
+    plain = let(clean_text(text, lex), drop_unpaired_quotes)
+    out = F.btrim(F.regexp_replace(plain, r"\s+", " "), F.lit(" ,;:"))
+    return let(out, lambda t: F.concat(F.upper(F.left(t, F.lit(1))), F.substring(t, F.lit(2), F.length(t))))
 
 
 def clip_text(text: Column, limit: int, lex: Lexicon = ENGLISH) -> Column:
     """Clean and cut at a word boundary of the second half, with an ellipsis."""
-    whole = clean_text(text, lex)
-    cut = F.left(whole, F.lit(limit - 1))
-    tail = F.substring(cut, F.lit(limit // 2 + 1), F.lit(limit))
-    at_word = F.when(F.contains(tail, F.lit(" ")), F.regexp_replace(cut, r"(?s) [^ ]*\z", "")).otherwise(cut)
-    return F.when(F.length(whole) <= limit, whole).otherwise(
-        F.concat(F.rtrim(at_word, F.lit(" ,;:.")), F.lit("…"))
-    )
+
+    def shorten(whole: Column) -> Column:
+        cut = F.left(whole, F.lit(limit - 1))
+        tail = F.substring(cut, F.lit(limit // 2 + 1), F.lit(limit))
+        at_word = F.when(F.contains(tail, F.lit(" ")), F.regexp_replace(cut, r"(?s) [^ ]*\z", "")).otherwise(cut)
+        return F.when(F.length(whole) <= limit, whole).otherwise(F.concat(F.rtrim(at_word, F.lit(" ,;:.")), F.lit("…")))
+
+    return let(clean_text(text, lex), shorten)
 
 
 def split_sentences(text: Column) -> Column:
@@ -179,22 +186,25 @@ def last_sentence(text: Column) -> Column:
 def dangling(text: Column, lex: Lexicon = ENGLISH) -> Column:
     """The setup phrase the last sentence stops on, or null for a finished point."""
     sentence = F.regexp_replace(last_sentence(text), "[\\s\"'“”‘’)\\]]+$", "")
+
+    def spoken(s: Column) -> Column:
+        return F.replace(F.lower(F.trim(F.regexp_replace(s, r"[.!?]+$", ""))), F.lit("’"), F.lit("'"))
+
+    return let(sentence, lambda s: let(spoken(s), lambda bare: _setup_of(s, bare, lex)))
+
+
+def _setup_of(sentence: Column, bare: Column, lex: Lexicon) -> Column:
     tail = F.rtrim(sentence, F.lit(":.…—–-, "))
     mark = F.trim(F.substring(sentence, F.length(tail) + 1, F.length(sentence)))
     words = F.split(F.trim(tail), r"\s+")
     last_four = F.array_join(F.slice(words, F.greatest(F.size(words) - 3, F.lit(1)), F.lit(4)), " ")
     open_mark = F.concat(last_four, mark)
 
-    bare = F.replace(F.lower(F.trim(F.regexp_replace(sentence, r"[.!?]+$", ""))), F.lit("’"), F.lit("'"))
-
-    def found(pattern: str) -> Column:
-        m = F.regexp_extract(bare, "(?U)" + pattern, 0)
-        return F.when(m != "", m)
+    def found(pattern: str, allowed=lambda m: F.lit(True)) -> Column:
+        return let(F.regexp_extract(bare, "(?U)" + pattern, 0), lambda m: F.when((m != "") & allowed(m), m))
 
-    setups = []
-    for pattern in lex.setup_patterns:
-        m = found(pattern)
-        setups.append(F.when(~F.coalesce(m.rlike("(?U)" + lex.setup_finished), F.lit(False)), m))
+    unfinished = lambda m: ~m.rlike("(?U)" + lex.setup_finished)
+    setups = [found(pattern, unfinished) for pattern in lex.setup_patterns]
     bare_words = F.split(bare, r"\s+")
     last_three = F.array_join(F.slice(bare_words, F.greatest(F.size(bare_words) - 2, F.lit(1)), F.lit(3)), " ")
     setups.append(F.when(F.element_at(bare_words, -1).isin(*lex.open_words), last_three))
@@ -219,16 +229,19 @@ def best_sentence_for(text: Column, kws: Column, limit: int = 200, lex: Lexicon
             p.alias("text"),
         ),
     )
-    best = F.array_max(ranked)["text"]
-    ended = F.when(best.rlike(TERMINAL_MARK), best).otherwise(F.concat(best, F.lit(".")))
+    ended = let(F.array_max(ranked)["text"], lambda t: F.when(t.rlike(TERMINAL_MARK), t).otherwise(F.concat(t, F.lit("."))))
     return F.coalesce(F.left(ended, F.lit(limit)), F.lit("Clip."))
 
 
 def quote(words: Column, head: int = 70, tail: int = 18) -> Column:
     """The opening and the last words of a long passage."""
-    n = F.size(words)
-    short = F.concat(F.slice(words, 1, head), F.array(F.lit("…")), F.slice(words, n - tail + 1, F.lit(tail)))
-    return F.array_join(F.when(n > head + tail, short).otherwise(words), " ")
+
+    def short(ws: Column) -> Column:
+        n = F.size(ws)
+        ends = F.concat(F.slice(ws, 1, head), F.array(F.lit("…")), F.slice(ws, n - tail + 1, F.lit(tail)))
+        return F.array_join(F.when(n > head + tail, ends).otherwise(ws), " ")
+
+    return let(words, short)
 
 
 ANNOTATION_LINE = r"^\s*(?:\([^)]*\)|-+)\s*$"
@@ -254,6 +267,10 @@ def trim_words(text: Column, kept_from: Column, kept_to: Column) -> Column:
             F.when(ln.rlike(ANNOTATION_LINE), F.lit(0)).otherwise(F.regexp_count(ln, F.lit(r"\S+"))).alias("n"),
         ),
     )
+    return let(shaped, lambda lines: _kept_lines(text, lines, kept_from, kept_to))
+
+
+def _kept_lines(text: Column, shaped: Column, kept_from: Column, kept_to: Column) -> Column:
     total = F.aggregate(shaped, F.lit(0), lambda acc, x: acc + x["n"])
 
     def cut(x: Column, k: Column) -> Column:
@@ -266,8 +283,11 @@ def trim_words(text: Column, kept_from: Column, kept_to: Column) -> Column:
             F.when(x["note"], F.lit("")).otherwise(F.rtrim(F.array_join(kept, ""))).alias("kept"),
         )
 
-    lines = F.transform(shaped, cut)
+    joined = let(F.transform(shaped, cut), _with_owners)
+    return F.when(total == 0, text).otherwise(joined)
+
 
+def _with_owners(lines: Column) -> Column:
     def shown(x: Column, k: Column) -> Column:
         speech_after = F.filter(F.slice(lines, k + 2, F.size(lines)), lambda y: ~y["note"])
         speech_before = F.filter(F.slice(lines, 1, k), lambda y: ~y["note"])
@@ -278,6 +298,6 @@ def trim_words(text: Column, kept_from: Column, kept_to: Column) -> Column:
             F.coalesce(owner, F.lit("")) != "", x["line"]
         )
 
-    return F.when(total == 0, text).otherwise(F.array_join(F.array_compact(F.transform(lines, shown)), "\n"))
+    return F.array_join(F.array_compact(F.transform(lines, shown)), "\n")
 
 

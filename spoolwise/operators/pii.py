@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import boxes as bx
+from ..functions.let import let
 from ..functions.lexicon import SENSITIVE
 from .folds import ordered_fold
 from .intervals import elementary, merge_intervals
@@ -39,8 +40,8 @@ def compile_terms(lines: list[str]) -> list[str]:
 def term_patterns(terms: DataFrame, text: str = "text") -> DataFrame:
     """P17 over a table of term lines: the pattern of each plain term and the word it is joined by."""
     t = terms.select(F.trim(text).alias("term")).where((F.col("term") != "") & ~F.startswith("term", F.lit("#")) & ~F.startswith("term", F.lit("re:")))
-    quoted = F.regexp_replace("term", r"([^\w\s])", r"\\\\$1")
-    pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(quoted, r"\s+", r"\\\\s+"), F.lit(r"(?!\w)"))
+    quoted = F.regexp_replace("term", r"([^\w\s])", r"\\$1")
+    pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(quoted, r"\s+", r"\\s+"), F.lit(r"(?!\w)"))
     word = F.regexp_extract(F.lower("term"), r"(?U)\w+", 0)
     return t.select("term", pattern.alias("pattern"), word.alias("word")).where(F.col("word") != "").distinct()
 
@@ -58,7 +59,10 @@ def term_hits(lines: DataFrame, terms: DataFrame, ids: list[str], text: str = "t
 
 def _matches(text: Column, kind: str, pattern: str) -> Column:
     """All matches of one pattern with their offsets: the lengths of the text between them add up to the offsets."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: _placed(text, found, kind, pattern))
+
+
+def _placed(text: Column, found: Column, kind: str, pattern: str) -> Column:
     gaps = F.split(text, pattern, -1)
     state = "struct<at:int,out:" + HIT + ">"
     walked = F.aggregate(
@@ -144,7 +148,11 @@ def mask_text(text: Column, hits: Column) -> Column:
         grown = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)
         return F.when((F.size(acc) > 0) & (x["a"] < last["b"]), grown).otherwise(F.array_append(acc, x))
 
-    spans = F.aggregate(ordered, none, step)
+    masked = let(F.aggregate(ordered, none, step), lambda spans: _fill(text, spans))
+    return F.when(F.size(hits) == 0, text).otherwise(masked)
+
+
+def _fill(text: Column, spans: Column) -> Column:
     pieces = F.transform(
         spans,
         lambda s, k: F.concat(
@@ -153,7 +161,7 @@ def mask_text(text: Column, hits: Column) -> Column:
         ),
     )
     tail = F.substring(text, F.element_at(spans, -1)["b"] + 1, F.length(text))
-    return F.when(F.size(hits) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), tail))
+    return F.concat(F.array_join(pieces, ""), tail)
 
 
 def redact_text(docs: DataFrame, text: str = "text", terms: list[str] = (), kinds: dict[str, str] = SENSITIVE) -> DataFrame:

@@ -215,8 +215,10 @@ ORACLE: dict[str, str] = {
           from (select ascii(substring(reverse(t), i::int + 1, 1)) - 48 v, i k from range(16) z(i))) % 10 = 0 ok
       from (select event_id, '400000000' || lpad((event_id * 7919 % 10000000)::varchar, 7, '0') t from events)""",
     "p17_term_hits": """with t as (select distinct regexp_extract(text, '^([\\p{L}\\p{N}_]+ [\\p{L}\\p{N}_]+)', 1) term from benchmark where regexp_matches(text, '^[\\p{L}\\p{N}_]+ [\\p{L}\\p{N}_]+')),
+      dw as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) word from documents),
+      c as (select distinct doc_id, term from dw join t on word = regexp_extract(lower(term), '^[\\p{L}\\p{N}_]+')),
       m as (select doc_id, term, len(regexp_extract_all(regexp_replace(' ' || lower(text) || ' ', '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'),
-             '[^\\p{L}\\p{N}_]' || replace(lower(term), ' ', '\\s+') || '[^\\p{L}\\p{N}_]')) hits from documents, t)
+             '[^\\p{L}\\p{N}_]' || replace(lower(term), ' ', '\\s+') || '[^\\p{L}\\p{N}_]')) hits from c join documents using (doc_id))
       select doc_id, term, hits from m where hits > 0""",
     "p19_clip_to_spans": w(EV, PAUSES) + """,
       r as (select recording_id, t as start, t + value * 100 as "end", event_id from ev)

@@ -137,7 +137,7 @@ def p16_luhn(s, d):
 
 
 def p17_term_hits(s, d):
-    terms = table(s, d, "benchmark").select(F.regexp_extract("text", r"^(\w+ \w+)", 1).alias("text")).where(F.col("text") != "")
+    terms = table(s, d, "benchmark").select(F.regexp_extract("text", r"(?U)^(\w+ \w+)", 1).alias("text")).where(F.col("text") != "")
     return pii.term_hits(table(s, d, "documents"), terms, ["doc_id"]).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("hits"))
 
 
