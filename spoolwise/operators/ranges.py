@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scans import KEY, by_time, low_after, peak_before, scan
+from .scans import KEY, by_time, cut_lineage, low_after, peak_before, scan
 
 BIN = "_bin"
 
@@ -69,6 +69,6 @@ def asof_join(
     kind = peak_before if backward else low_after
     out = scan(line, keys, ["_t", "_tie"], by_time("_t", chunk_seconds), _hit=kind(F.col("_best")))
     out = out.where(F.col("_row").isNotNull())
-    return out.select(*keys, *[F.col("_row." + c) for c in left.columns if c not in keys], F.col("_hit").alias(name)).select(
-        *left.columns, name
-    )
+    out = out.select(*keys, *[F.col("_row." + c) for c in left.columns if c not in keys], F.col("_hit").alias(name))
+    # as-of joins come in chains, and each reads its input twice: the rows asked about are written between them
+    return cut_lineage(out.select(*left.columns, name))
