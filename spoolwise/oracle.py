@@ -380,3 +380,76 @@ picks3 as (select * from greedy where took)"""
 for _n in ("t1_best_windows",):
     ORACLE[_n] = ORACLE[_n].replace(CANDS + " ", CANDS + PICKS + " ")
 ORACLE["j5_cues_in_moment"] = ORACLE["j5_cues_in_moment"].replace(CANDS + " ", CANDS + PICKS + " ").replace(", r3 as (select * from picks3)", "")
+
+REQS = 'reqs as (select recording_id, cue_ix req_ix, start + 1.3 as start, "end" + 17.7 as "end" from cues where cue_ix % 5 = 0)'
+PK = CANDS + PICKS
+TAKE = f""", kp as (
+  select p.recording_id, p.i, trim(x, ' ,') s, k from (
+    select recording_id, i, unnest(l) x, generate_subscripts(l, 1) k from (
+      select recording_id, i, {SPLIT.format(c=clean('t', FILL))} l from (
+        select p.recording_id, p.i, string_agg(c.text, ' ' order by c.cue_ix) t from picks3 p join cues c on c.recording_id = p.recording_id and c.cue_ix between p.i and p.j group by 1, 2))) p
+  where trim(x, ' ,') <> ''),
+tk as (
+  select recording_id, i, left(case when right(s, 1) in ('.', '!', '?') then s else s || '.' end, 200) takeaway from (
+    select *, row_number() over (partition by recording_id, i order by {hits('s')} desc, least(length(s), 200) desc, k) n from kp) where n = 1),
+clips as (
+  select p.recording_id, p.i, p.start, p."end", takeaway, row_number() over (partition by p.recording_id order by p.start) n, d.dur
+  from picks3 p join tk using (recording_id, i) join (select recording_id, max("end") dur from cues group by 1) d using (recording_id)),
+segs as (select *, round(greatest(0, start - 0.15), 3) a, round(least("end" + 0.3, dur), 3) b from clips)"""
+SLUG = "rtrim(left(trim(regexp_replace(lower(takeaway), '[^a-z0-9]+', '-', 'g'), '-'), 40), '-')"
+CLIP_ID = f"printf('clip-%02d-', n) || case when {SLUG} = '' then 'clip' else {SLUG} end"
+TIMELINE = """, per as (select recording_id, count(*) clips from segs group by 1),
+items as (
+  select recording_id, 0 o, 'intro' role, 4.0 as seconds from per
+  union all select recording_id, 1, 'opening', least(8, 3 + 1.5 * (least(clips, 4) - 1)) from per
+  union all select recording_id, 2 * i + 10, 'chapter', 3 from (select recording_id, n i from segs)
+  union all select recording_id, 2 * n + 11, 'clip', b - a from segs
+  union all select recording_id, 1000, 'outro', 3 from per),
+line as (select recording_id, (row_number() over o - 1)::bigint item_ix, role, coalesce(sum(seconds) over (partition by recording_id order by o rows between unbounded preceding and 1 preceding), 0)::double as start, seconds::double as seconds from items window o as (partition by recording_id order by o))"""
+ORACLE |= {
+    "p10_filler_mask": w(CUES, WORDS, TIMED) + r""", x as (
+        select *, lag("end") over o pe, lag(text) over o pt, lead(start) over o ns, regexp_replace(lower(text), '[^a-z'']', '', 'g') norm from timed window o as (partition by recording_id order by word_ix))
+      select recording_id, word_ix, norm in ('that', 'le') or (norm in ('with', 'de')
+        and (pt is null or regexp_matches(pt, '[,.?!;:…]\s*$') or start - pe >= 0.25) and (ns is null or regexp_matches(text, '[,.?!;:…]\s*$') or ns - "end" >= 0.25)) filler from x""".replace("\\s", "\s"),
+    "p13_validate_proposals": w(CUES) + """, p as (select recording_id, cue_ix, round(start, 3) s, round(start + cue_ix * 3, 3) e, text, max("end") over (partition by recording_id) d from cues)
+      select recording_id, cue_ix req_ix, s as start, round(least(e, d), 3) as "end", case when cue_ix % 3 = 0 then 8.0 else 5.0 end::double score, left(text, 80) title
+      from p where cue_ix % 7 <> 0 and s < e and e <= d + 1 and e - s between 10 and 90""",
+    "p20_strip_annotations": w(CUES) + "select recording_id, cue_ix, trim(text) as text from cues where cue_ix % 4 <> 0",
+    "p23_preset_bounds": w(CUES, PK + TAKE) + f"select recording_id, {CLIP_ID} clip_id, round(2 * (b - a), 3) as seconds from segs where 2 * (b - a) < 15 or 2 * (b - a) > 60",
+    "p24_detection_spans": w(CUES, PK) + 'select recording_id, i, round(greatest(0, start - 1.25), 6) detect_start, round("end" + 1.4, 6) detect_end from picks3',
+    "j8_neighbours": w(CUES, WORDS, TIMED, REQS) + """select r.recording_id, req_ix,
+        round((select last("end" order by word_ix) from timed w where w.recording_id = r.recording_id and w.start < r.start - 1e-6 and w."end" <= r.start + 1e-6), 6) prev_word_end,
+        round((select min(start) from timed w where w.recording_id = r.recording_id and w.start >= r."end" - 1e-6), 6) next_word_start from reqs r""",
+    "j8_speech_edges": w(CUES, WORDS, TIMED, REQS) + """, i as (
+        select r.recording_id, req_ix, r.start s, r."end" e, max(w.word_ix) filter (w.start <= r.start) i, max(w.word_ix) filter (w.start < r."end") j
+        from reqs r join timed w on w.recording_id = r.recording_id group by all),
+      k as (select i.*, case when i is null then 0 when w."end" <= s + 1e-6 then i + 1 else i end f from i left join timed w on w.recording_id = i.recording_id and w.word_ix = i.i)
+      select k.recording_id, req_ix, round(case when f <= j then a.start else s end, 6) as first, round(case when f <= j then b."end" else e end, 6) as last
+      from k left join timed a on a.recording_id = k.recording_id and a.word_ix = f left join timed b on b.recording_id = k.recording_id and b.word_ix = j""",
+    "t4_executive_summary": w(CUES) + f""", p as (
+        select recording_id, cue_ix, start, speaker, k, trim(p, ' ,') p from (select recording_id, cue_ix, start, speaker, unnest(l) p, generate_subscripts(l, 1) k from (select *, {SPLIT.format(c=clean('text', 'that|with'))} l from cues)) where trim(p, ' ,') <> ''),
+      q as (select *, lag(right(p, 1) in ('.', '!', '?')) over o pe, lag(speaker) over o ps from p window o as (partition by recording_id order by cue_ix, k)),
+      r as (select *, sum(case when pe is null or pe or ps is distinct from speaker then 1 else 0 end) over (partition by recording_id order by cue_ix, k) g from q),
+      x as (select recording_id, (g - 1)::bigint sent_ix, first(start order by cue_ix, k) as start, string_agg(p, ' ' order by cue_ix, k) as t from r group by 1, 2),
+      z as (select recording_id, sent_ix, start, case when right(t, 1) in ('.', '!', '?') then t else t || '.' end t from x),
+      sc as (select *, round({score_sentence('t', False)}, 9) s, list_distinct(list_filter({toks('t')}, lambda t: not list_contains({STOP}, t))) w from z where length(t) <= 300),
+      rk as (select *, row_number() over (partition by recording_id order by s desc, sent_ix) rk from sc where s > 0),
+      g as (
+        select recording_id, rk, sent_ix, start, t, [w] taken, true took from rk where rk = 1
+        union all
+        select c.recording_id, c.rk, c.sent_ix, c.start, c.t, case when ok then g.taken || [c.w] else g.taken end, ok
+        from g join rk c on c.recording_id = g.recording_id and c.rk = g.rk + 1,
+        lateral (select len(g.taken) < 4 and len(list_filter(g.taken, lambda x: len(x) > 0 and len(c.w) > 0 and len(list_intersect(x, c.w)) / len(list_distinct(x || c.w)) > 0.6)) = 0 ok) l)
+      select recording_id, sent_ix, round(start, 6) as start, t as text from g where took""",
+    "t9_build_plan": w(CUES, PK + TAKE) + f'select recording_id, {CLIP_ID} clip_id, takeaway, round(start, 3) as start, round("end", 3) as "end" from clips',
+    "a6_plan_runtime": w(CUES, PK + TAKE + TIMELINE) + "select recording_id, round(sum(seconds), 3) as seconds from line group by 1",
+    "w19_timeline": w(CUES, PK + TAKE + TIMELINE) + "select recording_id, item_ix, role, round(start, 3) as start, round(seconds, 3) as seconds from line",
+    "v1_violations": w(CUES, PK + TAKE) + """, n as (select recording_id plan_id, count(*) c from segs group by 1)
+      select plan_id, case plan_id % 5 when 0 then 'length' when 1 then 'choice' when 2 then 'past_end' else 'unknown_key' end as rule, case when plan_id % 5 in (0, 2) then c else 1 end faults from n where plan_id % 5 < 4""",
+    "s3_srt_blocks": w(CUES) + """, t as (select *, round(start * 1000)::bigint a, round("end" * 1000)::bigint b from cues)
+      select recording_id, cue_ix, (cue_ix + 1) || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a % 3600000 // 60000, a % 60000 // 1000, a % 1000) || ' --> ' ||
+        printf('%02d:%02d:%02d,%03d', b // 3600000, b % 3600000 // 60000, b % 60000 // 1000, b % 1000) || chr(10) || text || chr(10) as line from t""",
+    "s13_resolve_captions": w(CUES) + """select recording_id, case when recording_id % 3 = 0 then 'srt' when recording_id % 2 = 0 then 'transcribed' else 'embedded' end captions_kind, count(*) cues
+      from cues where recording_id % 3 = 0 or recording_id % 2 = 0 or recording_id % 5 = 0 group by 1, 2""",
+    "s16_incremental_filter": w(CUES) + "select recording_id, cue_ix from cues where cue_ix % 2 = 0",
+}

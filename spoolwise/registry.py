@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import boxes as bx, clock as ck, text as tx
 from .functions.lexicon import Lexicon
-from .operators import intervals as iv, picks as pk, pii, signal as sg, transcript as tr
+from . import jobs
+from .operators import cuts, intervals as iv, picks as pk, pii, signal as sg, transcript as tr
 from .operators.scans import KEY, cut_lineage
-from .sources import tables as tb
+from .plans import build, cards, validate
+from .sources import captions as cp, records as rc, tables as tb
 
 REQUEST = "thing tion erin"
 # Words that occur in the generated prose stand in for the phrase lists; the real lists are tested on written fixtures.
@@ -45,6 +47,12 @@ _VIEWS: dict[str, Callable] = {
     "intervals": lambda s, d: tb.intervals_from_events(table(s, d, "events")),
     "pauses": lambda s, d: iv.pair_intervals(tb.marks_from_events(table(s, d, "events"))),
     "boxes": lambda s, d: _boxes(table(s, d, "events")),
+    "recordings": lambda s, d: staged(s, d, "cues").groupBy(KEY).agg(F.max("end").alias("duration_seconds")).select(
+        KEY, F.format_string("talk-%d.mp4", KEY).alias("path"), "duration_seconds", F.lit("Session").alias("title"), F.lit("2024-01-01").alias("date")),
+    "annotated": lambda s, d: cuts.annotate_words(staged(s, d, "timed_words")),
+    "sentence_spans": lambda s, d: tr.sentence_spans(staged(s, d, "words")),
+    "reel_plans": lambda s, d: build.plan_documents(build.build_reel_plan(_moments(s, d), staged(s, d, "recordings"))),
+    "takeaways": lambda s, d: pk.window_takeaways(staged(s, d, "windows"), staged(s, d, "cues"), REQUEST),
     "windows": lambda s, d: pk.best_windows(staged(s, d, "cues"), REQUEST, 15, 60, 3),
 }
 
@@ -423,7 +431,227 @@ def t1_best_windows(s, d):
     return staged(s, d, "windows").select(KEY, "i", "j", _r(F.col("start")).alias("start"), _r(F.col("end")).alias("end"), _r(F.col("score"), 5).alias("score"))
 
 
+def _moments(s, d):
+    none = F.array().cast("array<string>")
+    w = staged(s, d, "takeaways").select(KEY, F.col("i").alias("moment_ix"), "start", "end", "takeaway")
+    return w.withColumns({
+        "title": tx.clip_text(F.col("takeaway"), 80), "lines": none, "why": F.lit("Key moment"), "lesson": F.lit(""), "context": F.lit(""),
+        "segments": F.lit(None).cast("array<struct<a:double,b:double>>"),
+    })
+
+
+def _requests(s, d):
+    """Spans that start and end anywhere: every fifth cue, moved and stretched."""
+    return staged(s, d, "cues").where(F.col("cue_ix") % 5 == 0).select(
+        KEY, F.col("cue_ix").alias("req_ix"), (F.col("start") + 1.3).alias("start"), (F.col("end") + 17.7).alias("end"))
+
+
+def _silences(s, d):
+    """The gaps the timed words leave."""
+    return staged(s, d, "annotated").where(F.col("gap_after") > 0.12).select(
+        KEY, F.col("end").alias("start"), (F.col("end") + F.col("gap_after")).alias("end"))
+
+
+def p10_filler_mask(s, d):
+    lex = Lexicon(hard_fillers=("that", "le"), soft_fillers=("with", "de"))
+    m = cuts.filler_mask(staged(s, d, "timed_words"), lex)
+    return m.select(KEY, "word_ix", "filler")
+
+
+def p13_validate_proposals(s, d):
+    c = staged(s, d, "cues")
+    p = c.select(KEY, F.col("cue_ix").alias("req_ix"), F.format_string("%.3f", "start").alias("start"),
+        F.when(F.col("cue_ix") % 7 == 0, "soon").otherwise(F.format_string("%.3f", F.col("start") + F.col("cue_ix") * 3)).alias("end"),
+        F.when(F.col("cue_ix") % 3 == 0, "8").alias("score"), F.col("text").alias("title"), F.lit("").alias("why"), F.lit("").alias("lesson"), F.lit("").alias("context"))
+    return pk.validate_proposals(p, staged(s, d, "recordings")).select(
+        KEY, "req_ix", _r(F.col("start"), 3).alias("start"), _r(F.col("end"), 3).alias("end"), "score", "title")
+
+
+def p20_strip_annotations(s, d):
+    c = staged(s, d, "cues")
+    c = c.withColumn("text", F.concat(F.lit("("), F.col("speaker"), F.lit(")\n"), F.when(F.col("cue_ix") % 4 == 0, F.lit("-")).otherwise(F.col("text")), F.lit("\n--")))
+    return tr.strip_annotations(c).select(KEY, "cue_ix", "text")
+
+
+def p23_preset_bounds(s, d):
+    plans = staged(s, d, "reel_plans").withColumn("plan", F.col("plan").withField("output", F.col("plan.output").withField("preset", F.lit("shorts"))))
+    clips = F.transform("plan.clips", lambda c: c.withField("segments", F.concat(c["segments"], c["segments"])))
+    plans = plans.withColumn("plan", F.col("plan").withField("clips", clips))
+    return cards.preset_bounds_check(plans, KEY).select(KEY, "clip_id", _r(F.col("seconds"), 3).alias("seconds"))
+
+
+def p24_detection_spans(s, d):
+    m = cuts.detection_spans(staged(s, d, "windows"))
+    return m.select(KEY, "i", _r(F.col("detect_start")).alias("detect_start"), _r(F.col("detect_end")).alias("detect_end"))
+
+
+def j8_neighbours(s, d):
+    x = cuts.neighbours(_requests(s, d), staged(s, d, "annotated"))
+    return x.select(KEY, "req_ix", _r(F.col("prev_word_end")).alias("prev_word_end"), _r(F.col("next_word_start")).alias("next_word_start"))
+
+
+def j8_speech_edges(s, d):
+    x = cuts.speech_edges(_requests(s, d), staged(s, d, "annotated"))
+    return x.select(KEY, "req_ix", _r(F.col("first")).alias("first"), _r(F.col("last")).alias("last"))
+
+
+def j9_snap_to_sentences(s, d):
+    x = cuts.snap_to_sentences(_requests(s, d), staged(s, d, "sentence_spans"))
+    return x.select(KEY, "req_ix", _r(F.col("snap_start")).alias("snap_start"), _r(F.col("snap_end")).alias("snap_end"))
+
+
+def j10_snap_to_words(s, d):
+    x = cuts.snap_to_words(_requests(s, d), staged(s, d, "annotated"))
+    return x.select(KEY, "req_ix", _r(F.col("snap_start")).alias("snap_start"), _r(F.col("snap_end")).alias("snap_end"))
+
+
+def w4_finish_thought(s, d):
+    e = staged(s, d, "sentence_spans").select(KEY, F.col("first_word").alias("req_ix"), "end")
+    x = cuts.finish_after_sentences(e, staged(s, d, "sentence_spans"), lex=Lexicon(setup_patterns=(r"\b(?:is|the|le|der)\b",)))
+    return x.select(KEY, "req_ix", _r(F.col("end")).alias("end"), _r(F.col("finished")).alias("finished"))
+
+
+def w14_cut_moments(s, d):
+    lex = Lexicon(hard_fillers=("that", "le", "de"))
+    x = cuts.cut_moments(_requests(s, d), staged(s, d, "timed_words"), _silences(s, d), lex=lex)
+    return x.select(KEY, "req_ix", "fillers", "embedded", "intact", F.size("segments").alias("segments"), _r(F.col("silence_seconds")).alias("silence_seconds"))
+
+
+def a7_cut_totals(s, d):
+    lex = Lexicon(hard_fillers=("that", "le", "de"))
+    return cuts.cut_totals(cuts.cut_moments(_requests(s, d), staged(s, d, "timed_words"), None, lex=lex))
+
+
+def w15_resolve_overlaps(s, d):
+    m, _ = pk.resolve_overlaps(_requests(s, d).withColumnRenamed("req_ix", "moment_ix"), staged(s, d, "recordings"))
+    return m.select(KEY, "moment_ix", _r(F.col("start")).alias("start"), _r(F.col("end")).alias("end"))
+
+
+def w16_merge_boxes(s, d):
+    return pii.merge_boxes(staged(s, d, "boxes"))
+
+
+def w17_screen_runs(s, d):
+    return pii.screen_runs(tb.frames_from_embeddings(table(s, d, "embeddings")), still=0.4)
+
+
+def a15_chunk_blocks(s, d):
+    return tr.chunk_blocks(tr.format_blocks(staged(s, d, "cues")), 2000).select(KEY, "block", "chunk")
+
+
+def t2_candidate_windows(s, d):
+    snapped = staged(s, d, "cues").withColumns({"s_start": F.col("start"), "s_end": F.col("end")})
+    x = pk.candidate_windows(snapped, 15, 60, 30.0, PROSE)
+    return x.where("kind = 0").select(KEY, "i", "last", _r(F.col("start")).alias("start"), _r(F.col("end")).alias("end"), _r(F.col("score"), 5).alias("score"))
+
+
+def t3_pick_moments(s, d):
+    return pk.pick_moments(staged(s, d, "cues"), 1.5, lex=PROSE).select(KEY, "moment_ix", "start", "end", "title", "why")
+
+
+def t4_executive_summary(s, d):
+    return pk.executive_summary(staged(s, d, "cues"), lex=PROSE).select(KEY, "sent_ix", _r(F.col("start")).alias("start"), "text")
+
+
+def t5_fit_moments(s, d):
+    m = _requests(s, d).withColumnRenamed("req_ix", "moment_ix").withColumn("score", F.col("moment_ix") % 7)
+    return pk.fit_moments(m, 1.5).select(KEY, "moment_ix")
+
+
+def t6_moments_from_specs(s, d):
+    return pk.moments_from_specs(_requests(s, d).withColumn("lines", F.array().cast("array<string>")), staged(s, d, "cues"), lex=PROSE).select(
+        KEY, "moment_ix", "start", "end", "title", "takeaway", "why")
+
+
+def t9_build_plan(s, d):
+    p = build.build_plan(staged(s, d, "takeaways"), staged(s, d, "recordings"))
+    c = p.select(KEY, F.explode("plan.clips").alias("c"))
+    return c.select(KEY, F.col("c.id").alias("clip_id"), "c.takeaway", F.col("c.segments")[0]["start"].alias("start"), F.col("c.segments")[0]["end"].alias("end"))
+
+
+def a6_plan_runtime(s, d):
+    return staged(s, d, "reel_plans").select(KEY, _r(cards.plan_runtime(F.col("plan")), 3).alias("seconds"))
+
+
+def w19_timeline(s, d):
+    return cards.timeline(staged(s, d, "reel_plans"), KEY).select(KEY, "item_ix", "role", _r(F.col("start"), 3).alias("start"), _r(F.col("seconds"), 3).alias("seconds"))
+
+
+def w20_card_runs(s, d):
+    return cards.card_runs(staged(s, d, "reel_plans"), 24, 1, KEY)
+
+
+def v1_violations(s, d):
+    """Plans with planted faults: a long takeaway, a wrong preset, a segment past the end, an unknown key."""
+    p = staged(s, d, "reel_plans").select(F.col(KEY).alias("plan_id"), "plan_json")
+    n, j = F.col("plan_id") % 5, F.col("plan_json")
+    broken = (
+        F.when(n == 0, F.regexp_replace(j, '"takeaway":"', '"takeaway":"' + "x" * 201)).when(n == 1, F.replace(j, F.lit('"internal"'), F.lit('"wide"')))
+        .when(n == 2, F.regexp_replace(j, '"duration_seconds":[0-9.]+', '"duration_seconds":0.5')).when(n == 3, F.replace(j, F.lit('"version"'), F.lit('"fps":30,"version"')))
+        .otherwise(j)
+    )
+    v = validate.violations(p.withColumn("plan_json", broken))
+    return v.groupBy("plan_id", "rule").agg(F.count(F.lit(1)).alias("faults"))
+
+
+def s3_srt_blocks(s, d):
+    return cp.srt_blocks(staged(s, d, "cues"), strict=True).select(KEY, "cue_ix", "line")
+
+
+def s13_resolve_captions(s, d):
+    c = staged(s, d, "cues")
+    got, _ = cp.resolve_captions(c.where(F.col(KEY) % 3 == 0), c.where(F.col(KEY) % 2 == 0), c.where(F.col(KEY) % 5 == 0), staged(s, d, "recordings"))
+    return got.groupBy(KEY, "captions_kind").agg(F.count(F.lit(1)).alias("cues"))
+
+
+def s16_incremental_filter(s, d):
+    c = staged(s, d, "cues").select(KEY, "cue_ix")
+    seen = rc.incremental_filter(c.where(F.col("cue_ix") % 2 == 1), c.select(F.lit("").alias("fingerprint")), [KEY, "cue_ix"])
+    return rc.incremental_filter(c, seen, [KEY, "cue_ix"]).select(KEY, "cue_ix")
+
+
+def q1_plan(s, d):
+    plans, _ = jobs.plan(staged(s, d, "cues"), staged(s, d, "recordings"), REQUEST, k=2)
+    return plans.select(KEY, "plan_json")
+
+
+def q2_summarize(s, d):
+    return jobs.summary_lines(staged(s, d, "cues"), staged(s, d, "recordings"), staged(s, d, "reel_plans"), lex=PROSE)
+
+
+def q3_outline(s, d):
+    return jobs.outline_lines(staged(s, d, "cues"), staged(s, d, "recordings"))
+
+
+def q4_reel(s, d):
+    lex = Lexicon(hard_fillers=("that", "le", "de"))
+    specs = _requests(s, d).where(F.col("req_ix") <= 15).withColumn("lines", F.array().cast("array<string>"))
+    r = jobs.reel(staged(s, d, "cues"), staged(s, d, "recordings"), 1.5, staged(s, d, "timed_words"), _silences(s, d), specs=specs, lex=lex)
+    return r.plans.select(KEY, "plan_json", "runtime")
+
+
+def q5_audit_plan(s, d):
+    w = staged(s, d, "words")
+    sig = w.select(KEY, F.col("start").alias("t"), (F.length("text") * 1000).cast("double").alias("value"))
+    _, report = jobs.audit_plan(staged(s, d, "reel_plans"), sig, w, window=0.5)
+    return report
+
+
+def q6_storyboard(s, d):
+    x = jobs.storyboard(staged(s, d, "reel_plans"), staged(s, d, "cues"), staged(s, d, "words"))
+    return x.select(KEY, "item_ix", "role", "title", _r(F.col("start"), 3).alias("start"), F.array_join("speakers", "|").alias("speakers"), "quote")
+
+
+def q7_redact_text(s, d):
+    return jobs.redact_text(table(s, d, "documents")).select("doc_id", "masked", F.sha2("clean", 256).alias("clean_hash"))
+
+
+def q8_check_redaction(s, d):
+    clean, quarantine = jobs.check_redaction(table(s, d, "documents"), ["doc_id"])
+    return clean.select("doc_id", F.lit("clean").alias("state")).unionByName(quarantine.select("doc_id", F.lit("quarantine").alias("state")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     n: f for n, f in list(globals().items())
-    if callable(f) and n[0] in "pfwjuats" and n.split("_")[0][1:].isdigit() or n in ("f_clocks", "f11_f13")
+    if callable(f) and n[0] in "pfwjuatsvq" and n.split("_")[0][1:].isdigit() or n in ("f_clocks", "f11_f13")
 }
