@@ -14,7 +14,7 @@ from ..functions.lexicon import SENSITIVE
 from .folds import ordered_fold
 from .intervals import elementary, merge_intervals
 from .ranges import overlap_join
-from .scans import KEY, after, before, by_time, low_after, peak_before, scan, upto
+from .scans import KEY, after, before, by_time, cut_lineage, low_after, peak_before, scan, upto
 
 HIT = "array<struct<kind:string,start:int,end:int,match:string>>"
 MAX_PATTERNS = 64
@@ -178,12 +178,15 @@ def check_and_patch(
     Returns (clean rows, quarantine). Anything still readable, and anything that cannot be read, is quarantined; leaks
     are listed by kind and length, never by text.
     """
-    out = redact_text(docs, text, terms).drop("masked")
     still = lambda c: F.filter(find_in_text(c, terms), lambda h: F.length(F.trim(h["match"])) >= min_length)
-    for _ in range(rounds):
-        out = out.withColumn("_left", still(F.col("clean"))).withColumn("clean", mask_text(F.col("clean"), F.col("_left"))).drop("_left")
-    leaks = F.transform(still(F.col("clean")), lambda h: F.struct(h["kind"].alias("kind"), F.length(h["match"]).alias("characters")))
-    out = out.withColumn("leaks", leaks)
+    out = redact_text(docs.select(*ids, text), text, terms).select(*ids, "clean")
+    for n in range(rounds + 1):
+        # each round's copy is written before it is read back, as the check must see what was really produced
+        out = cut_lineage(cut_lineage(out).withColumn("_left", still(F.col("clean"))))
+        if n < rounds:
+            out = out.withColumn("clean", mask_text(F.col("clean"), F.col("_left"))).drop("_left")
+    leaks = F.transform("_left", lambda h: F.struct(h["kind"].alias("kind"), F.length(h["match"]).alias("characters")))
+    out = out.select(*ids, "clean", leaks.alias("leaks"))
     bad = F.col("clean").isNull() | (F.size("leaks") > 0)
     return out.where(~bad).select(*ids, "clean"), out.where(bad).select(*ids, "leaks")
 

@@ -410,7 +410,7 @@ ORACLE |= {
     "p10_filler_mask": w(CUES, WORDS, TIMED) + r""", x as (
         select *, lag("end") over o pe, lag(text) over o pt, lead(start) over o ns, regexp_replace(lower(text), '[^a-z'']', '', 'g') norm from timed window o as (partition by recording_id order by word_ix))
       select recording_id, word_ix, norm in ('that', 'le') or (norm in ('with', 'de')
-        and (pt is null or regexp_matches(pt, '[,.?!;:…]\s*$') or start - pe >= 0.25) and (ns is null or regexp_matches(text, '[,.?!;:…]\s*$') or ns - "end" >= 0.25)) filler from x""".replace("\\s", "\s"),
+        and (pt is null or regexp_matches(pt, '[,.?!;:…]\s*$') or start - pe >= 0.25) and (ns is null or regexp_matches(text, '[,.?!;:…]\s*$') or ns - "end" >= 0.25)) filler from x""",
     "p13_validate_proposals": w(CUES) + """, p as (select recording_id, cue_ix, round(start, 3) s, round(start + cue_ix * 3, 3) e, text, max("end") over (partition by recording_id) d from cues)
       select recording_id, cue_ix req_ix, s as start, round(least(e, d), 3) as "end", case when cue_ix % 3 = 0 then 8.0 else 5.0 end::double score, left(text, 80) title
       from p where cue_ix % 7 <> 0 and s < e and e <= d + 1 and e - s between 10 and 90""",

@@ -16,8 +16,8 @@ STRICT_TIMING = rf"^{STRICT_STAMP}\s+-->\s+{STRICT_STAMP}$"
 def _seconds(stamp: Column, pattern: str = STAMP) -> Column:
     part = lambda n: F.regexp_extract(stamp, pattern, n)
     return (
-        part(1).cast("long") * 3600 + part(2).cast("long") * 60 + part(3).cast("long")
-        + F.rpad(part(4), 3, "0").cast("long") / F.lit(1000)
+        part(1).try_cast("long") * 3600 + part(2).try_cast("long") * 60 + part(3).try_cast("long")
+        + F.rpad(part(4), 3, "0").try_cast("long") / F.lit(1000)
     )
 
 
@@ -73,7 +73,7 @@ def parse_srt_strict(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         said = F.concat(F.slice(lines(b), F.lit(3), F.size(lines(b))), F.flatten(F.transform(more, lines)))
         own = F.array_join(F.slice(lines(b), F.lit(3), F.size(lines(b))), "\n")
         t = timing(b)
-        num = lambda n: F.regexp_extract(t, STRICT_TIMING, n).cast("long")
+        num = lambda n: F.regexp_extract(t, STRICT_TIMING, n).try_cast("long")
         start = num(1) * 3600 + num(2) * 60 + num(3) + num(4) / F.lit(1000)
         end = num(5) * 3600 + num(6) * 60 + num(7) + num(8) / F.lit(1000)
         high = (num(2) >= 60) | (num(3) >= 60) | (num(6) >= 60) | (num(7) >= 60)
