@@ -453,3 +453,33 @@ ORACLE |= {
       from cues where recording_id % 3 = 0 or recording_id % 2 = 0 or recording_id % 5 = 0 group by 1, 2""",
     "s16_incremental_filter": w(CUES) + "select recording_id, cue_ix from cues where cue_ix % 2 = 0",
 }
+ORACLE |= {
+    "t2_candidate_windows": w(CUES) + f""", b as (
+        select *, {score('text', DUR, None, 'that|with')} + 0.75 * {count('text', 'this|from')} + 0.6 * {teach('text')} + 0.5 base,
+          lag(rtrim(text)) over o pt, lag(speaker) over o ps, lead(speaker) over o ns, lead(cue_ix) over o ni from cues window o as (partition by recording_id order by cue_ix)),
+      c as (select *, pt is null or right(pt, 1) in ('.', '!', '?') or ps is distinct from speaker sc, ni is null or right(rtrim(text), 1) in ('.', '!', '?') or ns is distinct from speaker ec,
+          sum(base) over (partition by recording_id order by cue_ix) u from b),
+      p as (select i.recording_id, i.cue_ix i, j.cue_ix as last, i.start, j."end",
+          round((j.u - i.u + i.base) / greatest(j."end" - i.start, 30) * case when i.sc then 1.15 else 1 end * case when j.ec then 1.15 else 1 end, 9) score
+        from c i join c j on j.recording_id = i.recording_id and j.cue_ix >= i.cue_ix and j."end" - i.start between 15 and 60)
+      select recording_id, i, last, {SE}, round(score, 5) score from (select *, row_number() over (partition by recording_id, i order by score desc, last) n from p) where n = 1""",
+    "w20_card_runs": w(CUES, PK + TAKE + TIMELINE) + """, f as (select *, greatest(1, round_even(seconds * 24, 0))::bigint fr, role <> 'clip' card from line),
+      g as (select *, coalesce(sum(fr) over (o rows between unbounded preceding and 1 preceding), 0) as first_frame, sum(case when card then 0 else 1 end) over o as grp, max(item_ix) over (partition by recording_id) as top from f window o as (partition by recording_id order by item_ix)),
+      r as (select recording_id, grp, min(first_frame)::bigint start_frame, sum(fr)::bigint frames, min(item_ix) a, max(item_ix) b, max(top) top from g where card group by 1, 2)
+      select recording_id, row_number() over (partition by recording_id order by a) - 1 run_ix, start_frame, frames, case when a = 0 then 'first' when b = top then 'last' else 'middle' end as position from r""",
+    "a15_chunk_blocks": ORACLE["a2_format_blocks"].replace(
+        "select recording_id, block, string_agg(", "select * from (with recursive fb as (select recording_id, block, string_agg(", 1
+    ) + """), n as (select recording_id, block, length(text) + 2 len, row_number() over (partition by recording_id order by block) k from fb),
+      z as (select recording_id, block, k, len size, 0::bigint as chunk from n where k = 1
+        union all
+        select n.recording_id, n.block, n.k, case when z.size + n.len > 2000 then n.len else z.size + n.len end, case when z.size + n.len > 2000 then z.chunk + 1 else z.chunk end
+        from z join n on n.recording_id = z.recording_id and n.k = z.k + 1)
+      select recording_id, block, chunk from z)""",
+    "w15_resolve_overlaps": w(CUES, REQS) + """, d as (select recording_id, max("end") dur from cues group by 1),
+      o as (select r.recording_id, req_ix, start, least("end", dur) e, row_number() over (partition by r.recording_id order by start, req_ix) k from reqs r join d using (recording_id) where start < dur - 1),
+      z as (select recording_id, req_ix, k, start s, e, true keep, e prev from o where k = 1
+        union all
+        select o.recording_id, o.req_ix, o.k, greatest(o.start, z.prev), o.e, o.start >= z.prev or o.e - z.prev >= 1, case when o.start >= z.prev or o.e - z.prev >= 1 then o.e else z.prev end
+        from z join o on o.recording_id = z.recording_id and o.k = z.k + 1)
+      select recording_id, req_ix moment_ix, round(s, 6) as start, round(e, 6) as "end" from z where keep""",
+}
