@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scans import KEY, cut_lineage
@@ -85,22 +86,27 @@ def ordered_fold(
     keys = list(keys)
 
     def run(batches: Iterator) -> Iterator:
-        current, step = None, None
+        current, step, out = None, None, []
+
+        def keep(frame) -> None:
+            if frame is not None and len(frame):
+                out.append(frame)
+
         for pdf in batches:
             if pdf.empty:
                 continue
             heads = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-            for a, b in zip(heads, [*heads[1:], len(pdf)]):
-                part = pdf.iloc[a:b]
-                key = tuple(part[keys].iloc[0])
+            labels = list(pdf[keys].iloc[heads].itertuples(index=False, name=None))
+            for key, a, b in zip(labels, heads, [*heads[1:], len(pdf)]):
                 if key != current:
-                    rest = step(None) if step else None
-                    if rest is not None:
-                        yield rest
+                    keep(step(None) if step else None)
                     current, step = key, start()
-                yield step(part)
-        rest = step(None) if step else None
-        if rest is not None:
-            yield rest
+                keep(step(pdf.iloc[a:b]))
+            if out:  # one frame per input batch, however many short keys it held
+                yield pd.concat(out, ignore_index=True)
+                out.clear()
+        keep(step(None) if step else None)
+        if out:
+            yield pd.concat(out, ignore_index=True)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -305,7 +305,9 @@ def _box_merger(same: float):
     names = [KEY, "start", "end", "x", "y", "w", "h", "why"]
     key = [None]
 
-    def frame(rows: list[list]) -> pd.DataFrame:
+    def frame(rows: list[list]) -> pd.DataFrame | None:
+        if not rows:
+            return None
         return pd.DataFrame([[key[0], a, b, x0, y0, x1 - x0, y1 - y0, why] for a, b, x0, y0, x1, y1, why in rows], columns=names)
 
     def share(o: list, x0: int, y0: int, x1: int, y1: int) -> float:
