@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import boxes as bx
 from ..functions.let import let
@@ -297,7 +297,11 @@ def merge_boxes(redactions: DataFrame, same: float = 0.5) -> DataFrame:
     opens = F.col("_peak").isNull() | (F.col("start") - F.col("_peak") > 1e-6)
     d = scan(d.withColumn("_o", F.when(opens, F.col("start"))).drop("_peak"), [KEY], order, chunk, _island=upto(F.col("_o")))
     schema = f"{KEY} long, start double, end double, x int, y int, w int, h int, why string"
-    return ordered_fold(d.drop("_o"), [KEY, "_island"], order, lambda: _box_merger(same), schema)
+    alone = F.count(F.lit(1)).over(Window.partitionBy(KEY, "_island")) == 1
+    d = d.drop("_o").withColumn("_alone", alone)
+    merged = ordered_fold(d.where("not _alone").drop("_alone"), [KEY, "_island"], order, lambda: _box_merger(same), schema)
+    out = [KEY, "start", "end", "x", "y", "w", "h", "why"]
+    return d.where("_alone").select(*out).unionByName(merged)  # most records meet no other: they never leave the JVM
 
 
 def _box_merger(same: float):
