@@ -44,3 +44,30 @@ select conv_id, count(*)::bigint n_turns, sha256(string_agg(role || chr(10) || t
   sum(upto) filter (role = 'assistant' or n = k)::bigint formatted_chars
 from r group by conv_id
 """
+
+# Windows by position; those that start twice anywhere are repeated, and the words they cover go.
+ORACLE["op6_substring_dedup"] = r"""
+with d as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') w from documents),
+win as (select r, i, array_to_string(w[i:i + 34], ' ') s from (select r, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
+rep as (select s from win group by s having count(*) > 1),
+gone as (select distinct r, unnest(range(i, i + 35)) p from win join rep using (s)),
+word as (select r, doc_id, unnest(w) v, unnest(range(1, len(w) + 1)) p from d),
+kept as (select r, string_agg(v, ' ' order by p) t, count(*) n from word anti join gone using (r, p) group by r)
+select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256
+from d left join kept using (r)
+"""
+
+# Sets of shingles; pairs that share one, counted; the least id over links, by a recursive walk.
+ORACLE["op10_ngram_jaccard"] = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') w from documents),
+g as (
+  select distinct doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') s
+  from (select *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n from g group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) k from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+walk as (select doc_id id, doc_id r from d union select e.b, walk.r from walk join e on e.a = walk.id)
+select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, (select min(r) from walk where walk.id = d.doc_id) component_id
+from d left join n using (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, secret_scan as sec, shards
+from . import chat, contamination, ngram_join, secret_scan as sec, shards, substring
 
 SHARDS = 40
 
@@ -41,6 +41,11 @@ def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], sha(joined(own)).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    done = substring.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = table(spark, sf, "documents").select(
@@ -62,6 +67,10 @@ def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.similar_classes(table(spark, sf, "documents").select("doc_id", "text"), n=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in globals().items() if name.startswith("op") and callable(f)
 }
