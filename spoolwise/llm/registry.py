@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, ngram_join, secret_scan as sec, shards, substring
+from . import chat, contamination, ngram_join, pieces, quality, secret_scan as sec, shards, substring
 
 SHARDS = 40
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +20,13 @@ def sha(c: Column) -> Column:
     return F.sha2(F.encode(c, "utf-8"), 256)
 
 
+def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf, "labels"))
+    judged = quality.judge(docs, model)
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
+
+
 def op4_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = contamination.find_contamination(docs, table(spark, sf, "benchmark"))
@@ -46,6 +54,15 @@ def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", sha(F.col("kept")).alias("kept_sha256"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    done = pieces.encode_pieces(docs, PIECE_MODEL, decoded="decoded")
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.encode(F.array_join("ids", ","), "utf-8"), 256).alias("ids_sha256"),
+        sha(F.col("decoded")).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("same_text"),
+    )
+
+
 def op8_sharding(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     sized = table(spark, sf, "documents").select(
