@@ -71,3 +71,22 @@ walk as (select doc_id id, doc_id r from d union select e.b, walk.r from walk jo
 select d.doc_id, coalesce(n.n, 0)::bigint n_shingles, (select min(r) from walk where walk.id = d.doc_id) component_id
 from d left join n using (doc_id)
 """
+
+# Sets of words of each line; a line goes if an earlier one shares four fifths of their union.
+ORACLE["op3_line_dedup"] = r"""
+with l as (
+  select doc_id, i - 1 i, list_distinct(regexp_extract_all(x[i], '[^ \t-\r]+')) s
+  from (select doc_id, string_split(text, chr(10)) x, unnest(range(1, len(string_split(text, chr(10))) + 1)) i from documents)),
+c as (select row_number() over (order by min((doc_id, i))) c, s, len(s) n, min((doc_id, i)) f from (select doc_id, i, list_sort(s) s from l where len(s) > 0) group by s),
+t as (select c, n, unnest(s) w from c),
+freq as (select w, count(*) f from t group by w),
+pre as (select c, n, w from (select c, n, w, row_number() over (partition by c order by f, w) p from t join freq using (w)) where p <= n - ceil(n * 4 / 5.0) + 1),
+cand as (select distinct a.c a, b.c b from pre a join pre b on a.w = b.w and a.c < b.c and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+gone as (
+  select distinct b from cand join c x on x.c = a join c y on y.c = b
+  where 9 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n)),
+kept as (select f[1] doc_id, f[2] i from c where c not in (select b from gone) union all select doc_id, i from l where len(s) = 0)
+select d.doc_id, coalesce(n.n, 0)::bigint n_lines, (coalesce(n.n, 0) - coalesce(k.n, 0))::bigint n_removed, coalesce(k.x, '') kept_lines
+from documents d left join (select doc_id, count(*) n from l group by doc_id) n using (doc_id)
+left join (select doc_id, count(*) n, string_agg(i::varchar, ',' order by i) x from kept group by doc_id) k using (doc_id)
+"""

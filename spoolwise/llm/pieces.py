@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from . import words as W
 
 MARK = "▁"
-CACHE = 200_000
+CACHE = 600_000
 """Distinct words whose pieces a task remembers between batches."""
 _UNKNOWN = -20.0
 
@@ -39,7 +39,7 @@ class Pieces:
         if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("a model whose normaliser changes texts can't give them back")
         self.text = [p.piece for p in model.pieces]
-        self.score: dict[str, tuple[float, int]] = {}
+        self.score: dict[str, tuple[float, tuple[int, ...]]] = {}
         self.bytes: dict[int, int] = {}
         self.value: dict[int, int] = {}
         self.unknown, rank = 0, 0
@@ -50,7 +50,7 @@ class Pieces:
             elif p.type == 2:
                 self.unknown = n
             elif p.type == 1:
-                self.score[p.piece] = (p.score if unigram else -math.log(rank + 2), n)
+                self.score[p.piece] = (p.score if unigram else -math.log(rank + 2), (n,))
                 rank += 1
         self.longest = max(map(len, self.score), default=1)
         inner = [p for p in self.score if MARK in p.lstrip(MARK)]
@@ -73,7 +73,7 @@ class Pieces:
         shares with the one before it are kept, and only the rest of its path is scored.
         """
         best, back = [0.0], [(-1, ())]
-        score, longest, out, last = self.score, self.longest, {}, ""
+        find, score, longest, out, last = self.score.get, self.score, self.longest, {}, ""
         for word in sorted(set(words)):
             shared, most = 0, min(len(word), len(last))
             while shared < most and word[shared] == last[shared]:
@@ -81,10 +81,10 @@ class Pieces:
             del best[shared + 1 :], back[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 top, how = -math.inf, None
-                for start in range(max(0, end - longest), end):
-                    found = score.get(word[start:end])
-                    if found is not None and best[start] + found[0] > top:
-                        top, how = best[start] + found[0], (start, (found[1],))
+                for start in range(end - longest if end > longest else 0, end):
+                    found = find(word[start:end])
+                    if found and best[start] + found[0] > top:
+                        top, how = best[start] + found[0], (start, found[1])
                 if word[end - 1] not in score:
                     spelled = tuple(self.bytes.get(b, self.unknown) for b in word[end - 1].encode()) if self.bytes else (self.unknown,)
                     if best[end - 1] + _UNKNOWN * len(spelled) > top:
