@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, lines, ngram_join, pieces, quality, secret_scan as sec, shards, substring
+from . import chat, contamination, licenses, lines, ngram_join, pieces, quality, secret_scan as sec, shards, substring
 
 SHARDS = 40
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -27,6 +27,12 @@ def op1_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "anomaly")
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    told = F.transform("licenses", lambda x: F.concat_ws(":", x["name"], F.round(x["dice"], 6), x["start"], x["end"]))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(told, ",").alias("licenses"))
+
+
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     done = lines.line_decisions(table(spark, sf, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.array_join("kept_lines", ",").alias("kept_lines"))
