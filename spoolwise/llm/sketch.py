@@ -19,7 +19,9 @@ from .words import mix
 SLICES = 256
 FLUSH = 4 << 20
 """Keys that a task holds before it sends what it has."""
-_PART = "slice int, once binary, often binary"
+HOT = 64
+"""A cell that one task counted so often, or that so many tasks counted, is hot."""
+_PART = "slice int, once binary, often binary, hot binary"
 Keys = Callable[[pa.RecordBatch], Iterable[np.ndarray]]
 
 
@@ -33,8 +35,8 @@ def cells(keys: np.ndarray, depth: int, bits: int) -> np.ndarray:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    s, a, b = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["slice", "once", "often"])
+    s, *parts = zip(*rows) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), *[pa.array(p, pa.binary()) for p in parts]], ["slice", "once", "often", "hot"])
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], keys_of: Keys) -> Iterator[np.ndarray]:
@@ -50,12 +52,12 @@ def _flushes(batches: Iterator[pa.RecordBatch], keys_of: Keys) -> Iterator[np.nd
         yield np.concatenate(held)
 
 
-def repeated(df: DataFrame, keys_of: Keys, bits: int, depth: int = 2) -> list[np.ndarray]:
-    """For each depth, ``2**bits`` packed bits: cells that were counted twice or more.
+def repeated(df: DataFrame, keys_of: Keys, bits: int, depth: int = 2) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each depth ``2**bits`` packed bits, cells that were counted twice or more; and the first depth's hot cells.
 
     A count-min sketch whose counters stop at two: a key that occurs twice has its bit set at every depth.
     """
-    low = np.int64(bits - SLICES.bit_length() + 1)
+    low = bits - SLICES.bit_length() + 1
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys in _flushes(batches, keys_of):
@@ -64,29 +66,32 @@ def repeated(df: DataFrame, keys_of: Keys, bits: int, depth: int = 2) -> list[np
                 at, n = np.unique(cells(keys, d, bits), return_counts=True)
                 edge = np.searchsorted(at, np.arange(SLICES + 1, dtype=np.int64) << low)
                 for s in range(SLICES):
-                    own, twice = at[edge[s] : edge[s + 1]], n[edge[s] : edge[s + 1]] > 1
+                    own, count = at[edge[s] : edge[s + 1]], n[edge[s] : edge[s + 1]]
                     if len(own):
-                        own = (own & ((1 << int(low)) - 1)).astype(np.uint32)
-                        rows.append((d * SLICES + s, own.tobytes(), own[twice].tobytes()))
+                        own = (own & ((1 << low) - 1)).astype(np.uint32)
+                        rows.append((d * SLICES + s, own.tobytes(), own[count > 1].tobytes(), b"" if d else own[count >= HOT].tobytes()))
             yield _batch(rows)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for s, once, often in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                one, two = have.setdefault(s, (np.zeros(1 << int(low), bool), np.zeros(1 << int(low), bool)))
+            for s, once, often, hot in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                tasks, two = have.setdefault(s, (np.zeros(1 << low, np.uint8), np.zeros(1 << low, bool)))
                 at = np.frombuffer(once, np.uint32)
-                two[at] |= one[at]
-                one[at] = True
+                two[at] |= tasks[at] > 0
+                tasks[at] = np.minimum(tasks[at], HOT - 1) + 1
                 two[np.frombuffer(often, np.uint32)] = True
-        yield _batch([(s, np.packbits(two).tobytes(), b"") for s, (_, two) in have.items()])
+                tasks[np.frombuffer(hot, np.uint32)] = HOT
+        yield _batch([(s, b"", np.packbits(two).tobytes(), b"" if s >= SLICES else np.packbits(tasks == HOT).tobytes()) for s, (tasks, two) in have.items()])
 
-    out = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(depth)]
+    out, hot = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(depth)], np.zeros((1 << bits) // 8, np.uint8)
     step = (1 << bits) // 8 // SLICES
-    for s, packed, _ in _collect(df, parts, merge):
+    for s, _, packed, hot_packed in _collect(df, parts, merge):
         d, s = divmod(s, SLICES)
         out[d][s * step : (s + 1) * step] = np.frombuffer(packed, np.uint8)
-    return out
+        if not d:
+            hot[s * step : (s + 1) * step] = np.frombuffer(hot_packed, np.uint8)
+    return out, hot
 
 
 def any_repeated(bitmaps: list[np.ndarray], keys: np.ndarray, bits: int) -> np.ndarray:
@@ -101,7 +106,7 @@ def any_repeated(bitmaps: list[np.ndarray], keys: np.ndarray, bits: int) -> np.n
 def present(df: DataFrame, keys_of: Keys, bits: int) -> np.ndarray:
     """``2**bits`` packed bits of the keys that occur (a filter with false positives and no misses)."""
     twice = lambda batch: (np.repeat(k, 2) for k in keys_of(batch))
-    return repeated(df, twice, bits, 1)[0]
+    return repeated(df, twice, bits, 1)[0][0]
 
 
 def ranks(df: DataFrame, keys_of: Keys, bits: int) -> np.ndarray:
@@ -114,17 +119,17 @@ def ranks(df: DataFrame, keys_of: Keys, bits: int) -> np.ndarray:
             for keys in keys_of(batch):
                 total += np.bincount(cells(keys, 0, bits), minlength=1 << bits).astype(np.uint32)
         if total.any():
-            yield _batch([(s, zlib.compress(total[s * size : (s + 1) * size].tobytes(), 1), b"") for s in range(SLICES)])
+            yield _batch([(s, zlib.compress(total[s * size : (s + 1) * size].tobytes(), 1), b"", b"") for s in range(SLICES)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 have.setdefault(s, np.zeros(size, np.uint64))[:] += np.frombuffer(zlib.decompress(packed), np.uint32)
-        yield _batch([(s, np.floor(np.log2(n.astype(np.float64) + 1)).astype(np.uint8).tobytes(), b"") for s, n in have.items()])
+        yield _batch([(s, np.floor(np.log2(n.astype(np.float64) + 1)).astype(np.uint8).tobytes(), b"", b"") for s, n in have.items()])
 
     out = np.zeros(1 << bits, np.uint8)
-    for s, r, _ in _collect(df, parts, merge):
+    for s, r, _, _ in _collect(df, parts, merge):
         out[s * size : (s + 1) * size] = np.frombuffer(r, np.uint8)
     return out
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -58,36 +59,52 @@ def _anchor_keys(text: str, width: int, gram: int):
     return keys
 
 
-_ROWS = "key long, more long, t1 long, t2 long, at int, many boolean, spans binary"
+_ROWS = "key long, t1 long, t2 long, at int, hashes binary, many binary, spans binary"
 _FOUND = "t1 long, t2 long, starts binary, spans binary"
 
 
-def _suspects(text: str, width: int, gram: int, bits: int, bitmaps):
-    """Windows whose anchor may be repeated. Those equal inside the task are settled here and sent on as one row each,
-    so a window that stands in a third of all texts is one row a task."""
-    schema = pa.schema([("key", pa.int64()), ("more", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("at", pa.int32()),
-                        ("many", pa.bool_()), ("spans", pa.binary())])
+def _binary(values: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Stretches of ``values`` between the edges as binary values."""
+    off = (edge * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _suspects(text: str, width: int, gram: int, bits: int, sketches):
+    """Windows whose anchor may be repeated, in runs that share an anchor: one row for about fourteen windows.
+
+    Rows meet by their anchor's gram; a hot gram's windows meet one by one, each by its own hash, so that a phrase which
+    stands in many contexts isn't gathered. Windows that are equal inside the task are settled here and sent once, so a
+    window that stands in a third of all texts is one row a task.
+    """
+    schema = pa.schema([("key", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("at", pa.int32()), ("hashes", pa.binary()),
+                        ("many", pa.binary()), ("spans", pa.binary())])
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
-        key, more, t1, t2, at = (np.concatenate([h[i] for h in held]) for i in range(5))
-        order = np.lexsort((more, key))
-        key, more, t1, t2, at = key[order], more[order], t1[order], t2[order], at[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])))
-        size = np.diff(np.concatenate((np.flatnonzero(new), [len(key)])))
-        many = np.repeat(size > 1, size)
-        send = np.flatnonzero(new)
+        one, key, hot, t1, t2, at, anchor = (np.concatenate([h[i] for h in held]) for i in range(7))
+        order = np.lexsort((key, one))
+        new = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (key[order][1:] != key[order][:-1])))
+        size = np.diff(np.concatenate((np.flatnonzero(new), [len(one)])))
+        many = np.zeros(len(one), bool)
+        many[order] = np.repeat(size > 1, size)
+        send = np.sort(order[new])
+        n1, n2, na, nh = t1[send], t2[send], at[send], hot[send]
+        cut = np.ones(len(send), bool)
+        cut[1:] = (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1]) | (na[1:] != na[:-1] + 1) | (anchor[send][1:] != anchor[send][:-1]) | nh[1:]
+        run = np.flatnonzero(cut)
+        edge = np.append(run, len(send))
+        keys = np.where(nh, W.mix(one[send].view(np.uint64), 9).view(np.int64), key[send])[run]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c[send]) for c in (key, more, t1, t2, at)] + [pa.array(many[send]), pa.nulls(len(send), pa.binary())], schema=schema)
+            [pa.array(keys), pa.array(n1[run]), pa.array(n2[run]), pa.array(na[run]), _binary(one[send], edge), _binary(many[send].view(np.uint8), edge),
+             pa.nulls(len(run), pa.binary())], schema=schema)
         if many.any():
             a, b, starts = _by_text(t1[many], t2[many], at[many])
-            rows = len(a)
-            spans = [_pack(s, width) for s in starts]
-            zero = pa.array(np.zeros(rows, np.int64))
+            none = pa.nulls(len(a), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a), zero, pa.array(a), pa.array(b), pa.array(np.zeros(rows, np.int32)), pa.array(np.zeros(rows, bool)), pa.array(spans, pa.binary())], schema=schema)
+                [pa.array(a), pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int32)), none, none, pa.array([_pack(s, width) for s in starts], pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+        bitmaps, hot_bits = sketches.value
         for batch in batches:
             t1, t2 = (batch.column(c).to_numpy() for c in ("t1", "t2"))
             for a, b, buf, off in W.text_slices(batch.column(text)):
@@ -97,14 +114,16 @@ def _suspects(text: str, width: int, gram: int, bits: int, bitmaps):
                 if not inside.any():
                     continue
                 places = np.unique(at[inside])
-                open_ = np.zeros(len(grams), bool)
-                open_[places] = sketch.any_repeated(bitmaps.value, grams[places], bits)
+                open_, hot = np.zeros(len(grams), bool), np.zeros(len(grams), bool)
+                open_[places] = sketch.any_repeated(bitmaps, grams[places], bits)
+                hot[places] = sketch.any_repeated([hot_bits], grams[places], bits)
                 pick = np.flatnonzero(inside & open_[at])
                 if not len(pick):
                     continue
                 row = np.searchsorted(w.first, pick, "right") - 1
-                one, two = W.windows(hashes, w.first, width, 4)[0], W.windows(hashes, w.first, width, 5)[0]
-                held.append((one[pick].view(np.int64), two[pick].view(np.int64), t1[a + row], t2[a + row], (pick - w.first[row]).astype(np.int32)))
+                own = at[pick]
+                one = W.windows(hashes, w.first, width, 4)[0][pick]
+                held.append((one.view(np.int64), grams[own].view(np.int64), hot[own], t1[a + row], t2[a + row], (pick - w.first[row]).astype(np.int32), own - w.first[row]))
                 n += len(pick)
                 if n >= HELD:
                     yield from settle(held)
@@ -129,43 +148,59 @@ def _pack(starts: np.ndarray, width: int) -> bytes:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by window: those that share one are repeated, wherever they stand."""
+    """Rows come sorted by key: windows with one key and one hash are repeated, wherever they stand."""
     schema = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("starts", pa.binary()), ("spans", pa.binary())])
-    rest: tuple | None = None
+    names = ("key", "t1", "t2", "at", "hashes", "many")
+    rest: list[pa.RecordBatch] = []
     held, n = [], 0
 
     def marks(held: list) -> pa.RecordBatch:
         a, b, starts = _by_text(*(np.concatenate([h[i] for h in held]) for i in range(3)))
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([s.tobytes() for s in starts], pa.binary()), pa.nulls(len(a), pa.binary())], schema=schema)
 
-    def settle(key, more, t1, t2, at, many) -> tuple:
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])))
-        size = np.diff(np.concatenate((np.flatnonzero(new), [len(key)])))
-        mark = np.repeat(size > 1, size) & ~many
-        return t1[mark], t2[mark], at[mark]
+    def settle(rows: pa.Table) -> tuple:
+        key, t1, t2, at = (rows.column(c).to_numpy() for c in names[:4])
+        runs_ = rows.column("hashes").to_pylist()
+        size = np.fromiter((len(r) // 8 for r in runs_), np.int64, len(runs_))
+        one = np.frombuffer(b"".join(runs_), np.int64)
+        many = np.frombuffer(b"".join(rows.column("many").to_pylist()), np.uint8) > 0
+        row = np.repeat(np.arange(len(size)), size)
+        start = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.lexsort((key[row], one))
+        k, o = key[row][order], one[order]
+        new = np.concatenate(([True], (o[1:] != o[:-1]) | (k[1:] != k[:-1])))
+        count = np.diff(np.concatenate((np.flatnonzero(new), [len(o)])))
+        mark = np.zeros(len(o), bool)
+        mark[order] = np.repeat(count > 1, count)
+        mark &= ~many
+        return t1[row][mark], t2[row][mark], start[mark].astype(np.int32)
+
+    def whole(last: bool) -> Iterator[pa.Table]:
+        """What is held, up to the key that may go on in the next batch."""
+        table = pa.Table.from_batches(rest)
+        key = table.column("key").to_numpy()
+        upto = len(key) if last else int(np.searchsorted(key, key[-1]))
+        rest[:] = table.slice(upto).combine_chunks().to_batches()
+        if upto:
+            yield table.slice(0, upto)
 
     for batch in batches:
-        ready = batch.column("spans").is_valid().to_numpy(zero_copy_only=False)
-        if ready.any():
-            r = batch.filter(pa.array(ready))
-            yield pa.RecordBatch.from_arrays([r.column("t1"), r.column("t2"), pa.nulls(r.num_rows, pa.binary()), r.column("spans")], schema=schema)
-        columns = tuple(batch.column(c).to_numpy(zero_copy_only=False)[~ready] for c in ("key", "more", "t1", "t2", "at", "many"))
-        if rest is not None:
-            columns = tuple(np.concatenate(p) for p in zip(rest, columns))
-        if not len(columns[0]):
-            continue
-        key, more = columns[:2]
-        last = int(np.flatnonzero((key != key[-1]) | (more != more[-1]))[-1]) + 1 if ((key != key[-1]) | (more != more[-1])).any() else 0
-        rest = tuple(c[last:] for c in columns)
-        if last:
-            held.append(settle(*(c[:last] for c in columns)))
-            n += len(held[-1][0])
+        ready = batch.column("spans").is_valid()
+        done = batch.filter(ready)
+        if done.num_rows:
+            yield pa.RecordBatch.from_arrays([done.column("t1"), done.column("t2"), pa.nulls(done.num_rows, pa.binary()), done.column("spans")], schema=schema)
+        if done.num_rows < batch.num_rows:
+            rest.append(batch.filter(pc.invert(ready)).select(list(names)))
+            for rows in whole(False):
+                held.append(settle(rows))
+                n += len(held[-1][0])
         if n >= HELD:
             yield marks(held)
             held, n = [], 0
-    if rest is not None and len(rest[0]):
-        held.append(settle(*rest))
-        n += len(held[-1][0])
+    if rest:
+        for rows in whole(True):
+            held.append(settle(rows))
+            n += len(held[-1][0])
     if n:
         yield marks(held)
 
@@ -179,7 +214,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, gram
     columns pass through (the three added names are replaced).
 
     First pass: a sketch of anchors, merged from all tasks; its width follows the input up to ``max_bits``. Second
-    pass: windows that the sketch cannot rule out are grouped exactly, by 128 bits of their words. A sketch that is too
+    pass: windows that the sketch cannot rule out are grouped exactly, by 128 bits (of the anchor's words and of all). A sketch that is too
     small lets more windows through and loses none. Texts are known by content, so copies are marked together.
     """
     added = ("n_words", "n_removed", "kept")
@@ -187,10 +222,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, gram
     spark, body = docs.sparkSession, F.coalesce(F.col(text), F.lit(""))
     bytes_ = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     bits = sketch.bits_for(bytes_ / 80, 14, max_bits)
-    bitmaps = spark.sparkContext.broadcast(sketch.repeated(docs.select(text), _anchor_keys(text, width, gram), bits))
+    sketches = spark.sparkContext.broadcast(sketch.repeated(docs.select(text), _anchor_keys(text, width, gram), bits))
     keyed = docs.select("*", F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit(1), body).alias("_t2"))
-    rows = keyed.select(text, F.col("_t1").alias("t1"), F.col("_t2").alias("t2")).mapInArrow(_suspects(text, width, gram, bits, bitmaps), _ROWS)
-    found = rows.repartition("key").sortWithinPartitions("key", "more").mapInArrow(_confirm, _FOUND)
+    rows = keyed.select(text, F.col("_t1").alias("t1"), F.col("_t2").alias("t2")).mapInArrow(_suspects(text, width, gram, bits, sketches), _ROWS)
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_confirm, _FOUND)
     marks = found.groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.collect_list("starts").alias("_starts"), F.collect_list("spans").alias("_spans"))
     names = docs.columns
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, n_removed long, kept string").fields])
