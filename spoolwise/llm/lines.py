@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.scans import cut_lineage
+from .words import free_names
 
 SIMILAR = (4, 5)
 """Two lines match at a Jaccard similarity of four fifths of their sets of words."""
@@ -145,8 +146,9 @@ def line_decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed lines cut out of ``text``; a null text stays null, and no row goes."""
     names = docs.columns
-    kept = repeated_lines(docs, key, text).select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
-    out = docs.withColumn("_row", _row_key(key, text)).join(kept, "_row", "left")
-    stays = lambda x, i: x.rlike("^[\\x20\\x09-\\x0D]*$") | F.coalesce(F.array_contains("_kept", i), F.lit(False))
+    row, own = free_names(names, "_row", "_kept")
+    kept = repeated_lines(docs, key, text).select(F.col("row").alias(row), F.col("kept").alias(own))
+    out = docs.withColumn(row, _row_key(key, text)).join(kept, row, "left")
+    stays = lambda x, i: x.rlike("^[\\x20\\x09-\\x0D]*$") | F.coalesce(F.array_contains(own, i), F.lit(False))
     cut = F.array_join(F.filter(_split(F.col(text)), stays), "\n")
     return out.withColumn(text, F.when(F.col(text).isNotNull(), cut)).select(*names)

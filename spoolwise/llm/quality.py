@@ -159,7 +159,7 @@ def _counted(batch: pa.RecordBatch, text: str) -> np.ndarray:
 
 def calibrate(score: np.ndarray, good: np.ndarray, good_loss: float, weight: float = 10.0) -> float:
     """The threshold that catches most bad rows for the good ones it loses (one share lost weighs ``weight`` shares
-    caught), among those that lose at most a share ``good_loss``; of equal ones the highest."""
+    caught), among those that lose at most a share ``good_loss``; of equal ones the highest, half way to the next score."""
     own, bad = np.sort(score[good]), np.sort(score[~good])
     if not len(own):
         return np.inf
@@ -168,7 +168,8 @@ def calibrate(score: np.ndarray, good: np.ndarray, good_loss: float, weight: flo
     lost = 1 - np.searchsorted(own, cuts, "right") / len(own)
     caught = 1 - np.searchsorted(bad, cuts, "right") / len(bad) if len(bad) else 0.0 * cuts
     gain = caught - weight * lost
-    return float(cuts[np.flatnonzero(gain >= gain.max() - 1e-12)[-1]])
+    best = int(np.flatnonzero(gain >= gain.max() - 1e-12)[-1])
+    return float(cuts[best : best + 2].mean())
 
 
 def fit_quality(

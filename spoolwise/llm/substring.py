@@ -223,16 +223,17 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, gram
     bytes_ = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     bits = sketch.bits_for(bytes_ / 80, 14, max_bits)
     sketches = spark.sparkContext.broadcast(sketch.repeated(docs.select(text), _anchor_keys(text, width, gram), bits))
-    keyed = docs.select("*", F.xxhash64(body).alias("_t1"), F.xxhash64(F.lit(1), body).alias("_t2"))
-    rows = keyed.select(text, F.col("_t1").alias("t1"), F.col("_t2").alias("t2")).mapInArrow(_suspects(text, width, gram, bits, sketches), _ROWS)
+    one, two, from_, over = W.free_names(docs.columns, "_t1", "_t2", "_starts", "_spans")
+    keyed = docs.select("*", F.xxhash64(body).alias(one), F.xxhash64(F.lit(1), body).alias(two))
+    rows = keyed.select(text, F.col(one).alias("t1"), F.col(two).alias("t2")).mapInArrow(_suspects(text, width, gram, bits, sketches), _ROWS)
     found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_confirm, _FOUND)
-    marks = found.groupBy(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).agg(F.collect_list("starts").alias("_starts"), F.collect_list("spans").alias("_spans"))
+    marks = found.groupBy(F.col("t1").alias(one), F.col("t2").alias(two)).agg(F.collect_list("starts").alias(from_), F.collect_list("spans").alias(over))
     names = docs.columns
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, n_removed long, kept string").fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, spans = batch.column("_starts"), batch.column("_spans")
+            starts, spans = batch.column(from_), batch.column(over)
             counts, gone, kept = [], [], []
             for a, b, buf, off in W.text_slices(batch.column(text)):
                 w = W.find_words(buf, off, W.SPACE)
@@ -256,4 +257,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, gram
                 [*[batch.column(n) for n in names], pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
                 names=[*names, *added])
 
-    return keyed.join(marks, ["_t1", "_t2"], "left").mapInArrow(cut, schema)
+    return keyed.join(marks, [one, two], "left").mapInArrow(cut, schema)

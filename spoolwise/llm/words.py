@@ -155,3 +155,13 @@ def content_keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     raw = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:]))
     both = np.frombuffer(raw, np.int64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it differ from all ``columns``."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        out.append(n)
+    return out
