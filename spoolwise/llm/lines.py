@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.scans import cut_lineage
@@ -17,15 +15,17 @@ NEAR = 1_000_000
 """Rows up to which the lines to be compared are sent to every task (16 bytes each); more are joined by a shuffle."""
 _ROUNDS = (2, 10, 50)
 _SPACES = "[\\x20\\x09-\\x0D]+"
+_WORD = "[^\\x20\\x09-\\x0D]"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACES), lambda w: w != "")
+def words(line: Column) -> Column:
+    """A line's words; one empty word if it has none."""
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACES)
 
 
 def word_ranks(docs: DataFrame, text: str = "text", cells: int = RANK_CELLS) -> list[int]:
     """For each cell of word hashes the logarithm of how often its words occur, over all of ``docs``."""
-    word = docs.select(F.explode(F.split(F.col(text), _SPACES)).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(cells)).cast("int").alias("cell"))
+    word = docs.select(F.explode(F.split(F.col(text), _SPACES)).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell"))
     out = [0] * cells
     for r in word.groupBy("cell").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("rank")).collect():
         out[r["cell"]] = min(31, r["rank"] + 1)
@@ -35,10 +35,13 @@ def word_ranks(docs: DataFrame, text: str = "text", cells: int = RANK_CELLS) ->
 def _sets(lines: Column, ranks: list[int]) -> Column:
     """A line's distinct words as numbers, the rarest first: rank in the upper bits, hash below."""
     table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
-    hashes = F.array_distinct(F.transform(words(lines), lambda w: F.xxhash64(w)))
-    n = len(ranks)
-    token = lambda h: F.shiftleft(F.get(table, F.pmod(h, F.lit(n)).cast("int")).cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
-    return F.sort_array(F.transform(hashes, token))
+
+    def token(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rank = F.get(table, h.bitwiseAND(F.lit(len(ranks) - 1)).cast("int"))
+        return F.shiftleft(rank.cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
+
+    return F.sort_array(F.array_distinct(F.transform(words(lines), token)))
 
 
 def _row_key(key: str, text: str) -> Column:
@@ -49,27 +52,24 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-@dataclass(frozen=True)
-class _Pair:
+def _pair_filters() -> Column:
     """Conditions on two postings a and b of one word."""
-
-    def filters(self) -> Column:
-        top, bottom = SIMILAR
-        a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-        total = a("n") + b("n")
-        length = bottom * F.least(a("n"), b("n")) >= top * F.greatest(a("n"), b("n"))
-        # both prefixes meet here first: what follows bounds what they share
-        position = (top + bottom) * F.least(a("n") - a("at"), b("n") - b("at")) >= top * total
-        # words that stand in one line only leave an odd bit at least as often as they are few
-        parity = (top + bottom) * F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= (bottom - top) * total
-        return (F.col("a.word") == F.col("b.word")) & length & position & parity
+    top, bottom = SIMILAR
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    total = a("n") + b("n")
+    length = bottom * F.least(a("n"), b("n")) >= top * F.greatest(a("n"), b("n"))
+    # both prefixes meet here first: what follows bounds what they share
+    position = (top + bottom) * F.least(a("n") - a("at"), b("n") - b("at")) >= top * total
+    # words that one line alone has are at least as many as the bits in which the two differ
+    parity = (top + bottom) * F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= (bottom - top) * total
+    return (a("word") == b("word")) & length & position & parity
 
 
 def line_classes(docs: DataFrame, key: str, text: str, ranks: list[int]) -> DataFrame:
     """Distinct sets of words with their first line: ``id``, ``n``, ``parity``, ``first`` (key, line, row, prefix)."""
     top, bottom = SIMILAR
     rows = docs.select(F.col(key).alias("key"), _row_key(key, text).alias("row"), F.posexplode(_split(F.col(text))).alias("line", "_text"))
-    rows = rows.select("key", "row", "line", _sets(F.col("_text"), ranks).alias("_set")).where(F.size("_set") > 0)
+    rows = rows.where(F.col("_text").rlike(_WORD)).select("key", "row", "line", _sets(F.col("_text"), ranks).alias("_set"))
     n = F.size("_set")
     parity = F.aggregate("_set", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
     prefix = F.transform(F.slice("_set", 1, n - F.ceil(n * top / bottom).cast("int") + 1), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
@@ -95,11 +95,11 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     top, bottom = SIMILAR
     ranks = word_ranks(docs, text)
     classes = cut_lineage(line_classes(docs, key, text, ranks))
-    post = classes.select("id", "n", "parity", "first.key", "first.line", "first.row", F.posexplode("first.prefix").alias("at", "word"))
-    cond = _Pair().filters() & (F.col("a.id") != F.col("b.id"))
-    met = cut_lineage(post.alias("b").join(post.select("id", "n", "parity", "at", "word").alias("a"), cond, "left_semi"))
+    post = classes.select("id", "n", "parity", F.posexplode("first.prefix").alias("at", "word"))
+    met = cut_lineage(post.alias("b").join(post.alias("a"), _pair_filters() & (F.col("a.id") != F.col("b.id")), "left_semi"))
+    found = met.join(classes.select("id", "first.key", "first.line", "first.row"), "id")
     order = Window.partitionBy("word").orderBy("key", "line", "id")
-    lists = cut_lineage(met.withColumn("place", F.row_number().over(order)))
+    lists = cut_lineage(found.withColumn("place", F.row_number().over(order)))
     longest = lists.agg(F.max("place").alias("n")).first()["n"] or 0
     removed = None
     if longest > 1:
@@ -110,7 +110,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 break
             late = lists if removed is None else lists.join(removed, "id", "left_anti")
             hubs = lists.where((F.col("place") > low) & (F.col("place") <= high))
-            pairs = hubs.alias("a").join(late.alias("b"), _Pair().filters() & (F.col("a.place") < F.col("b.place")) & (F.col("a.id") != F.col("b.id")))
+            pairs = hubs.alias("a").join(late.alias("b"), _pair_filters() & (F.col("a.place") < F.col("b.place")) & (F.col("a.id") != F.col("b.id")))
             pairs = pairs.select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()
             both = pairs.join(sets.select(F.col("id").alias("ia"), F.col("set").alias("sa")), "ia").join(sets.select(F.col("id").alias("ib"), F.col("set").alias("sb")), "ib")
             shared = F.size(F.array_intersect("sa", "sb"))
@@ -135,7 +135,7 @@ def line_decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     A null text has no lines; an empty one has one, without words. See ``repeated_lines``.
     """
-    blank = F.array_compact(F.transform(_split(F.col(text)), lambda x, i: F.when(x.rlike("^[\\x20\\x09-\\x0D]*$"), i)))
+    blank = F.array_compact(F.transform(_split(F.col(text)), lambda x, i: F.when(~x.rlike(_WORD), i)))
     rows = docs.select(key, _row_key(key, text).alias("row"), F.when(F.col(text).isNull(), 0).otherwise(F.size(_split(F.col(text)))).cast("long").alias("n_lines"),
                        F.when(F.col(text).isNull(), F.array().cast("array<int>")).otherwise(blank).alias("_blank"))
     out = rows.join(repeated_lines(docs, key, text), "row", "left")
@@ -149,6 +149,6 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     row, own = free_names(names, "_row", "_kept")
     kept = repeated_lines(docs, key, text).select(F.col("row").alias(row), F.col("kept").alias(own))
     out = docs.withColumn(row, _row_key(key, text)).join(kept, row, "left")
-    stays = lambda x, i: x.rlike("^[\\x20\\x09-\\x0D]*$") | F.coalesce(F.array_contains(own, i), F.lit(False))
+    stays = lambda x, i: ~x.rlike(_WORD) | F.coalesce(F.array_contains(own, i), F.lit(False))
     cut = F.array_join(F.filter(_split(F.col(text)), stays), "\n")
     return out.withColumn(text, F.when(F.col(text).isNotNull(), cut)).select(*names)
