@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.scans import cut_lineage
 from . import graph, sketch, words as W
 
-RANK_BITS = 21
-"""Cells of the frequency ranks (one byte each) that put frequent n-grams last in every prefix."""
+RANK_BITS = 26
+"""Ceiling of the frequency ranks (one byte for each of ``2**RANK_BITS`` cells, 64 MB) that put frequent n-grams last."""
+NEAR = 500_000
+"""Places of sets at hubs that are sent to every task (40 bytes each); more are joined by a shuffle."""
 FILTER_BITS = 27
 """Ceiling of the bit filter for sets that must be compared (16 MB)."""
 BLOCK_GRAMS = 2 << 20
@@ -223,14 +225,16 @@ def _linked(percent: int):
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows, out = None, [], []
+        now, rows, seen, out = None, [], set(), []
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("p1", "p2", "i", "j", "s1", "s2", "side", "grams")]
             for p1, p2, i, j, s1, s2, side, grams in zip(*cols):
                 if now != (p1, p2, i, j):
                     out += forest(rows)
-                    now, rows = (p1, p2, i, j), []
-                rows.append((s1, s2, side, grams))
+                    now, rows, seen = (p1, p2, i, j), [], set()
+                if (s1, s2) not in seen:
+                    seen.add((s1, s2))
+                    rows.append((s1, s2, side, grams))
             if len(out) > 10_000:
                 yield batch_of(out)
                 out = []
@@ -259,10 +263,11 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key), F.col(text))
-    ranks = spark.sparkContext.broadcast(sketch.ranks(rows.select(text), _all_grams(text, n), RANK_BITS))
-    sets = cut_lineage(_described(rows, key, text, n, percent, ranks, RANK_BITS))
-    classes = sets.where("n > 0").groupBy("n", "p1", "p2", "s1", "s2").agg(F.first("prefix").alias("prefix"))
-    groups = classes.groupBy("n", "p1", "p2").agg(F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("sets"))
+    bytes_ = rows.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    rank_bits = sketch.bits_for(bytes_ / 6, 14, RANK_BITS, 1 / 8)
+    ranks = spark.sparkContext.broadcast(sketch.ranks(rows.select(text), _all_grams(text, n), rank_bits))
+    sets = cut_lineage(_described(rows, key, text, n, percent, ranks, rank_bits))
+    groups = sets.where("n > 0").groupBy("n", "p1", "p2").agg(F.first("prefix").alias("prefix"))
     postings = groups.select("n", "p1", "p2", "prefix").mapInArrow(_postings, "gram long, n long, at int, p1 long, p2 long")
     spread = postings.repartition("gram").sortWithinPartitions("gram", "n", "p1", "p2")
     stars = spread.mapInArrow(_stars(percent), _PAIR).distinct()
@@ -279,8 +284,12 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     need = places.select("s1", "s2").distinct()
     bits = sketch.bits_for(need.count(), 14, max_filter_bits, 16)
     wanted = spark.sparkContext.broadcast(sketch.present(need, lambda b: [b.column(0).to_numpy().view(np.uint64) ^ b.column(1).to_numpy().view(np.uint64)], bits))
-    full = rows.select(text).mapInArrow(_wanted_sets(text, n, wanted, bits), "s1 long, s2 long, grams binary").dropDuplicates(["s1", "s2"])
-    ready = tasks.join(full, ["s1", "s2"]).repartition("p1", "p2", "i", "j").sortWithinPartitions("p1", "p2", "i", "j")
+    full = rows.select(text).mapInArrow(_wanted_sets(text, n, wanted, bits), "s1 long, s2 long, grams binary")
+    if tasks.count() > NEAR:
+        ready = tasks.join(full.dropDuplicates(["s1", "s2"]), ["s1", "s2"])
+    else:  # copies in other tasks come along; a hub takes each set once
+        ready = full.join(F.broadcast(tasks), ["s1", "s2"])
+    ready = ready.repartition("p1", "p2", "i", "j").sortWithinPartitions("p1", "p2", "i", "j")
     found = ready.mapInArrow(_linked(percent), "a1 long, a2 long, b1 long, b2 long")
     node = lambda a, b: F.struct(F.col(a).alias("s1"), F.col(b).alias("s2"))
     roots = graph.components(found.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b")))
@@ -303,14 +312,18 @@ def _all_grams(text: str, n: int):
 
 def _wanted_sets(text: str, n: int, wanted, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
         for batch in batches:
             rows = {}
             for _, _, buf, off in W.text_slices(batch.column(text)):
                 for grams in gram_sets(buf, off, n):
                     if len(grams):
                         key = set_key(grams)
-                        if key not in rows and sketch.any_repeated([wanted.value], np.array([key[0] ^ key[1]], np.int64).view(np.uint64), bits)[0]:
+                        if key not in sent and sketch.any_repeated([wanted.value], np.array([key[0] ^ key[1]], np.int64).view(np.uint64), bits)[0]:
                             rows[key] = grams.tobytes()
+                            sent.add(key)
+            if len(sent) > 1 << 20:
+                sent.clear()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in rows], pa.int64()), pa.array([k[1] for k in rows], pa.int64()), pa.array(rows.values(), pa.binary())], ["s1", "s2", "grams"])
 

@@ -114,18 +114,28 @@ def ranks(df: DataFrame, keys_of: Keys, bits: int) -> np.ndarray:
     size = (1 << bits) // SLICES
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            for keys in keys_of(batch):
-                total += np.bincount(cells(keys, 0, bits), minlength=1 << bits).astype(np.uint32)
+        total = np.zeros(1 << bits, np.uint8)
+
+        def sent() -> pa.RecordBatch:
+            return _batch([(s, zlib.compress(total[s * size : (s + 1) * size].tobytes(), 1), b"", b"") for s in range(SLICES)])
+
+        for keys in _flushes(batches, keys_of):
+            at, n = np.unique(cells(keys, 0, bits), return_counts=True)
+            while len(at):
+                more = np.minimum(n, 255 - total[at])
+                total[at] += more.astype(np.uint8)
+                at, n = at[n > more], (n - more)[n > more]
+                if len(at):  # a cell is full: send what there is and count on
+                    yield sent()
+                    total[:] = 0
         if total.any():
-            yield _batch([(s, zlib.compress(total[s * size : (s + 1) * size].tobytes(), 1), b"", b"") for s in range(SLICES)])
+            yield sent()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                have.setdefault(s, np.zeros(size, np.uint64))[:] += np.frombuffer(zlib.decompress(packed), np.uint32)
+                have.setdefault(s, np.zeros(size, np.uint64))[:] += np.frombuffer(zlib.decompress(packed), np.uint8)
         yield _batch([(s, np.floor(np.log2(n.astype(np.float64) + 1)).astype(np.uint8).tobytes(), b"", b"") for s, n in have.items()])
 
     out = np.zeros(1 << bits, np.uint8)

@@ -413,6 +413,7 @@ def test_ngram_classes(docs, empty, n, percent):
 def test_chains_blocks_and_null_keys(spark, monkeypatch):
     """A chain in which only neighbours link, compared in many blocks; equal texts with and without a key."""
     monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 60)
+    monkeypatch.setattr(ngram_join, "NEAR", 0)
     base = [f"w{n}" for n in range(60)]
     rows = []
     for i in range(25):
