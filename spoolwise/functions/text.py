@@ -9,7 +9,7 @@ from .let import let
 from .lexicon import CLEANUP, ENGLISH, Lexicon
 
 TOKEN = "[a-z0-9']+"
-SENTENCE_BREAK = r"(?<=[.!?])\s+"
+SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+"
 TERMINAL_MARK = r"[.!?]\z"
 
 
@@ -120,7 +120,7 @@ def clean_text(text: Column, lex: Lexicon = ENGLISH) -> Column:
     """Drop fillers, then repair the punctuation they leave."""
     out = F.regexp_replace(text, "(?iU)" + lex.filler, "")
     for pattern, new in CLEANUP:
-        out = F.regexp_replace(out, pattern, new)
+        out = F.regexp_replace(out, "(?U)" + pattern, new)
     return F.btrim(out, F.lit(" ,;:"))
 
 

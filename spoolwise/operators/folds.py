@@ -62,7 +62,9 @@ def greedy_pick(
         left = state.where(open_).select(*keys, "_taken")
         if left.isEmpty():
             break
-        todo = ranked.join(left, keys).where(~F.exists("_taken", lambda p: conflict(p, F.col("_row"))))
+        # a row need not conflict with itself, so what is taken is left out by value as well
+        free = ~F.exists("_taken", lambda p: conflict(p, F.col("_row"))) & ~F.array_contains("_taken", F.col("_row"))
+        todo = ranked.join(left, keys).where(free)
         # a key whose remaining rows all conflict drops out of the join: its picks are final
         done = done.unionByName(left.join(todo.select(*keys).distinct(), keys, "left_anti"))
         todo = cut_lineage(todo)

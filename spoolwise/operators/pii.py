@@ -17,7 +17,7 @@ from .ranges import overlap_join
 from .scans import KEY, after, before, by_time, cut_lineage, low_after, peak_before, scan, upto
 
 HIT = "array<struct<kind:string,start:int,end:int,match:string>>"
-MAX_PATTERNS = 64
+BLOCK = 64  # free patterns searched in one pass over the lines
 
 
 # ------------------------------------------------------------------ terms
@@ -25,34 +25,47 @@ MAX_PATTERNS = 64
 def compile_terms(lines: list[str]) -> list[str]:
     """A short list of term lines as patterns; ``re:`` starts a regular expression, ``#`` a comment.
 
-    For a handful of patterns. Long dictionaries go through ``term_hits``, which joins on a word.
+    Each costs a search of every text; long dictionaries go through ``term_hits``, which joins on a word.
     """
     out = []
     for line in (ln.strip() for ln in lines):
         if line and not line.startswith("#"):
             body = line[3:] if line.startswith("re:") else r"(?<!\w)" + r"\s+".join(re.escape(w) for w in line.split()) + r"(?!\w)"
             out.append("(?iU)" + body)
-    if len(out) > MAX_PATTERNS:
-        raise ValueError(f"{len(out)} patterns: give a long dictionary to term_hits as a table instead")
     return out
 
 
 def term_patterns(terms: DataFrame, text: str = "text") -> DataFrame:
-    """P17 over a table of term lines: the pattern of each plain term and the word it is joined by."""
-    t = terms.select(F.trim(text).alias("term")).where((F.col("term") != "") & ~F.startswith("term", F.lit("#")) & ~F.startswith("term", F.lit("re:")))
+    """P17 over a table of term lines: the pattern of each term and the word it is joined by, its longest, as long words
+    are rare; none for ``re:`` terms and terms without a word."""
+    t = terms.select(F.trim(text).alias("term")).where((F.col("term") != "") & ~F.startswith("term", F.lit("#"))).distinct()
     quoted = F.regexp_replace("term", r"([^\w\s])", r"\\$1")
     pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(quoted, r"\s+", r"\\s+"), F.lit(r"(?!\w)"))
-    word = F.regexp_extract(F.lower("term"), r"(?U)\w+", 0)
-    return t.select("term", pattern.alias("pattern"), word.alias("word")).where(F.col("word") != "").distinct()
+    words = F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\w+"), F.lit(0))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    free = F.startswith("term", F.lit("re:"))
+    own = F.when(free, F.concat(F.lit("(?iU)"), F.expr("substring(term, 4)"))).otherwise(pattern)
+    return t.select("term", own.alias("pattern"), F.when(~free, longest).alias("word"))
 
 
 def term_hits(lines: DataFrame, terms: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """Matches of a dictionary of any size. Lines and terms meet on the term's first word, then the whole term is
-    checked, so a line never meets terms it shares no word with."""
+    """Matches of a dictionary of any size. Lines and terms meet on the term's longest word, then the whole term is
+    checked, so a line never meets terms it shares no word with. ``re:`` terms and terms without a word have nothing to
+    meet by: they are searched in blocks of ``BLOCK``, one pass over the lines each."""
+    patterns = term_patterns(terms)
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
-    met = lines.select(*ids, F.col(text).alias("_line"), F.explode(words).alias("word")).join(term_patterns(terms), "word")
+    met = lines.select(*ids, F.col(text).alias("_line"), F.explode(words).alias("word")).join(patterns.where("word is not null"), "word")
     found = F.regexp_extract_all("_line", F.col("pattern"), F.lit(0))
-    return met.select(*ids, F.lit("term").alias("kind"), "term", F.explode(found).alias("match"))
+    out = met.select(*ids, F.lit("term").alias("kind"), "term", F.explode(found).alias("match"))
+    rest, block = patterns.where("word is null").orderBy("term").toLocalIterator(), []
+    for r in [*rest, None]:
+        if block and (r is None or len(block) == BLOCK):
+            each = F.array(*[F.struct(F.lit(b["term"]).alias("term"), F.regexp_extract_all(F.col(text), F.lit(b["pattern"]), F.lit(0)).alias("found")) for b in block])
+            hits = lines.select(*ids, F.explode(each).alias("_t")).select(*ids, F.lit("term").alias("kind"), F.col("_t.term").alias("term"), F.explode("_t.found").alias("match"))
+            out, block = out.unionByName(hits), []
+        if r is not None:
+            block.append(r)
+    return out
 
 
 # ------------------------------------------------------------------ finding
@@ -95,7 +108,7 @@ def find_in_text(text: Column, terms: list[str] = (), kinds: dict[str, str] = SE
     """Every private detail of a text as ``array<struct<kind,start,end,match>>``, the whole text searched."""
     parts = []
     for k, p in kinds.items():
-        hits = _matches(text, k, p if p.startswith("(?i)") else "(?U)" + p)
+        hits = _matches(text, k, "(?iU)" + p[4:] if p.startswith("(?i)") else "(?U)" + p)
         if p == SENSITIVE.get(k):
             hits = F.when(text.isNotNull() & ~text.rlike(NEEDS[k]), F.array().cast(HIT)).otherwise(hits)
         parts.append(hits)

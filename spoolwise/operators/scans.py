@@ -7,6 +7,7 @@ chunks (a range of the row index, or a stretch of time). Each chunk is scanned b
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 KEY = "recording_id"
 CHUNK_ROWS = 1 << 16
 CHUNK = "_chunk"
+_WRITTEN: list[str] = []
 
 
 @dataclass(frozen=True)
@@ -156,9 +158,12 @@ def with_neighbours(
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is named (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Where none is named, a folder of this machine if Spark runs on it alone;
+    on a cluster that is an error, as executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spoolwise-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
@@ -171,4 +176,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{_shared_folder(df.sparkSession)}/spoolwise-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` has written in this process; frames that read it can't be used any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)

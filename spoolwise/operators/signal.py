@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ranges import overlap_join
 from .scans import KEY
@@ -25,11 +25,13 @@ def peak_levels(
 
 
 def rms_levels(spans: DataFrame, signal: DataFrame, ix: str, every: int = 4, width: float = 60.0) -> DataFrame:
-    """Root mean square of each span over every ``every``-th sample; ``ix`` numbers the samples of a span."""
-    hit = overlap_join(
-        spans, signal.where(F.col(ix) % every == 0), ("start", "end"), ("t", "t"), width,
-        (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")),
-    )
+    """Root mean square of each span over every ``every``-th of its own samples, in order of time, then ``ix``.
+
+    A span is a few hundredths of a second at one edge, so its samples are few and are numbered in one window.
+    """
+    hit = overlap_join(spans, signal, ("start", "end"), ("t", "t"), width, (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end")))
+    own = Window.partitionBy(KEY, "span_ix").orderBy("t", ix)
+    hit = hit.withColumn("_k", F.row_number().over(own) - 1).where(F.col("_k") % every == 0)
     rms = hit.groupBy(KEY, "span_ix").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("_r"))
     return spans.join(rms, [KEY, "span_ix"], "left").withColumn("rms", F.coalesce("_r", F.lit(0.0))).drop("_r")
 

@@ -161,9 +161,8 @@ def w(*ctes: str) -> str:
 
 KEPT = """
 kept as (
-  select recording_id, 0 seg_ix, min(start) + 1 s_start, max("end") - 1 s_end from cues where cue_ix between 9 and 11 group by 1
-  union all
-  select recording_id, 1, min(start) + 1, max("end") - 1 from cues where cue_ix between 2 and 5 group by 1)"""
+  select recording_id, k seg_ix, a + n * case k when 0 then 2 / 3.0::double else 1 / 6.0::double end s_start, a + n * case k when 0 then 1.0::double else 0.5::double end s_end
+  from (select recording_id, min(start) a, max("end") - min(start) n from cues group by 1), (values (0), (1)) v(k))"""
 ELEM = """
 edges as (select recording_id, start e from boxes union select recording_id, "end" from boxes),
 parts as (select recording_id, e a, lead(e) over (partition by recording_id order by e) b from edges),
@@ -211,9 +210,10 @@ ORACLE: dict[str, str] = {
         select f.doc_id, f.kind, f.text, f.n, f.m, r.start + length(r.m) + strpos(substring(f.text, (r.start + length(r.m) + 1)::bigint), f.m) - 1
         from r join f on f.doc_id = r.doc_id and f.kind = r.kind and f.n = r.n + 1)
       select doc_id, kind, start::bigint as start, (start + length(m))::bigint as "end", m as match from r""".replace("with k as", "with recursive k as"),
-    "p16_luhn": """select event_id, (select sum(case when k % 2 = 0 then v else case when v * 2 > 9 then v * 2 - 9 else v * 2 end end)
-          from (select ascii(substring(reverse(t), i::int + 1, 1)) - 48 v, i k from range(16) z(i))) % 10 = 0 ok
-      from (select event_id, '400000000' || lpad((event_id * 7919 % 10000000)::varchar, 7, '0') t from events)""",
+    "p16_luhn": """with f as (select doc_id, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9]){12,18}')) digits from documents),
+      g as (select doc_id, digits, count(*) n, reverse(regexp_replace(digits, '[ -]', '', 'g')) t from f group by 1, 2)
+      select doc_id, digits, n, list_sum(list_transform(range(1, length(t) + 1), lambda i: case when i % 2 = 1 then ascii(t[i]) - 48
+        else case when (ascii(t[i]) - 48) * 2 > 9 then (ascii(t[i]) - 48) * 2 - 9 else (ascii(t[i]) - 48) * 2 end end)) % 10 = 0 ok from g""",
     "p17_term_hits": """with t as (select distinct regexp_extract(text, '^([\\p{L}\\p{N}_]+ [\\p{L}\\p{N}_]+)', 1) term from benchmark where regexp_matches(text, '^[\\p{L}\\p{N}_]+ [\\p{L}\\p{N}_]+')),
       dw as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) word from documents),
       c as (select distinct doc_id, term from dw join t on word = regexp_extract(lower(term), '^[\\p{L}\\p{N}_]+')),
@@ -263,7 +263,7 @@ ORACLE: dict[str, str] = {
       select recording_id, min(word_ix) first_word, max(word_ix) last_word, round(first(s order by word_ix), 6) as start, round(last(e order by word_ix), 6) as "end", last(speaker order by word_ix) speaker from r group by recording_id, n""",
     "w3_words_from_cues": w(CUES, WORDS) + f"select recording_id, word_ix, {SE}, text, round(cut_start, 6) cut_start from words",
     "j1_align_speakers": w(CUES) + f""",
-      u as (select recording_id, start + 5 t, speaker, cue_ix, list_distinct({content('text')}) k from cues where cue_ix % 3 = 0),
+      u as (select recording_id, start + 5 t, speaker, cue_ix, list_distinct({content('text')}) k from cues),
       c as (select recording_id, cue_ix, (start + "end") / 2 m, list_distinct({content('text')}) k from cues),
       b as (select c.recording_id, c.cue_ix, u.speaker, u.t, u.cue_ix ux, len(list_intersect(c.k, u.k)) / len(c.k) o, len(list_intersect(c.k, u.k)) / len(c.k) - 0.005 * abs(t - m) s
             from c join u on u.recording_id = c.recording_id and t between m - 30 and m + 30 where len(c.k) > 0),
@@ -332,7 +332,8 @@ ORACLE: dict[str, str] = {
       big as (select * from sh where share > 0.05)
       select recording_id, round(start, 3) as start, round("end", 3) as "end", round(share, 6) share from (""" + merged("big", extra=", max(share) share") + ")",
     "a11_peak_rms": w(EV, PAUSES) + """, s as (select *, floor(start * 1000)::bigint span_ix from pauses),
-      p as (select s.recording_id, span_ix, max(abs(value)) p, sqrt(avg(case when event_id % 4 = 0 then value * value end)) r from s left join ev e on e.recording_id = s.recording_id and t >= start and t < "end" group by 1, 2)
+      p as (select recording_id, span_ix, max(abs(value)) p, sqrt(avg(case when k % 4 = 0 then value * value end)) r from (
+        select s.recording_id, span_ix, value, row_number() over (partition by s.recording_id, span_ix order by t, event_id) - 1 k from s left join ev e on e.recording_id = s.recording_id and t >= start and t < "end") group by 1, 2)
       select recording_id, span_ix, round(case when p > 0 then greatest(-120, 20 * log10(p / 500)) else -120 end, 4)::double peak_db, round(coalesce(r, 0), 4) rms from p""",
     "a12_changed_share": """with f as (select vec_id // 50 recording_id, (vec_id % 50)::double ts, list_transform(embedding, lambda x: floor(x * 100::float + 0.5::float)::int) l from embeddings)
       select a.recording_id, a.ts, round(len(list_filter(list_zip(a.l, b.l), lambda z: abs(z[1] - z[2]) > 12)) / len(a.l), 6) changed,
@@ -358,9 +359,9 @@ ORACLE: dict[str, str] = {
       select recording_id, round(a, 3) as start, round(z, 3) as "end" from (
         select recording_id, a, coalesce(z, hi) z from g join b using (recording_id) union all select recording_id, lo, lo + 10 from b) where z > a""",
     "w8_word_runs": w(CUES, WORDS, TIMED) + f"select recording_id, {SE}, words from ({merged('timed', 0.050001, extra=', count(*) words')})",
-    "w18_overlay_runs": w(CUES, WORDS) + """, f as (select recording_id, word_ix n, start ts from words where word_ix % 4 <> 0),
+    "w18_overlay_runs": w(CUES, WORDS) + """, f as (select recording_id, word_ix n, start ts from words),
       h as (select f.recording_id, c.cue_ix overlay_ix, n, ts, n - row_number() over (partition by f.recording_id, c.cue_ix order by n) g
-        from f join cues c on c.recording_id = f.recording_id and c.cue_ix % 5 = 0 and ts >= c.start and ts < c."end")
+        from f join cues c on c.recording_id = f.recording_id and ts >= c.start and ts < c."end")
       select recording_id, overlay_ix, round(min(ts), 6) as first, round(max(ts), 6) as last, count(*) frames from h group by recording_id, overlay_ix, g""",
     "w21_sample_times": w(CUES) + """, s as (select recording_id, floor(start) a, floor("end" + 1) b from cues)
       select distinct recording_id, round(t, 2)::double t from (
@@ -381,7 +382,7 @@ for _n in ("t1_best_windows",):
     ORACLE[_n] = ORACLE[_n].replace(CANDS + " ", CANDS + PICKS + " ")
 ORACLE["j5_cues_in_moment"] = ORACLE["j5_cues_in_moment"].replace(CANDS + " ", CANDS + PICKS + " ").replace(", r3 as (select * from picks3)", "")
 
-REQS = 'reqs as (select recording_id, cue_ix req_ix, start + 1.3 as start, "end" + 17.7 as "end" from cues where cue_ix % 5 = 0)'
+REQS = 'reqs as (select recording_id, cue_ix req_ix, start + 1.3 as start, "end" + 17.7 as "end" from cues)'
 PK = CANDS + PICKS
 TAKE = f""", kp as (
   select p.recording_id, p.i, trim(x, ' ,') s, k from (
@@ -461,8 +462,9 @@ ORACLE |= {
           sum(base) over (partition by recording_id order by cue_ix) u from b),
       p as (select i.recording_id, i.cue_ix i, j.cue_ix as last, i.start, j."end",
           round((j.u - i.u + i.base) / greatest(j."end" - i.start, 30) * case when i.sc then 1.15 else 1 end * case when j.ec then 1.15 else 1 end, 9) score
-        from c i join c j on j.recording_id = i.recording_id and j.cue_ix >= i.cue_ix and j."end" - i.start between 15 and 60)
-      select recording_id, i, last, {SE}, round(score, 5) score from (select *, row_number() over (partition by recording_id, i order by score desc, last) n from p) where n = 1""",
+        from c i join c j on j.recording_id = i.recording_id and j.cue_ix >= i.cue_ix and j."end" - i.start between 15 and 60),
+      r as (select *, row_number() over (partition by recording_id, i order by score desc, last) n, row_number() over (partition by recording_id, i order by last) f from p)
+      select recording_id, i, case when n = 1 then 0 else 1 end::bigint kind, last, {SE}, round(score, 5) score from r where n = 1 or f = 1""",
     "w20_card_runs": w(CUES, PK + TAKE + TIMELINE) + """, f as (select *, greatest(1, round_even(seconds * 24, 0))::bigint fr, role <> 'clip' card from line),
       g as (select *, coalesce(sum(fr) over (o rows between unbounded preceding and 1 preceding), 0) as first_frame, sum(case when card then 0 else 1 end) over o as grp, max(item_ix) over (partition by recording_id) as top from f window o as (partition by recording_id order by item_ix)),
       r as (select recording_id, grp, min(first_frame)::bigint start_frame, sum(fr)::bigint frames, min(item_ix) a, max(item_ix) b, max(top) top from g where card group by 1, 2)

@@ -50,9 +50,9 @@ def epoch(ts: str = "ts") -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6)
 
 
-def utterances_from_cues(cues: DataFrame, shift: float = 5.0, every: int = 3) -> DataFrame:
-    """Every third cue as a note line, its time shifted: stands in for meeting notes."""
-    return cues.where(F.col("cue_ix") % every == 0).select(
+def utterances_from_cues(cues: DataFrame, shift: float = 5.0) -> DataFrame:
+    """Every cue as a note line, its time shifted: stands in for meeting notes."""
+    return cues.select(
         KEY, (F.col("start") + shift).alias("time"), F.col("speaker"), F.col("text"), F.col("cue_ix").alias("utt_ix")
     )
 
