@@ -52,7 +52,13 @@ class Pieces:
             elif p.type == 1:
                 self.score[p.piece] = (p.score if unigram else -math.log(rank + 2), (n,))
                 rank += 1
-        self.longest = max(map(len, self.score), default=1)
+        self.trie: dict = {}
+        for piece, found in self.score.items():
+            node = self.trie
+            for n, char in enumerate(piece):
+                entry = node.setdefault(char, [{}, None])
+                node = entry[0]
+            entry[1] = found
         inner = [p for p in self.score if MARK in p.lstrip(MARK)]
         if inner:
             raise ValueError(f"a piece runs over two words: {inner[0]!r}")
@@ -70,26 +76,31 @@ class Pieces:
         """Piece numbers of distinct words.
 
         Sorted, the words are the trie's leaves in depth-first order: forward scores up to the prefix that a word
-        shares with the one before it are kept, and only the rest of its path is scored.
+        shares with the one before it are kept, and only the rest of its path is scored. With each score stand the
+        pieces that are still open there, as nodes of the vocabulary's own trie.
         """
-        best, back = [0.0], [(-1, ())]
-        find, score, longest, out, last = self.score.get, self.score, self.longest, {}, ""
+        paths, back, out, last, root = [[(self.trie, 0.0, 0)]], [(-1, ())], {}, "", self.trie
         for word in sorted(set(words)):
             shared, most = 0, min(len(word), len(last))
             while shared < most and word[shared] == last[shared]:
                 shared += 1
-            del best[shared + 1 :], back[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                top, how = -math.inf, None
-                for start in range(end - longest if end > longest else 0, end):
-                    found = find(word[start:end])
-                    if found and best[start] + found[0] > top:
-                        top, how = best[start] + found[0], (start, found[1])
-                if word[end - 1] not in score:
-                    spelled = tuple(self.bytes.get(b, self.unknown) for b in word[end - 1].encode()) if self.bytes else (self.unknown,)
-                    if best[end - 1] + _UNKNOWN * len(spelled) > top:
-                        top, how = best[end - 1] + _UNKNOWN * len(spelled), (end - 1, spelled)
-                best.append(top)
+            del paths[shared + 1 :], back[shared + 1 :]
+            for end in range(shared, len(word)):
+                char, top, how, on = word[end], -math.inf, None, []
+                for node, score, start in paths[end]:
+                    below = node.get(char)
+                    if below:
+                        if below[0]:
+                            on.append((below[0], score, start))
+                        if below[1] and score + below[1][0] > top:
+                            top, how = score + below[1][0], (start, below[1][1])
+                if char not in self.score:
+                    spelled = tuple(self.bytes.get(b, self.unknown) for b in char.encode()) if self.bytes else (self.unknown,)
+                    score = paths[end][-1][1] + _UNKNOWN * len(spelled)
+                    if score > top:
+                        top, how = score, (end, spelled)
+                on.append((root, top, end + 1))
+                paths.append(on)
                 back.append(how)
             ids, at = [], len(word)
             while at > 0:
