@@ -11,10 +11,12 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from spoolwise import registry  # noqa: E402
+from spoolwise.operators.scans import drop_staged  # noqa: E402
 
 HEADLINE = (
     "p3_score_cue", "p5_teachable", "p15_find_sensitive", "q7_redact_text", "w1_sentences", "w2_sentence_spans", "w5_merge_intervals",
     "j1_align_speakers", "a2_format_blocks", "a9_coverage", "t1_best_window", "t1_best_windows", "j8_neighbours",
+    "t3_pick_moments", "w14_cut_moments", "w16_merge_boxes", "w17_screen_runs", "q4_reel",
 )
 
 
@@ -36,6 +38,7 @@ def main() -> None:
         registry.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
+    drop_staged(spark)
     spark.stop()
 
 

@@ -78,11 +78,11 @@ def parse_srt_strict(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         end = num(5) * 3600 + num(6) * 60 + num(7) + num(8) / F.lit(1000)
         high = (num(2) >= 60) | (num(3) >= 60) | (num(6) >= 60) | (num(7) >= 60)
         error = (
-            F.when((F.size(lines(b)) < 3) | ~indexed(b), "expected a numeric index, timing line, and subtitle text")
-            .when(~t.rlike(STRICT_TIMING), "expected finite timestamps in HH:MM:SS,mmm --> HH:MM:SS,mmm format")
-            .when(high, "timestamp minutes and seconds must be below 60")
-            .when(end <= start, "require 0 <= start < end")
-            .when(F.trim(F.regexp_replace(own, r"\s", "")) == "", "subtitle text must not be empty")
+            F.when((F.size(lines(b)) < 3) | ~indexed(b), "a block holds a number, a line of times and text")
+            .when(~t.rlike(STRICT_TIMING), "the line of times is not of the form 00:00:00,000 --> 00:00:00,000")
+            .when(high, "minutes or seconds of 60 or more")
+            .when(end <= start, "it ends no later than it starts")
+            .when(F.trim(F.regexp_replace(own, r"\s", "")) == "", "no text")
         )
         return F.struct(
             b["position"].alias("position"), start.alias("start"), end.alias("end"), F.array_join(said, "\n").alias("text"),

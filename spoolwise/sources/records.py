@@ -33,7 +33,7 @@ def parse_words(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         KEY, F.col("word_ix").cast("long").alias("word_ix"), "w.start", "w.end", "w.text", F.lit(None).cast("string").alias("speaker"),
         F.lit(True).alias("timed"), F.lit(None).cast("double").alias("cut_start"), F.lit(None).cast("double").alias("cut_end"),
     )
-    return words, d.where(F.col("_items").isNull()).select(KEY, F.lit("expected a JSON list of {start, end, word}").alias("message"))
+    return words, d.where(F.col("_items").isNull()).select(KEY, F.lit("the file is no list of word timings").alias("message"))
 
 
 def read_words(spark: SparkSession, paths: str | list[str], rid=files.path_id) -> tuple[DataFrame, DataFrame]:
@@ -48,6 +48,7 @@ def write_words(words: DataFrame, path: str, mode: str = "errorifexists") -> Non
 
 # ------------------------------------------------------------------ meeting notes
 
+# The forms of a time line and of a spoken line in meeting notes.
 ANCHOR = r"^\s*(\d{1,2}):(\d{2}):(\d{2})\s*$"
 NOTE_LINE = r"^([A-Z][A-Za-z.'’\- ]{0,39}):\s+(\S.*)$"
 
@@ -121,11 +122,11 @@ def parse_redactions(docs: DataFrame, width: int, height: int, duration: float |
     raw = F.struct(*[F.get(nums, F.lit(k)).alias(n) for k, n in enumerate("xywh")])
     d = d.withColumns({"start": start, "end": end, "_n": nums, "_box": bx.clamp_box(raw, F.lit(width), F.lit(height))})
     message = (
-        F.when(r.isNull(), "expected a JSON list of {start, end, box, why}")
-        .when(F.col("start").isNull() | F.col("end").isNull() | field(r, "box").isNull(), "needs start, end (seconds or h:mm:ss) and box [x, y, w, h]")
-        .when(F.coalesce(F.size("_n") != 4, F.lit(True)) | F.exists("_n", lambda v: v.isNull()), "box must be [x, y, w, h] in source pixels")
-        .when(F.col("end") <= F.col("start"), "end must be after start")
-        .when(F.col("_box").isNull(), F.format_string(f"box lies outside the {width}x{height} frame"))
+        F.when(r.isNull(), "the file is no list of redaction records")
+        .when(F.col("start").isNull() | F.col("end").isNull() | field(r, "box").isNull(), "start, end or box is missing or unreadable")
+        .when(F.coalesce(F.size("_n") != 4, F.lit(True)) | F.exists("_n", lambda v: v.isNull()), "a box holds four numbers: left, top, width, height")
+        .when(F.col("end") <= F.col("start"), "it ends no later than it starts")
+        .when(F.col("_box").isNull(), F.format_string(f"nothing of the box is inside {width} x {height} pixels"))
     )
     d = d.withColumn("message", message)
     if duration is not None:
@@ -161,9 +162,9 @@ def parse_moment_specs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = d.withColumns({n: F.nullif(field(r, n), F.lit("")) for n in SPEC_TEXT})
     d = d.withColumn("score", F.coalesce(ck.to_number(field(r, "score")), F.lit(0.0)))
     message = (
-        F.when(r.isNull(), "expected a JSON list of moments")
-        .when(F.col("start").isNull() | F.col("end").isNull(), "needs start and end (seconds or h:mm:ss)")
-        .when(F.col("end") <= F.col("start"), "end must be after start")
+        F.when(r.isNull(), "the file is no list of moments")
+        .when(F.col("start").isNull() | F.col("end").isNull(), "start or end is missing or unreadable")
+        .when(F.col("end") <= F.col("start"), "it ends no later than it starts")
     )
     d = d.withColumn("message", message)
     good = d.where(F.col("message").isNull()).select(KEY, F.col("_k").alias("req_ix"), "start", "end", "lines", "score", *SPEC_TEXT, F.col("_r").alias("record"))
@@ -202,7 +203,7 @@ def media_facts(probes: DataFrame, text: str = "probe_json") -> tuple[DataFrame,
         "subtitle_stream_index": F.when(F.array_contains(types, "subtitle"), F.lit(0)),
     }).drop("_p")
     ok = F.col("duration_seconds") > 0
-    return p.where(ok).drop(text), p.where(~ok).select(KEY, F.lit("could not determine the duration").alias("message"))
+    return p.where(ok).drop(text), p.where(~ok).select(KEY, F.lit("no duration in the probe output").alias("message"))
 
 
 def incremental_filter(inputs: DataFrame, manifest: DataFrame, parts: list[str], version: int = 3) -> DataFrame:
