@@ -74,6 +74,7 @@ class Scanner:
     names: list[str]
     sets: list[set]
     every: np.ndarray
+    holds: np.ndarray  # template x bigram of ``every``
 
     @staticmethod
     def of(templates: Mapping[str, str]) -> Scanner:
@@ -84,12 +85,14 @@ class Scanner:
             if len(w.start):
                 names.append(name)
                 sets.append(set(bigrams(w.hashes()).tolist()))
-        return Scanner(names, sets, np.unique(np.array(sorted(set().union(*sets)), np.uint64)) if sets else np.zeros(0, np.uint64))
+        every = np.array(sorted(set().union(*sets)), np.uint64)
+        return Scanner(names, sets, every, np.array([[int(b) in s for b in every] for s in sets], bool))
 
     def slice(self, buf: np.ndarray, offsets: np.ndarray, least: float) -> list[list[tuple]]:
         """For each row (template, dice, first word, end word) of the best passage for each template, if good enough.
 
-        Passages are runs of whole sentences (cut after . ! ? before white space, and at line ends). Only sentences that
+        Passages are runs of whole sentences (cut after . ! ? before white space, and at line ends). A text is looked at
+        for a template only if it holds as many of its bigrams as the least size that can match. Only sentences that
         hold a bigram of the template can begin or end its best passage, and only passages whose number of bigrams lies
         within the size bounds are compared. Of equal passages the first and shortest is taken.
         """
@@ -105,19 +108,20 @@ class Scanner:
         last = np.ones(len(w.start), bool)
         last[:-1] = seen[w.start[1:]] > seen[w.end[:-1]]
         last[w.first[1:][w.first[1:] > 0] - 1] = True
-        pairs = bigrams(hashes) if len(hashes) > 1 else np.zeros(0, np.uint64)
-        alone = W.mix(hashes, 77)
-        near = lambda x: self.every[np.minimum(np.searchsorted(self.every, x), len(self.every) - 1)] == x
-        rows = w.rows()
-        hit = np.zeros(len(rows), bool)
-        hit[:-1] = near(pairs) & (rows[1:] == rows[:-1])
-        hit |= near(alone)
-        for r in np.unique(rows[hit]).tolist():
-            f, e = int(w.first[r]), int(w.first[r + 1])
-            ends = (np.flatnonzero(last[f:e]) + f + 1).tolist()
-            begins = [f, *ends[:-1]]
-            for name, own in zip(self.names, self.sets):
-                best = self._best(own, hashes, begins, ends, least)
+        rows, k = w.rows(), len(self.every)
+        same = np.flatnonzero(rows[1:] == rows[:-1])
+        # a bigram of every word with the next one, and the bigram that a word makes alone
+        grams = np.concatenate((W.mix(hashes[same] * np.uint64(0x9E3779B97F4A7C15) + hashes[same + 1], 78), W.mix(hashes, 77)))
+        at = np.minimum(np.searchsorted(self.every, grams), k - 1)
+        hit = self.every[at] == grams
+        seen_ = np.unique(np.concatenate((rows[same], rows))[hit] * k + at[hit])
+        row, gram = seen_ // k, seen_ % k
+        for name, own, holds in zip(self.names, self.sets, self.holds):
+            enough = np.bincount(row[holds[gram]], minlength=len(out)) >= size_bounds(len(own), least)[0]
+            for r in np.flatnonzero(enough).tolist():
+                f, e = int(w.first[r]), int(w.first[r + 1])
+                ends = (np.flatnonzero(last[f:e]) + f + 1).tolist()
+                best = self._best(own, hashes, [f, *ends[:-1]], ends, least)
                 if best:
                     out[r].append((name, best[0], best[1] - f, best[2] - f))
         return out
