@@ -23,7 +23,7 @@ def test_strict_srt(spark):
     cues, bad = cp.parse_srt_strict(docs(spark, good, "oops\n\n1\n00:61:00,000 --> 00:62:00,000\nx"))
     assert [(r.cue_ix, r.start, r.text) for r in cues.orderBy("recording_id", "cue_ix").collect()] == [(0, 1.0, "Hi\nmore of it"), (1, 3.0, "(Ann)\nyes")]
     got = [(r.recording_id, r.record_ix, r.message) for r in bad.orderBy("record_ix").collect()]
-    assert [g[:2] for g in got] == [(1, 1), (1, 2)] and "below 60" in got[1][2]
+    assert [g[:2] for g in got] == [(1, 1), (1, 2)] and "60 or more" in got[1][2]
 
 
 def test_srt_round_trip(spark, tmp_path):
