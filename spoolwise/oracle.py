@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from .functions.lexicon import STOP_WORDS, TASK_WORDS
+from .jobs import SKELETON
+from .operators.picks import AIR, BOOKENDS, CARD, INTRO, TOLERANCE
+
+OUTLINE_TAIL = ("## Moments skeleton\n\nPick the moments worth keeping and fill this list:\n\n```json\n" + SKELETON + "\n```\n").replace("'", "''")
 
 CUES = r"""
 cues as (
@@ -453,6 +457,66 @@ ORACLE |= {
     "s13_resolve_captions": w(CUES) + """select recording_id, case when recording_id % 3 = 0 then 'srt' when recording_id % 2 = 0 then 'transcribed' else 'embedded' end captions_kind, count(*) cues
       from cues where recording_id % 3 = 0 or recording_id % 2 = 0 or recording_id % 5 = 0 group by 1, 2""",
     "s16_incremental_filter": w(CUES) + "select recording_id, cue_ix from cues where cue_ix % 2 = 0",
+    "s1_read_srt": w(CUES) + "select recording_id, cue_ix, round(start, 3) as start, round(\"end\", 3) as \"end\", regexp_replace(text, '\\s*\\n\\s*', ' ', 'g') as text, speaker from cues",
+    "s2_strict_cues": w(CUES) + """select recording_id, row_number() over (partition by recording_id order by cue_ix) - 1 cue_ix, round(start, 3) as start, round("end", 3) as "end", text
+      from cues where cue_ix % 10 <> 3""",
+    "s2_strict_rejects": w(CUES) + "select recording_id, cue_ix + 1 record_ix from cues where cue_ix % 10 = 3",
+    "s4_read_words": w(CUES, WORDS, TIMED) + f"select recording_id, word_ix, {SE}, text from timed",
+    "s6_read_notes": """with t as (select conv_id recording_id, turn, upper(role[1]) || role[2:] speaker, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, turn // 2 b from conversations),
+      x as (select *, sum(length(text)) over (partition by recording_id, b) al, coalesce(sum(length(text)) over (partition by recording_id, b order by turn rows between unbounded preceding and 1 preceding), 0) bf, max(b) over (partition by recording_id) mb from t)
+      select recording_id, row_number() over (partition by recording_id order by turn) - 1 utt_ix, round(b * 60 + case when b = mb then al / 15.0::double else 60 end * bf / al, 6)::double as time, speaker, text from x""",
+    "s9_read_specs": w(CUES, REQS) + f"""select recording_id, req_ix, {SE}, 'T|a|b' card from reqs where req_ix % 4 <> 1
+      union all select recording_id, req_ix + 1, null, null, 'rejected' from reqs where req_ix % 4 = 1""",
+    "s12_media_facts": w(CUES) + """select recording_id, case when recording_id % 5 = 0 then 0.0 else printf('%.3f', max("end"))::double end duration_seconds, recording_id % 5 <> 0 and recording_id % 3 = 0 has_video,
+      recording_id % 5 <> 0 and recording_id % 3 <> 0 has_audio, case when recording_id % 5 = 0 then -1 when recording_id % 3 = 0 then 0 end::bigint subtitle from cues group by recording_id""",
+    "f4_hms_tenths": w(CUES) + """, t as (select *, start * 37 t, floor(start * 37)::bigint n from cues)
+      select recording_id, cue_ix, printf('%d:%02d:%04.1f', n // 3600, n % 3600 // 60, n % 60 + (t - n)) stamp from t""",
+    "f9_trim_words": w(CUES) + """, l as (select *, regexp_extract_all(text, '\\S+') l from cues)
+      select recording_id, cue_ix, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: (i - 0.5) / len(l) between 0.25 and 0.75), lambda i: l[i]), ' ') as text from l""",
+    "p8_tidy_sentence": w(CUES) + f"""select recording_id, cue_ix, upper(t[1]) || t[2:] tidy from (select *, trim(regexp_replace({clean('text', 'that|with')}, '\\s+', ' ', 'g'), ' ,;:') t from cues)""",
+    "p21_pad": w(CUES, REQS) + """select recording_id, req_ix, round(greatest(0, r.start - 0.15), 6) as start, round(least(r."end" + 0.3, d), 6) as "end"
+      from reqs r join (select recording_id, max("end") d from cues group by 1) using (recording_id)""",
+    "v2_story_faults": w(CUES) + """select recording_id * 100000 + cue_ix spec_id, case cue_ix % 4 when 0 then 'overlay_outside' when 1 then 'choice' else 'unknown_key' end as rule from cues where cue_ix % 4 < 3""",
+    "t5_fit_moments": w(CUES, REQS) + f""", r as (select *, row_number() over (partition by recording_id order by req_ix % 7 desc, req_ix) k from reqs),
+      z as (
+        select recording_id, 0::bigint k, 0::bigint req_ix, {INTRO + BOOKENDS}::double run, []::struct(s double, e double)[] taken, false ok from r group by 1
+        union all
+        select recording_id, k, req_ix, case when fits then run + {CARD + AIR} + e - s else run end, case when fits then list_append(taken, {{'s': s, 'e': e}}) else taken end, fits from (
+          select z.recording_id, r.k, r.req_ix, z.run, z.taken, r.start s, r."end" e,
+            z.run < 90 and z.run + {CARD} + r."end" - r.start <= {90 * (1 + TOLERANCE)} and len(list_filter(z.taken, lambda x: r.start < x.e and r."end" > x.s)) = 0 fits
+          from z join r on r.recording_id = z.recording_id and r.k = z.k + 1))
+      select recording_id, req_ix moment_ix from z where ok""",
+    "w17_screen_runs": """with recursive f as (select vec_id // 50 recording_id, (vec_id % 50)::double ts, list_transform(embedding, lambda x: floor(x * 100::float + 0.5::float)::int) l from embeddings),
+      n as (select *, row_number() over (partition by recording_id order by ts) k from f),
+      z as (
+        select recording_id, k, ts, l head, l seen, ts rt, ts run, true rd from n where k = 1
+        union all
+        select recording_id, k, ts, case when same then head else l end, case when rd then l else seen end, case when rd then ts else rt end, case when same then run else ts end, rd from (
+          select *, not same or far >= 8 or ts - rt >= 3 rd from (
+            select n.recording_id, n.k, n.ts, n.l, z.head, z.seen, z.rt, z.run,
+              len(list_filter(range(1, len(n.l) + 1), lambda i: abs(z.head[i] - n.l[i]) > 12)) / len(n.l)::double < 0.4 same,
+              list_max(list_transform(range(1, len(n.l) + 1), lambda i: abs(z.seen[i] - n.l[i]))) far
+            from z join n on n.recording_id = z.recording_id and n.k = z.k + 1)))
+      select recording_id, ts, run run_start, rd or (lead(run) over (partition by recording_id order by ts) is distinct from run and ts - rt >= 1) as read from z""",
+    "q3_outline": f"""select recording_id, 1 part, block ix, text || chr(10) line from ({ORACLE['a2_format_blocks']})
+      union all select recording_id, 0, unnest(range(len(l))), unnest(l) from ({w(CUES)} select recording_id, ['# Session — outline', '',
+        'Source: `talk-' || recording_id || '.mp4` · ' || {hms('floor(max("end"))::bigint')} || ' long · ' || count(*) || ' caption cues · 30 s blocks',
+        'Speakers: ' || array_to_string(list_sort(list(distinct speaker)), ', '), chr(10) || '## Transcript' || chr(10)] l from cues group by 1)
+      union all select distinct conv_id, 2, 0, '{OUTLINE_TAIL}' from conversations where trim(text) <> ''""",
+    "j9_snap_to_sentences": w(CUES, WORDS, REQS) + r""", f as (
+        select *, case when lag(text) over o is null or regexp_matches(lag(text) over o, '[.!?]+["''”’)\]]*$') or lag(speaker) over o <> speaker or start - lag("end") over o > 1.5 then 1 else 0 end b
+        from words window o as (partition by recording_id order by word_ix)),
+      r as (select recording_id, word_ix, start s, "end" e, cut_start cs, cut_end ce, start span, 0::bigint n from f where word_ix = 0
+        union all
+        select f.recording_id, f.word_ix, f.start, f."end", f.cut_start, f.cut_end, case when f.b = 1 or f."end" - r.span > 20 then f.start else r.span end, case when f.b = 1 or f."end" - r.span > 20 then r.n + 1 else r.n end
+        from r join f on f.recording_id = r.recording_id and f.word_ix = r.word_ix + 1),
+      sp as (select recording_id, min(word_ix) ix, first(cs order by word_ix) s, last(ce order by word_ix) e, first(s order by word_ix) f, last(e order by word_ix) l from r group by recording_id, n),
+      h as (
+        select q.recording_id, req_ix, q.start t0, q."end" t1, coalesce(bool_or(abs(round(s, 3) - round(q.start, 3)) < 1e-6), false) on0, coalesce(bool_or(abs(round(e, 3) - round(q."end", 3)) < 1e-6), false) on1,
+          min({'ix': ix, 's': s, 'f': f}) filter (f <= q.start and q.start < l) h0, min({'ix': ix, 'e': e, 'l': l}) filter (f < q."end" and q."end" <= l) h1
+        from reqs q left join sp on sp.recording_id = q.recording_id and least(s, f) < q."end" + 0.001 and greatest(e, l) > q.start - 0.001 group by all)
+      select recording_id, req_ix, round(case when on0 or h0 is null then t0 when t0 - h0.s <= 12 then h0.s when t0 - h0.f <= 12 then h0.f else t0 end, 6) snap_start,
+        round(case when on1 or h1 is null then t1 when h1.e - t1 <= 12 then h1.e when h1.l - t1 <= 12 then h1.l else t1 end, 6) snap_end from h""",
 }
 ORACLE |= {
     "t2_candidate_windows": w(CUES) + f""", b as (

@@ -652,6 +652,100 @@ def q8_check_redaction(s, d):
     return clean.select("doc_id", F.lit("clean").alias("state")).unionByName(quarantine.select("doc_id", F.lit("quarantine").alias("state")))
 
 
+def _as_text(rows, ix, line, sep="\n"):
+    """One text a recording, its lines in order: a file as a row."""
+    told = F.transform(F.array_sort(F.collect_list(F.struct(F.col(ix).alias("k"), F.col(line).alias("v")))), lambda x: x["v"])
+    return rows.groupBy(KEY).agg(F.array_join(told, sep).alias("text"))
+
+
+def s1_read_srt(s, d):
+    c = staged(s, d, "cues").withColumn("text", F.concat(F.lit("("), "speaker", F.lit(")\n"), "text"))
+    x = cp.parse_srt(_as_text(cp.srt_blocks(c), "cue_ix", "line"))
+    return x.select(KEY, F.col("cue_ix").cast("long").alias("cue_ix"), _r(F.col("start"), 3).alias("start"), _r(F.col("end"), 3).alias("end"), "text", "speaker")
+
+
+def _strict(s, d):
+    """Every tenth cue ends when it starts."""
+    c = staged(s, d, "cues").withColumn("end", F.when(F.col("cue_ix") % 10 == 3, F.col("start")).otherwise(F.col("end")))
+    return cp.parse_srt_strict(_as_text(cp.srt_blocks(c), "cue_ix", "line"))
+
+
+def s2_strict_cues(s, d):
+    return _strict(s, d)[0].select(KEY, F.col("cue_ix").cast("long").alias("cue_ix"), _r(F.col("start"), 3).alias("start"), _r(F.col("end"), 3).alias("end"), "text")
+
+
+def s2_strict_rejects(s, d):
+    return _strict(s, d)[1].select(KEY, F.col("record_ix").cast("long").alias("record_ix"))
+
+
+def s4_read_words(s, d):
+    """The timed words as a JSON list, with a row that has no word after every tenth."""
+    w = staged(s, d, "timed_words").withColumn("line", F.concat(
+        F.to_json(F.struct("start", "end", F.col("text").alias("word"))), F.when(F.col("word_ix") % 10 == 0, ',{"start":1,"end":2,"word":" "}').otherwise("")))
+    text = _as_text(w, "word_ix", "line", ",").withColumn("text", F.concat(F.lit("["), "text", F.lit("]")))
+    return rc.parse_words(text)[0].select(KEY, "word_ix", _r(F.col("start")).alias("start"), _r(F.col("end")).alias("end"), "text")
+
+
+def s6_read_notes(s, d):
+    """A time line for every two turns, and the turns as spoken lines."""
+    t = table(s, d, "conversations").select(F.col("conv_id").alias(KEY), "turn", F.initcap("role").alias("who"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("said"))
+    block = F.floor(F.col("turn") / 2)
+    head = F.when(F.col("turn") % 2 == 0, F.concat(F.format_string("0:%02d:00", block), F.lit("\n"))).otherwise("")
+    x = rc.parse_notes(_as_text(t.withColumn("line", F.concat(head, "who", F.lit(": "), "said")), "turn", "line"))
+    return x.select(KEY, F.col("utt_ix").cast("long").alias("utt_ix"), _r(F.col("time")).alias("time"), "speaker", "text")
+
+
+def s9_read_specs(s, d):
+    """Requests as JSON records; every fourth one ends before it starts."""
+    r = _requests(s, d).withColumn("end", F.when(F.col("req_ix") % 4 == 1, F.col("start") - 1).otherwise(F.col("end")))
+    line = F.to_json(F.struct("start", "end", F.lit("T").alias("title"), F.array(F.lit("a"), F.lit("b")).alias("lines")))
+    text = _as_text(r.withColumn("line", line), "req_ix", "line", ",").withColumn("text", F.concat(F.lit("["), "text", F.lit("]")))
+    good, bad = rc.parse_moment_specs(text)
+    good = good.select(KEY, F.col("req_ix").cast("long").alias("req_ix"), _r(F.col("start")).alias("start"), _r(F.col("end")).alias("end"), F.concat_ws("|", "title", F.array_join("lines", "|")).alias("card"))
+    none = F.lit(None).cast("double")
+    return good.unionByName(bad.select(KEY, F.col("record_ix").cast("long").alias("req_ix"), none.alias("start"), none.alias("end"), F.lit("rejected").alias("card")))
+
+
+def s12_media_facts(s, d):
+    n = F.col(KEY)
+    streams = F.when(n % 3 == 0, '{"codec_type":"video"},{"codec_type":"subtitle"}').otherwise('{"codec_type":"audio"}')
+    duration = F.when(n % 5 == 0, "").otherwise(F.format_string("%.3f", "duration_seconds"))
+    p = staged(s, d, "recordings").select(KEY, F.concat(F.lit('{"format":{"duration":"'), duration, F.lit('"},"streams":['), streams, F.lit("]}")).alias("probe_json"))
+    good, bad = rc.media_facts(p)
+    good = good.select(KEY, "duration_seconds", "has_video", "has_audio", F.col("subtitle_stream_index").cast("long").alias("subtitle"))
+    return good.unionByName(bad.select(KEY, F.lit(0.0).alias("duration_seconds"), F.lit(False).alias("has_video"), F.lit(False).alias("has_audio"), F.lit(-1).cast("long").alias("subtitle")))
+
+
+def f4_hms_tenths(s, d):
+    return staged(s, d, "cues").select(KEY, "cue_ix", ck.hms_tenths(F.col("start") * 37).alias("stamp"))
+
+
+def f9_trim_words(s, d):
+    return staged(s, d, "cues").select(KEY, "cue_ix", tx.trim_words(F.col("text"), F.lit(0.25), F.lit(0.75)).alias("text"))
+
+
+def p8_tidy_sentence(s, d):
+    return staged(s, d, "cues").select(KEY, "cue_ix", tx.tidy_sentence(F.col("text"), PROSE).alias("tidy"))
+
+
+def p21_pad(s, d):
+    a, b = cuts.pad(F.col("start"), F.col("end"), duration=F.col("duration_seconds"))
+    r = _requests(s, d).join(staged(s, d, "recordings").select(KEY, "duration_seconds"), KEY)
+    return r.select(KEY, "req_ix", _r(a).alias("start"), _r(b).alias("end"))
+
+
+def v2_story_faults(s, d):
+    """Moment specs with planted faults: an overlay outside, a wrong corner, an unknown key, none."""
+    n = F.col("cue_ix") % 4
+    more = (
+        F.when(n == 0, '"overlays":[{"start":9000,"end":9001,"text":"x"}]').when(n == 1, '"layout":{"kind":"pip","screen":[0,0,1,1],"corner":"middle"}')
+        .when(n == 2, '"colour":"red"').otherwise('"cards":[{"title":"a"}],"layout":"full"')
+    )
+    record = F.format_string('{"start":%.3f,"end":%.3f,%s}', "start", F.col("end") + 1, more)
+    c = staged(s, d, "cues").select((F.col(KEY) * 100000 + F.col("cue_ix")).alias("spec_id"), record.alias("record"))
+    return validate.validate_story(c).select("spec_id", "rule")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     n: f for n, f in list(globals().items())
     if callable(f) and n[0] in "pfwjuatsvq" and n.split("_")[0][1:].isdigit() or n in ("f_clocks", "f11_f13")
