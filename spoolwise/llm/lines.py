@@ -11,9 +11,11 @@ SIMILAR = (4, 5)
 """Two lines match at a Jaccard similarity of four fifths of their sets of words."""
 RANK_CELLS = 1 << 16
 """Cells of the table of word frequencies, one small number each, that the driver reads and tasks get."""
-NEAR = 1_000_000
-"""Rows up to which the lines to be compared are sent to every task (16 bytes each); more are joined by a shuffle."""
+NEAR = 300_000
+"""Rows (at most 60 bytes each) up to which a side of a join is sent to every task; more are joined by a shuffle."""
 _ROUNDS = (2, 10, 50)
+LONG = 90
+"""Words from which on a line has a second signature, as 64 bits no longer tell long lines apart."""
 _SPACES = "[\\x20\\x09-\\x0D]+"
 _WORD = "[^\\x20\\x09-\\x0D]"
 
@@ -60,23 +62,30 @@ def _pair_filters() -> Column:
     length = bottom * F.least(a("n"), b("n")) >= top * F.greatest(a("n"), b("n"))
     # both prefixes meet here first: what follows bounds what they share
     position = (top + bottom) * F.least(a("n") - a("at"), b("n") - b("at")) >= top * total
-    # words that one line alone has are at least as many as the bits in which the two differ
-    parity = (top + bottom) * F.bit_count(a("parity").bitwiseXOR(b("parity"))) <= (bottom - top) * total
-    return (a("word") == b("word")) & length & position & parity
+    # words that one line alone has are at least as many as the bits in which the signatures differ; of long lines the
+    # second one has the words of odd hash, which leaves the even ones to the first
+    one, two = a("parity").bitwiseXOR(b("parity")), a("parity2").bitwiseXOR(b("parity2"))
+    differ = F.when((a("n") > LONG) & (b("n") > LONG), F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two)).otherwise(F.bit_count(one))
+    parity = (top + bottom) * differ <= (bottom - top) * total
+    return (a("word") == b("word")) & parity & length & position
 
 
 def line_classes(docs: DataFrame, key: str, text: str, ranks: list[int]) -> DataFrame:
-    """Distinct sets of words with their first line: ``id``, ``n``, ``parity``, ``first`` (key, line, row, prefix)."""
+    """Distinct sets of words with their first line: ``id``, ``n``, two signatures, ``first`` (key, line, row, prefix)."""
     top, bottom = SIMILAR
     rows = docs.select(F.col(key).alias("key"), _row_key(key, text).alias("row"), F.posexplode(_split(F.col(text))).alias("line", "_text"))
     rows = rows.where(F.col("_text").rlike(_WORD)).select("key", "row", "line", _sets(F.col("_text"), ranks).alias("_set"))
     n = F.size("_set")
-    parity = F.aggregate("_set", F.lit(0).cast("long"), lambda s, w: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    zero, bit = F.lit(0).cast("long"), lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
+    parity = F.aggregate("_set", zero, lambda s, w: s.bitwiseXOR(bit(w)))
+    odd = F.filter("_set", lambda w: w.bitwiseAND(F.lit(64)) != 0)
+    parity2 = F.when(n > LONG, F.aggregate(odd, zero, lambda s, w: s.bitwiseXOR(bit(w)))).otherwise(zero)
     prefix = F.transform(F.slice("_set", 1, n - F.ceil(n * top / bottom).cast("int") + 1), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
     # sets of three words or fewer match equal sets only
     prefix = F.when(n > bottom - 2, prefix).otherwise(F.array().cast("array<int>"))
-    rows = rows.select(F.xxhash64("_set").alias("id"), n.alias("n"), parity.alias("parity"), F.struct("key", "line", "row", prefix.alias("prefix")).alias("_first"))
-    return rows.groupBy("id", "n", "parity").agg(F.min("_first").alias("first"))
+    rows = rows.select(F.xxhash64("_set").alias("id"), n.alias("n"), parity.alias("parity"), parity2.alias("parity2"),
+                       F.struct("key", "line", "row", prefix.alias("prefix")).alias("_first"))
+    return rows.groupBy("id", "n", "parity", "parity2").agg(F.min("_first").alias("first"))
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,38 +98,55 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Method: equal sets become one class with its first line. Words are ordered by rarity; each class posts the words of
     its prefix. Postings with no partner that passes the length, positional and parity filters go. The rest meet in
-    rounds: every class is compared with the first few of each list, and only those not removed yet with the next ones,
-    so that many variants of one line don't meet in all pairs. Jaccard is checked on the whole sets.
+    rounds: every class is compared with the one among the first two of its lists that it meets most often, and those
+    not removed yet with the first few of each list and then with the next ones, so that many variants of one line don't
+    meet in all pairs. Jaccard is checked on the whole sets.
     """
-    top, bottom = SIMILAR
     ranks = word_ranks(docs, text)
     classes = cut_lineage(line_classes(docs, key, text, ranks))
-    post = classes.select("id", "n", "parity", F.posexplode("first.prefix").alias("at", "word"))
+    post = classes.select("id", "n", "parity", "parity2", F.posexplode("first.prefix").alias("at", "word"))
     met = cut_lineage(post.alias("b").join(post.alias("a"), _pair_filters() & (F.col("a.id") != F.col("b.id")), "left_semi"))
     found = met.join(classes.select("id", "first.key", "first.line", "first.row"), "id")
     order = Window.partitionBy("word").orderBy("key", "line", "id")
     lists = cut_lineage(found.withColumn("place", F.row_number().over(order)))
-    longest = lists.agg(F.max("place").alias("n")).first()["n"] or 0
     removed = None
-    if longest > 1:
+    if lists.where("place > 1").head(1):
         sets = cut_lineage(_whole_sets(docs, text, key, lists, ranks))
-        low = 0
-        for high in (*_ROUNDS, longest):
-            if low >= longest:
-                break
-            late = lists if removed is None else lists.join(removed, "id", "left_anti")
-            hubs = lists.where((F.col("place") > low) & (F.col("place") <= high))
-            pairs = hubs.alias("a").join(late.alias("b"), _pair_filters() & (F.col("a.place") < F.col("b.place")) & (F.col("a.id") != F.col("b.id")))
-            pairs = pairs.select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()
-            both = pairs.join(sets.select(F.col("id").alias("ia"), F.col("set").alias("sa")), "ia").join(sets.select(F.col("id").alias("ib"), F.col("set").alias("sb")), "ib")
-            shared = F.size(F.array_intersect("sa", "sb"))
-            more = both.where((top + bottom) * shared >= top * (F.size("sa") + F.size("sb"))).select(F.col("ib").alias("id")).distinct()
-            removed = cut_lineage(more if removed is None else removed.union(more))
+        first = _pairs(lists.where("place <= 2"), lists).groupBy("ib", "ia").agg(F.count(F.lit(1)).alias("n"))
+        first = first.groupBy("ib").agg(F.max(F.struct("n", "ia"))["ia"].alias("ia"))
+        removed, low = cut_lineage(_alike(first, sets)), 0
+        for high in (*_ROUNDS, None):
+            late = cut_lineage(lists.where(F.col("place") > low + 1).join(_small(removed), "id", "left_anti"))
+            if late.head(1):
+                hubs = lists.where((F.col("place") > low) & (F.col("place") <= high if high else F.lit(True)))
+                more = _alike(_pairs(hubs, _small(late)).select("ia", "ib").distinct(), sets)
+                removed = cut_lineage(removed.union(more))
             low = high
     kept = classes if removed is None else classes.join(removed, "id", "left_anti")
     return kept.groupBy(F.col("first.row").alias("row")).agg(F.sort_array(F.collect_set("first.line")).alias("kept"))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows of a written table, sent to every task while they are few; more are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= NEAR else rows
+
+
+def _pairs(early: DataFrame, late: DataFrame) -> DataFrame:
+    """Pairs (``ia`` before ``ib``) that stand in one list and pass the filters."""
+    met = early.alias("a").join(late.alias("b"), _pair_filters() & (F.col("a.place") < F.col("b.place")) & (F.col("a.id") != F.col("b.id")))
+    return met.select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``id`` of each later class of a pair whose sets reach ``SIMILAR``."""
+    top, bottom = SIMILAR
+    pairs = cut_lineage(pairs.select("ia", "ib"))
+    side = lambda i, name: sets.select(F.col("id").alias(i), F.col("set").alias(name)).join(_small(pairs), i)
+    both = side("ia", "sa").join(side("ib", "sb"), ["ia", "ib"])
+    enough = (top + bottom) * F.size(F.array_intersect("sa", "sb")) >= top * (F.size("sa") + F.size("sb"))
+    return both.where(enough).select(F.col("ib").alias("id")).distinct()
+
+
 def _whole_sets(docs: DataFrame, text: str, key: str, lists: DataFrame, ranks: list[int]) -> DataFrame:
     """``id`` and ``set`` of the classes in ``lists``, read again from the texts of their first lines."""
     need = lists.groupBy("row").agg(F.collect_set("line").alias("_lines"))
