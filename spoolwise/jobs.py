@@ -58,7 +58,7 @@ def summary_lines(
     if plans is not None:
         reel = F.col("plan.output.reel")
         closing = F.flatten(F.transform(reel["closing"], lambda c: c["lines"]))
-        tk = plans.where(F.size(closing) > 0).select(KEY, F.lit(1).alias("part"), F.posexplode(F.concat(F.array(F.lit("## Takeaways\n")), F.transform(closing, lambda x: _line("- ", x)))).alias("ix", "line"))
+        tk = plans.where(F.size(closing) > 0).select(KEY, F.lit(1).alias("part"), F.posexplode(F.concat(F.array(F.lit("## Takeaways\n")), F.transform(closing, lambda x: _line("- ", x)), F.array(F.lit("")))).alias("ix", "line"))
         span = lambda s: _line(ck.ts(s["start"]), "–", ck.ts(s["end"]))
 
         def chapter(c: Column, k: Column) -> Column:
@@ -71,7 +71,9 @@ def summary_lines(
         def clip(c: Column) -> Column:
             return _line("- **", c["id"], "** [", F.array_join(F.transform(c["segments"], span), " + "), "] (", ck.ts(cards.kept_seconds(c)), ") — ", c["takeaway"])
 
-        listed = F.when(reel.isNotNull(), F.concat(F.array(F.lit("\n## Reel\n")), F.transform("plan.clips", chapter))).otherwise(
+        intro = F.when(reel["intro"].isNotNull(), F.array(_line("Intro: **", reel["intro"]["title"], "** — ", F.array_join(F.coalesce(reel["intro"]["lines"], F.array().cast("array<string>")), " · "), "\n")))
+        opened = F.concat(F.array(F.lit("\n## Reel\n")), F.coalesce(intro, F.array().cast("array<string>")))
+        listed = F.when(reel.isNotNull(), F.concat(opened, F.transform("plan.clips", chapter))).otherwise(
             F.concat(F.array(F.lit("\n## Clips\n")), F.transform("plan.clips", clip))
         )
         out = out.unionByName(tk.withColumn("ix", F.col("ix").cast("long")))

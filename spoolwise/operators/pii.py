@@ -432,10 +432,37 @@ def spread_hits(runs: DataFrame, hits: DataFrame, width: int, height: int, every
 def redact_screens(
     frames: DataFrame, words: DataFrame, spans: DataFrame, width: int, height: int, every: float = 1.0, terms: list[str] = (),
     whole_lines: bool = False,
-) -> DataFrame:
-    """Q7 for screens: runs of still frames, details on the frames read, boxes over the runs, merged and clipped."""
+) -> tuple[DataFrame, DataFrame]:
+    """Q7 for screens: runs of still frames, details on the frames read, boxes over the runs, merged and clipped.
+
+    Returns (redactions, warnings of ``gate_large_blurs``).
+    """
     runs = screen_runs(frames, every)
     hits = all_text(words) if whole_lines else find_on_screen(words, terms)
     out = merge_boxes(spread_hits(runs, hits, width, height, every))
     out = out.withColumn("red_ix", F.struct("start", "x", "y", "w", "h", "end", "why"))
-    return clip_to_spans(out, spans, every).drop("red_ix")
+    return gate_large_blurs(cut_lineage(clip_to_spans(out, spans, every).drop("red_ix")), width, height)
+
+
+def gate_large_blurs(
+    redactions: DataFrame, width: int, height: int, share: float = 0.4, by_hand: bool = False, allow: bool = False, **options,
+) -> tuple[DataFrame, DataFrame]:
+    """(redactions, notes): stretches where the blur covers more than ``share`` of the frame are noted (``refused`` or not).
+
+    Found boxes stay with a warning. Boxes drawn by hand are refused for a recording with such a stretch, unless
+    ``allow`` says that a whole screen may be private.
+    """
+    notes = cut_lineage(large_blurs(redactions, width, height, share, **options).withColumn("refused", F.lit(by_hand and not allow)))
+    if by_hand and not allow:
+        redactions = redactions.join(notes.select(KEY).distinct(), KEY, "left_anti")
+    return redactions, notes
+
+
+def add_read_back(redactions: DataFrame, hits: DataFrame, width: int, height: int, every: float = 1.0, pad: int = 6) -> DataFrame:
+    """U5 and Q8 for screens: what a read-back still shows becomes extra boxes, two sampling steps to either side and
+    padded by half their height, appended and merged. ``hits``: recording_id, frame_ts, kind, box."""
+    grown = bx.clamp_box(F.col("box"), F.lit(width), F.lit(height), F.lit(pad) + F.floor(F.col("box.h") / 2).cast("int"))
+    t = F.col("frame_ts")
+    extra = hits.select(KEY, F.greatest(F.lit(0.0), t - 2 * every).alias("start"), (t + 2 * every).alias("end"), grown.alias("_b"), F.concat("kind", F.lit(" (read back)")).alias("why"))
+    extra = extra.where(F.col("_b").isNotNull()).select(KEY, "start", "end", "_b.x", "_b.y", "_b.w", "_b.h", "why")
+    return merge_boxes(redactions.select(KEY, "start", "end", "x", "y", "w", "h", "why").unionByName(extra))

@@ -38,13 +38,13 @@ def _as_plan(d: DataFrame, reel: Column, preset: str, captions_kind: str, out_di
     return d.withColumn("plan", plan)
 
 
-def _clip(n: Column, takeaway: Column, segments: Column, card: Column, cards: Column | None = None, overlays: Column | None = None) -> Column:
+def _clip(n: Column, takeaway: Column, segments: Column, card: Column, cards: Column | None = None, overlays: Column | None = None, layout: Column | None = None) -> Column:
     null = lambda t: F.lit(None).cast(t)
     from .schema import LAYOUT, OVERLAY
     return F.struct(
         F.concat(F.format_string("clip-%02d-", n), ck.slug(takeaway)).alias("id"), takeaway.alias("takeaway"), segments.alias("segments"),
         null("double").alias("hook_offset_seconds"), F.lit(True).alias("trim_silence"), null("string").alias("crop_focus"), card.alias("card"),
-        (cards if cards is not None else null(f"array<{CARD}>")).alias("cards"), null(LAYOUT).alias("layout"),
+        (cards if cards is not None else null(f"array<{CARD}>")).alias("cards"), (layout if layout is not None else null(LAYOUT)).alias("layout"),
         (overlays if overlays is not None else null(f"array<{OVERLAY}>")).alias("overlays"),
     )
 
@@ -81,11 +81,12 @@ def build_reel_plan(
     """One reel plan per recording.
 
     ``moments``: recording_id, moment_ix, start, end, takeaway, title, lines, why, lesson, context, segments
-    (``array<struct<a,b>>``, null or empty: the whole moment with air), optional cards and overlays.
+    (``array<struct<a,b>>``, null or empty: the whole moment with air), optional cards, overlays, layout, image and qr.
     ``recordings``: recording_id, path, duration_seconds, title, date. ``takeaways``: recording_id, takeaways (lines).
     A setting wins wherever it says something; every card has its final seconds before the runtime is written.
     """
-    for name, kind in (("cards", f"array<{CARD}>"), ("overlays", "array<struct<start:double,end:double,text:string,position:string>>")):
+    from .schema import LAYOUT, OVERLAY
+    for name, kind in (("cards", f"array<{CARD}>"), ("overlays", f"array<{OVERLAY}>"), ("layout", LAYOUT), ("image", "string"), ("qr", "string")):
         if name not in moments.columns:
             moments = moments.withColumn(name, F.lit(None).cast(kind))
     duration = recordings.select(KEY, F.col("duration_seconds").alias("_dur"))
@@ -97,12 +98,12 @@ def build_reel_plan(
     )
     on = F.filter("overlays", lambda o: F.exists("_seg", lambda g: (o["start"] < g["end"]) & (o["end"] > g["start"])))
     m = m.select(
-        KEY, "moment_ix", "takeaway", "lesson", "title", "_seg", "cards", F.when(F.size(on) > 0, on).alias("_over"),
-        moment_card(F.col("title"), F.col("lines"), F.col("why"), F.col("lesson"), F.col("context")).alias("_card"),
+        KEY, "moment_ix", "takeaway", "lesson", "title", "_seg", "cards", F.when(F.size(on) > 0, on).alias("_over"), "layout",
+        moment_card(F.col("title"), F.col("lines"), F.col("why"), F.col("lesson"), F.col("context"), F.col("image"), F.col("qr")).alias("_card"),
     )
     g = m.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(*[c for c in m.columns if c != KEY]))).alias("_m"))
     d = g.join(recordings.select(KEY, "path", "duration_seconds", "title", "date"), KEY)
-    d = d.withColumn("clips", F.transform("_m", lambda x, k: _clip(k + 1, x["takeaway"], x["_seg"], x["_card"], x["cards"], x["_over"])))
+    d = d.withColumn("clips", F.transform("_m", lambda x, k: _clip(k + 1, x["takeaway"], x["_seg"], x["_card"], x["cards"], x["_over"], x["layout"])))
     if takeaways is not None:
         d = d.join(takeaways.select(KEY, "takeaways"), KEY, "left")
     else:

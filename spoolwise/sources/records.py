@@ -150,14 +150,37 @@ def write_redactions(redactions: DataFrame, path: str, mode: str = "errorifexist
 # ------------------------------------------------------------------ moment specs
 
 SPEC_TEXT = ("title", "takeaway", "why", "lesson", "context")
+CARDS_IN = "array<struct<title:string,lines:string,seconds:double,image:string,qr:string>>"
+OVERLAYS_IN = "array<struct<start:string,end:string,text:string,position:string>>"
+LAYOUT_IN = "struct<kind:string,screen:array<int>,speaker:array<int>,corner:string>"
+
+
+def _lines(raw: Column) -> Column:
+    """One line or a list of lines."""
+    return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(F.coalesce(raw, F.lit("")) != "", F.array(raw)).otherwise(F.array().cast("array<string>"))
+
+
+def _story(r: Column) -> dict[str, Column]:
+    """Cards, overlays, layout and picture of a moment; ``validate_story`` says what is wrong with them."""
+    pictured = lambda c: F.coalesce(c["image"], c["qr"]).isNotNull()
+    cards = F.transform(F.from_json(field(r, "cards"), CARDS_IN), lambda c: F.struct(
+        c["title"].alias("title"), _lines(c["lines"]).alias("lines"), F.coalesce(c["seconds"], F.when(pictured(c), 4.0).otherwise(3.0)).alias("seconds"),
+        c["image"].alias("image"), c["qr"].alias("qr")))
+    overlays = F.transform(F.from_json(field(r, "overlays"), OVERLAYS_IN), lambda o: F.struct(
+        F.round(ck.parse_clock(o["start"]), 3).alias("start"), F.round(ck.parse_clock(o["end"]), 3).alias("end"), o["text"].alias("text"),
+        F.coalesce(o["position"], F.lit("top")).alias("position")))
+    own = F.from_json(F.when(field(r, "layout").startswith("{"), field(r, "layout")), LAYOUT_IN)
+    layout = F.when(F.coalesce(own["kind"], F.lit("pip")) == "pip", F.struct(
+        F.lit("pip").alias("kind"), own["screen"].alias("screen"), own["speaker"].alias("speaker"), F.coalesce(own["corner"], F.lit("bottom-right")).alias("corner")))
+    text = lambda n: F.nullif(field(r, n), F.lit(""))
+    return {"cards": cards, "overlays": overlays, "layout": F.when(own.isNotNull(), layout), "image": text("image"), "qr": text("qr")}
 
 
 def parse_moment_specs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Hand-picked moments; ``lines`` may be one string. (moments, rejects by 1-based record)."""
     d = docs.select(KEY, F.posexplode_outer(files.json_items(F.col("text"))).alias("_k", "_r"))
     r = F.col("_r")
-    raw = field(r, "lines")
-    lines = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(F.coalesce(raw, F.lit("")) != "", F.array(raw)).otherwise(F.array().cast("array<string>"))
+    lines = _lines(field(r, "lines"))
     d = d.withColumns({"start": ck.parse_clock(field(r, "start")), "end": ck.parse_clock(field(r, "end")), "lines": F.slice(lines, 1, 4)})
     d = d.withColumns({n: F.nullif(field(r, n), F.lit("")) for n in SPEC_TEXT})
     d = d.withColumn("score", F.coalesce(ck.to_number(field(r, "score")), F.lit(0.0)))
@@ -167,7 +190,8 @@ def parse_moment_specs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("end") <= F.col("start"), "it ends no later than it starts")
     )
     d = d.withColumn("message", message)
-    good = d.where(F.col("message").isNull()).select(KEY, F.col("_k").alias("req_ix"), "start", "end", "lines", "score", *SPEC_TEXT, F.col("_r").alias("record"))
+    good = d.where(F.col("message").isNull()).select(
+        KEY, F.col("_k").alias("req_ix"), "start", "end", "lines", "score", *SPEC_TEXT, *[c.alias(n) for n, c in _story(r).items()], r.alias("record"))
     return good, d.where(F.col("message").isNotNull()).select(KEY, (F.coalesce("_k", F.lit(-1)) + 1).alias("record_ix"), "message")
 
 
