@@ -54,8 +54,8 @@ def ordered(grams: np.ndarray, ranks: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, key: str, text: str, n: int, percent: int, ranks, bits: int) -> DataFrame:
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p1", pa.int64()),
-                        ("p2", pa.int64()), ("prefix", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("p", pa.int64()),
+                        ("prefix", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,26 +63,26 @@ def _described(docs: DataFrame, key: str, text: str, n: int, percent: int, ranks
             for a, b, buf, off in W.text_slices(batch.column(1)):
                 for i, grams in enumerate(gram_sets(buf, off, n), a):
                     front = ordered(grams, ranks.value, bits)[: prefix_size(len(grams), percent)]
-                    rows.append((ids[i], len(grams), *set_key(grams), *set_key(front), front.tobytes()))
+                    rows.append((ids[i], len(grams), *set_key(grams), set_key(front)[0], front.tobytes()))
             columns = zip(*rows) if rows else [[]] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, s1 long, s2 long, p1 long, p2 long, prefix binary")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, s1 long, s2 long, p long, prefix binary")
 
 
-_PAIR = "p1 long, p2 long, q1 long, q2 long"
+_PAIR = "p long, q long"
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each n-gram in a group's prefix, with its place."""
     for batch in batches:
-        n, p1, p2 = (batch.column(c).to_numpy() for c in ("n", "p1", "p2"))
+        n, p = (batch.column(c).to_numpy() for c in ("n", "p"))
         fronts = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
         sizes = np.array([len(f) for f in fronts], np.int64)
         at = np.concatenate([np.arange(s) for s in sizes]) if len(sizes) else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(fronts) if fronts else np.zeros(0, np.int64)), pa.array(np.repeat(n, sizes)), pa.array(at.astype(np.int32)),
-             pa.array(np.repeat(p1, sizes)), pa.array(np.repeat(p2, sizes))], ["gram", "n", "at", "p1", "p2"])
+             pa.array(np.repeat(p, sizes))], ["gram", "n", "at", "p"])
 
 
 def _stars(percent: int):
@@ -95,7 +95,7 @@ def _stars(percent: int):
     def need(a, b):
         return -(-percent * (a + b) // (100 + percent))
 
-    def stretch(n, at, p1, p2) -> tuple[np.ndarray, int] | None:
+    def stretch(n, at) -> np.ndarray | None:
         """Which rows of one list may match another one."""
         if len(n) < 2:
             return None
@@ -114,7 +114,7 @@ def _stars(percent: int):
         rest, out = None, []
 
         def links(cols, hub):
-            gram, n, at, p1, p2 = cols
+            gram, n, at, p = cols
             cut = (gram[1:] != gram[:-1]) | (100 * n[:-1] < percent * n[1:])
             first = np.concatenate(([True], cut))
             if hub is not None and hub[0] == gram[0] and 100 * hub[1] >= percent * n[0]:
@@ -124,15 +124,15 @@ def _stars(percent: int):
             many = (end - begin > 1) | ((begin == 0) & ~first[0])
             for b, e in zip(begin[many].tolist(), end[many].tolist()):
                 if b == 0 and not first[0]:
-                    yield np.full(e, hub[2]), np.full(e, hub[3]), p1[:e], p2[:e]
+                    yield np.full(e, hub[2]), p[:e]
                     continue
-                keep = stretch(n[b:e], at[b:e], p1, p2) if e < len(gram) else (np.arange(e - b) if e - b > 1 else None)
+                keep = stretch(n[b:e], at[b:e]) if e < len(gram) else (np.arange(e - b) if e - b > 1 else None)
                 if keep is not None:
                     k = keep + b
-                    yield np.full(len(k) - 1, p1[k[0]]), np.full(len(k) - 1, p2[k[0]]), p1[k[1:]], p2[k[1:]]
+                    yield np.full(len(k) - 1, p[k[0]]), p[k[1:]]
 
         for batch in batches:
-            cols = tuple(batch.column(c).to_numpy() for c in ("gram", "n", "at", "p1", "p2"))
+            cols = tuple(batch.column(c).to_numpy() for c in ("gram", "n", "at", "p"))
             if rest is not None:
                 cols = tuple(np.concatenate(p) for p in zip(rest, cols))
             # the last list stays for the next batch, unless it alone is a long one: then its first group stands for it
@@ -148,9 +148,9 @@ def _stars(percent: int):
             out += list(links(done, hub))
             b = int(np.flatnonzero(tail)[-1])
             if not (hub is not None and b == 0 and hub[0] == done[0][0] and 100 * hub[1] >= percent * done[1][0]):
-                hub = (done[0][b], done[1][-1], done[3][b], done[4][b])
+                hub = (done[0][b], done[1][-1], done[3][b])
             else:
-                hub = (hub[0], done[1][-1], hub[2], hub[3])
+                hub = (hub[0], done[1][-1], hub[2])
             if sum(len(o[0]) for o in out) > 1 << 18:
                 yield pairs(out)
                 out = []
@@ -160,8 +160,8 @@ def _stars(percent: int):
             yield pairs(out)
 
     def pairs(out) -> pa.RecordBatch:
-        cols = np.unique(np.stack([np.concatenate([o[i] for o in out]) for i in range(4)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cols[:, i])) for i in range(4)], ["p1", "p2", "q1", "q2"])
+        cols = np.unique(np.stack([np.concatenate([o[i] for o in out]) for i in range(2)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cols[:, i])) for i in range(2)], ["p", "q"])
 
     return run
 
@@ -227,11 +227,11 @@ def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, seen, out = None, [], set(), []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("p1", "p2", "i", "j", "s1", "s2", "side", "grams")]
-            for p1, p2, i, j, s1, s2, side, grams in zip(*cols):
-                if now != (p1, p2, i, j):
+            cols = [batch.column(c).to_pylist() for c in ("p", "i", "j", "s1", "s2", "side", "grams")]
+            for p, i, j, s1, s2, side, grams in zip(*cols):
+                if now != (p, i, j):
                     out += forest(rows)
-                    now, rows, seen = (p1, p2, i, j), [], set()
+                    now, rows, seen = (p, i, j), [], set()
                 if (s1, s2) not in seen:
                     seen.add((s1, s2))
                     rows.append((s1, s2, side, grams))
@@ -257,7 +257,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     column; other columns are not read.
 
     Method: a sketch ranks n-grams by frequency; each set's prefix holds its rarest ones. Sets with the same size and
-    prefix are one group. Groups that share a prefix n-gram and pass the length and positional filters meet at a hub,
+    prefix are one group (named by 64 bits: a shared name only adds comparisons). Groups that share a prefix n-gram and pass the length and positional filters meet at a hub,
     the first of them; groups are expanded to their distinct sets, which are compared exactly at their hub, in blocks
     where a hub is large. A task keeps a forest of the links it finds, never all pairs.
     """
@@ -267,20 +267,20 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     rank_bits = sketch.bits_for(bytes_ / 6, 14, RANK_BITS, 1 / 8)
     ranks = spark.sparkContext.broadcast(sketch.ranks(rows.select(text), _all_grams(text, n), rank_bits))
     sets = cut_lineage(_described(rows, key, text, n, percent, ranks, rank_bits))
-    groups = sets.where("n > 0").groupBy("n", "p1", "p2").agg(F.first("prefix").alias("prefix"))
-    postings = groups.select("n", "p1", "p2", "prefix").mapInArrow(_postings, "gram long, n long, at int, p1 long, p2 long")
-    spread = postings.repartition("gram").sortWithinPartitions("gram", "n", "p1", "p2")
+    groups = sets.where("n > 0").groupBy("n", "p").agg(F.first("prefix").alias("prefix"))
+    postings = groups.select("n", "p", "prefix").mapInArrow(_postings, "gram long, n long, at int, p long")
+    spread = postings.repartition("gram").sortWithinPartitions("gram", "n", "p")
     stars = spread.mapInArrow(_stars(percent), _PAIR).distinct()
-    narrow = sets.where("n > 0").select("n", "p1", "p2", "s1", "s2").distinct()
-    crowded = narrow.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("p1", "p2", F.col("p1").alias("q1"), F.col("p2").alias("q2"))
-    hubs = cut_lineage(stars.union(crowded).union(stars.select("p1", "p2", F.col("p1").alias("q1"), F.col("p2").alias("q2"))).distinct())
-    member = narrow.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), "s1", "s2", "n")
-    places = cut_lineage(hubs.join(member, ["q1", "q2"]).select("p1", "p2", "s1", "s2", "n").distinct())
-    total = places.groupBy("p1", "p2").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
-    placed = places.join(total, ["p1", "p2"]).withColumn("own", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int"))
+    narrow = sets.where("n > 0").select("n", "p", "s1", "s2").distinct()
+    crowded = narrow.groupBy("p").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("p", F.col("p").alias("q"))
+    hubs = cut_lineage(stars.union(crowded).union(stars.select("p", F.col("p").alias("q"))).distinct())
+    member = narrow.select(F.col("p").alias("q"), "s1", "s2", "n")
+    places = cut_lineage(hubs.join(member, "q").select("p", "s1", "s2", "n").distinct())
+    total = places.groupBy("p").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).cast("int").alias("blocks"))
+    placed = places.join(total, "p").withColumn("own", F.pmod(F.xxhash64("s1", "s2"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
-    tasks = placed.select("p1", "p2", "s1", "s2", F.col("own"), F.explode(others).alias("_b")).select(
-        "p1", "p2", "s1", "s2", F.col("_b.i").alias("i"), F.col("_b.j").alias("j"), (F.col("own") != F.col("_b.i")).cast("int").alias("side"))
+    tasks = placed.select("p", "s1", "s2", F.col("own"), F.explode(others).alias("_b")).select(
+        "p", "s1", "s2", F.col("_b.i").alias("i"), F.col("_b.j").alias("j"), (F.col("own") != F.col("_b.i")).cast("int").alias("side"))
     need = places.select("s1", "s2").distinct()
     bits = sketch.bits_for(need.count(), 14, max_filter_bits, 16)
     wanted = spark.sparkContext.broadcast(sketch.present(need, lambda b: [b.column(0).to_numpy().view(np.uint64) ^ b.column(1).to_numpy().view(np.uint64)], bits))
@@ -289,7 +289,7 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
         ready = tasks.join(full.dropDuplicates(["s1", "s2"]), ["s1", "s2"])
     else:  # copies in other tasks come along; a hub takes each set once
         ready = full.join(F.broadcast(tasks), ["s1", "s2"])
-    ready = ready.repartition("p1", "p2", "i", "j").sortWithinPartitions("p1", "p2", "i", "j")
+    ready = ready.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")
     found = ready.mapInArrow(_linked(percent), "a1 long, a2 long, b1 long, b2 long")
     node = lambda a, b: F.struct(F.col(a).alias("s1"), F.col(b).alias("s2"))
     roots = graph.components(found.select(node("a1", "a2").alias("a"), node("b1", "b2").alias("b")))

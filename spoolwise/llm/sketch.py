@@ -110,26 +110,19 @@ def present(df: DataFrame, keys_of: Keys, bits: int) -> np.ndarray:
 
 
 def ranks(df: DataFrame, keys_of: Keys, bits: int) -> np.ndarray:
-    """``2**bits`` bytes: the logarithm of how often a cell's keys occur, a frequency rank for every key."""
+    """``2**bits`` bytes: the logarithm of how often a cell's keys occur, a frequency rank for every key.
+
+    A task counts a cell up to 255 times; ranks only order keys, and beyond that all are frequent.
+    """
     size = (1 << bits) // SLICES
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint8)
-
-        def sent() -> pa.RecordBatch:
-            return _batch([(s, zlib.compress(total[s * size : (s + 1) * size].tobytes(), 1), b"", b"") for s in range(SLICES)])
-
         for keys in _flushes(batches, keys_of):
             at, n = np.unique(cells(keys, 0, bits), return_counts=True)
-            while len(at):
-                more = np.minimum(n, 255 - total[at])
-                total[at] += more.astype(np.uint8)
-                at, n = at[n > more], (n - more)[n > more]
-                if len(at):  # a cell is full: send what there is and count on
-                    yield sent()
-                    total[:] = 0
+            total[at] += np.minimum(n, 255 - total[at]).astype(np.uint8)
         if total.any():
-            yield sent()
+            yield _batch([(s, zlib.compress(total[s * size : (s + 1) * size].tobytes(), 1), b"", b"") for s in range(SLICES)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, np.ndarray] = {}
