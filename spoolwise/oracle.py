@@ -498,6 +498,10 @@ ORACLE |= {
               list_max(list_transform(range(1, len(n.l) + 1), lambda i: abs(z.seen[i] - n.l[i]))) far
             from z join n on n.recording_id = z.recording_id and n.k = z.k + 1)))
       select recording_id, ts, run run_start, rd or (lead(run) over (partition by recording_id order by ts) is distinct from run and ts - rt >= 1) as read from z""",
+    "q5_audit_plan": w(CUES, WORDS, PK + TAKE) + """, e as (select recording_id, n, 'start' kind, a x from segs union all select recording_id, n, 'end', b from segs),
+      l as (select e.recording_id, n, kind, max(case when w.start < x then length(text) * 1000 end) b, max(case when w.start >= x then length(text) * 1000 end) a
+        from e left join words w on w.recording_id = e.recording_id and w.start >= x - 0.5 and w.start < x + 0.5 group by 1, 2, 3)
+      select recording_id, count(*) edges, count(*) filter (20 * log10(a / 32768) > -25 and 20 * log10(b / 32768) > -25) voiced_both_sides from l group by 1""",
     "q3_outline": f"""select recording_id, 1 part, block ix, text || chr(10) line from ({ORACLE['a2_format_blocks']})
       union all select recording_id, 0, unnest(range(len(l))), unnest(l) from ({w(CUES)} select recording_id, ['# Session — outline', '',
         'Source: `talk-' || recording_id || '.mp4` · ' || {hms('floor(max("end"))::bigint')} || ' long · ' || count(*) || ' caption cues · 30 s blocks',
