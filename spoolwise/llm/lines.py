@@ -13,7 +13,7 @@ RANK_CELLS = 1 << 16
 """Cells of the table of word frequencies, one small number each, that the driver reads and tasks get."""
 NEAR = 300_000
 """Rows (at most 60 bytes each) up to which a side of a join is sent to every task; more are joined by a shuffle."""
-_ROUNDS = (2, 10, 50)
+_ROUNDS = (10,)
 LONG = 90
 """Words from which on a line has a second signature, as 64 bits no longer tell long lines apart."""
 _SPACES = "[\\x20\\x09-\\x0D]+"

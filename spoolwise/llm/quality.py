@@ -198,7 +198,7 @@ def fit_quality(
     if passed.sum() < 2:
         return QualityModel(None, np.inf)
     points, good = features(counts[passed]), rows["good"].to_numpy()[passed] == 1
-    crowd = np.concatenate((points[good], points[~good][: int(good.sum() * bad_share)])) if good.sum() > 1 else points
+    crowd = np.concatenate((points[good], points[~good][: max(1, int(good.sum() * bad_share))])) if good.sum() > 1 else points
     forest = IsolationForest.fit(crowd, trees, sample, seed)
     return QualityModel(forest, calibrate(forest.score(points), good, good_loss))
 
