@@ -16,7 +16,7 @@ from spoolwise.operators.scans import drop_staged  # noqa: E402
 HEADLINE = (
     "p3_score_cue", "p5_teachable", "p15_find_sensitive", "q7_redact_text", "w1_sentences", "w2_sentence_spans", "w5_merge_intervals",
     "j1_align_speakers", "a2_format_blocks", "a9_coverage", "t1_best_window", "t1_best_windows", "j8_neighbours",
-    "t3_pick_moments", "w14_cut_moments", "w16_merge_boxes", "w17_screen_runs", "q4_reel",
+    "t3_pick_moments", "t5_fit_moments", "w16_merge_boxes", "w17_screen_runs",
 )
 
 
