@@ -626,7 +626,9 @@ def q3_outline(s, d):
 
 def q4_reel(s, d):
     lex = Lexicon(hard_fillers=("that", "le", "de"))
-    specs = _requests(s, d).withColumn("lines", F.array().cast("array<string>"))
+    block = F.floor(F.col("start") / 30)  # a hand-picked moment for every half minute of talk
+    specs = staged(s, d, "cues").groupBy(KEY, block.cast("long").alias("req_ix")).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    specs = specs.withColumn("lines", F.array().cast("array<string>"))
     r = jobs.reel(staged(s, d, "cues"), staged(s, d, "recordings"), 1.5, staged(s, d, "timed_words"), _silences(s, d), specs=specs, lex=lex)
     return r.plans.select(KEY, "plan_json", "runtime")
 
