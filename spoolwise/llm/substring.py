@@ -135,8 +135,12 @@ def _suspects(text: str, width: int, gram: int, bits: int, sketches):
 
 
 def _by_text(t1: np.ndarray, t2: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Texts and the ascending starts marked in each, once however many copies of the text marked them."""
     order = np.lexsort((at, t2, t1))
     t1, t2, at = t1[order], t2[order], at[order]
+    once = np.ones(len(at), bool)
+    once[1:] = (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]) | (at[1:] != at[:-1])
+    t1, t2, at = t1[once], t2[once], at[once]
     new = np.flatnonzero(np.concatenate(([True], (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1]))))
     return t1[new], t2[new], np.split(at, new[1:])
 
@@ -243,7 +247,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = WIDTH, gram
                     edge = np.zeros(e - f + width + 1, np.int64)
                     for s in starts[a + i].as_py() or ():
                         at = np.frombuffer(s, np.int32)
-                        edge[at] += 1
+                        np.add.at(edge, at, 1)
                         np.add.at(edge, at + width, -1)
                     for s in spans[a + i].as_py() or ():
                         for x, y in np.frombuffer(s, np.int32).reshape(-1, 2):

@@ -272,6 +272,16 @@ def test_hot_phrases(spark, monkeypatch):
     assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept"]) for i in range(len(texts))] == brute.substrings(texts, 35)
 
 
+def test_copies_in_two_tasks(spark):
+    """Copies that no task holds together mark the same windows of one content more than once."""
+    for m, n in [(2, 200), (3, 70), (6, 200), (8, 200)]:
+        text = " ".join(f"w{i}" for i in range(n))
+        df = spark.createDataFrame(spark.sparkContext.parallelize([(i, text) for i in range(m)], m), "doc_id long, text string")
+        assert df.rdd.getNumPartitions() == m
+        got = substring.remove_repeats(df).collect()
+        assert [(r["n_words"], r["n_removed"], r["kept"]) for r in got] == [(n, n, "")] * m, m
+
+
 def test_sketch_never_underestimates(spark):
     rng = np.random.default_rng(8)
     keys = rng.integers(0, 3000, 4000).astype(np.uint64)
