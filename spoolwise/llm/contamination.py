@@ -27,13 +27,14 @@ def normalise(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     low = W.LOWER[buf]
     inside = ~W.SYMBOL[low]
     rows = offsets[1:-1]
+    rows = rows[rows > 0]
     low = np.where(inside, low, np.uint8(_SPACE))
     keep = inside.copy()
     keep[1:] |= inside[:-1]
     out = low[keep]
     place = np.cumsum(keep)
     # a mark at each row's beginning, so that no pattern runs over it, and at both ends
-    marks = np.unique(np.concatenate(([0], place[rows - 1][rows > 0] if len(rows) else [], [len(out)]))).astype(np.int64)
+    marks = np.unique(np.concatenate(([0], place[rows - 1], [len(out)]))).astype(np.int64)
     out = np.insert(out, marks, _ROW)
     word = ~W.SYMBOL[out]
     start = np.flatnonzero(word[1:] & ~word[:-1]) + 1

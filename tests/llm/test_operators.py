@@ -201,6 +201,17 @@ def test_contamination(spark, docs, empty):
     assert contamination.find_contamination(docs, empty.withColumnRenamed("doc_id", "item_id")).where("size(hit_spans) > 0").count() == 0
 
 
+def test_contamination_of_empty_texts(spark):
+    """Slices of two or more rows without a byte: a table of such texts, and what follows a text longer than a slice."""
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    long = "alpha beta gamma " + "x" * (contamination.W.SLICE + 9)
+    for texts in ([None, None], ["", None, ""], [long, None, None], [None, "", long, "", None, "Alpha, beta gamma", None]):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = by_id(contamination.find_contamination(df, bench))
+        want = brute.contamination(texts, [(1, "alpha beta gamma")])
+        assert [(got[i]["n_words"], sum(e - s for s, e in got[i]["hit_spans"]), got[i]["hit_items"]) for i in range(len(texts))] == want
+
+
 def test_wu_manber_finds_every_occurrence():
     rng = random.Random(2)
     for _ in range(20):
