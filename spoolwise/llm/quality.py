@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,9 @@ SYMBOLS = "#*$%&|<>"
 REPEAT_WIDTH, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 
 FIT_ROWS = 20_000
-"""Labelled rows read for fitting and for the threshold, in order of a hash of their key."""
+"""Labelled documents that the trees are fitted on, in order of a hash of their key; the threshold counts all."""
+BINS = 1 << 20
+"""Steps of the score that the threshold tells apart, and so the bound on what reaches the driver for it."""
 _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _LETTER = np.zeros(256, bool)
@@ -160,16 +163,22 @@ def _counted(batch: pa.RecordBatch, text: str) -> np.ndarray:
 def calibrate(score: np.ndarray, good: np.ndarray, good_loss: float, weight: float = 10.0) -> float:
     """The threshold that catches most bad rows for the good ones it loses (one share lost weighs ``weight`` shares
     caught), among those that lose at most a share ``good_loss``; of equal ones the highest, half way to the next score."""
-    own, bad = np.sort(score[good]), np.sort(score[~good])
-    if not len(own):
+    cuts, at = np.unique(score, return_inverse=True)
+    count = [np.bincount(at[rows], minlength=len(cuts)) for rows in (good, ~good)]
+    return calibrate_counts(cuts, cuts, *count, good_loss, weight)
+
+
+def calibrate_counts(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray, good_loss: float, weight: float = 10.0) -> float:
+    """``calibrate`` from numbers of good and bad rows in ascending steps of the score, each with its least and greatest."""
+    own, all_bad = np.cumsum(good), np.cumsum(bad)
+    if not len(own) or not own[-1]:
         return np.inf
-    least = own[max(0, int(np.ceil((1 - good_loss) * len(own))) - 1)]
-    cuts = np.unique(np.concatenate(([least], score[score >= least])))
-    lost = 1 - np.searchsorted(own, cuts, "right") / len(own)
-    caught = 1 - np.searchsorted(bad, cuts, "right") / len(bad) if len(bad) else 0.0 * cuts
+    least = int(np.searchsorted(own, max(1, int(np.ceil((1 - good_loss) * own[-1])))))
+    lost = 1 - own[least:] / own[-1]
+    caught = 1 - all_bad[least:] / all_bad[-1] if all_bad[-1] else 0.0 * lost
     gain = caught - weight * lost
-    best = int(np.flatnonzero(gain >= gain.max() - 1e-12)[-1])
-    return float(cuts[best : best + 2].mean())
+    best = least + int(np.flatnonzero(gain >= gain.max() - 1e-12)[-1])
+    return float(high[best] if best + 1 == len(high) else (high[best] + low[best + 1]) / 2)
 
 
 def fit_quality(
@@ -178,29 +187,50 @@ def fit_quality(
 ) -> QualityModel:
     """A forest over the statistics of labelled rows that pass the base rules, and its threshold.
 
-    At most ``fit_rows`` labelled rows are read, in order of a hash of their key: the one sample in this operator. Trees
-    see the good rows and so few bad ones (``bad_share`` of the good) that these stay easy to isolate. The
-    threshold loses at most ``good_loss`` of those labelled good. Labels that are null or without a document are passed
-    over; with no labelled rows there is no forest, and the base rules decide alone.
+    The trees see at most ``fit_rows`` labelled documents, in order of a hash of their key and one row of each: the one
+    sample in this operator. Of these they see the good rows and so few bad ones (``bad_share`` of the good) that these
+    stay easy to isolate. The threshold is worked out from the scores of all labelled rows, counted in steps of
+    ``1 / BINS``, and loses at most ``good_loss`` of those labelled good. Labels that are null or without a document are
+    passed over and use up no bound; with fewer than two rows to fit there is no forest, and the base rules decide alone.
     """
-    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("_good"))
-    chosen = chosen.orderBy(F.xxhash64(key), key).limit(fit_rows)
-    some = docs.select(key, text).join(F.broadcast(chosen), key).select(text, F.col("_good").cast("int").alias("_good"), F.xxhash64(key).alias("_by"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            c = _counted(batch, text)
-            yield pa.RecordBatch.from_arrays([batch.column("_good"), batch.column("_by"), *[pa.array(x) for x in c.T]], ["good", "by", *COUNTS, *MORE])
-
-    rows = some.mapInArrow(run, f"good int, by long, {_STATS_DDL}").toPandas().sort_values(["by", *COUNTS, *MORE], kind="stable")
-    counts = rows[COUNTS + MORE].to_numpy(np.int64)
-    passed = ~base_failed(counts) if len(counts) else np.zeros(0, bool)
-    if passed.sum() < 2:
+    labelled = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("int").alias("_good"))
+    own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key IS NOT NULL")
+    chosen = labelled.join(own.select("_key").distinct(), "_key", "left_semi").orderBy(F.xxhash64("_key"), "_key").limit(fit_rows)
+    of_key = own.schema["_key"]
+
+    def passing(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+        c = _counted(batch, "_text")
+        ok = ~base_failed(c)
+        return batch.filter(pa.array(ok)), c[ok]
+
+    def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, c in map(passing, batches):
+            yield pa.RecordBatch.from_arrays([rows.column("_key"), rows.column("_good"), *[pa.array(x) for x in c.T]], ["_key", "_good", *COUNTS, *MORE])
+
+    counted = own.join(F.broadcast(chosen), "_key").mapInArrow(stats, StructType([of_key, *StructType.fromDDL(f"_good int, {_STATS_DDL}").fields]))
+    one = counted.groupBy("_key", "_good").agg(F.min(F.struct(*COUNTS, *MORE)).alias("_least"))
+    rows = one.select("_good", F.xxhash64("_key").alias("_by"), "_least.*").toPandas().sort_values(["_by", *COUNTS, *MORE], kind="stable")
+    if len(rows) < 2:
+        warnings.warn("fewer than two labelled documents pass the base rules: no forest, the base rules decide alone", stacklevel=2)
         return QualityModel(None, np.inf)
-    points, good = features(counts[passed]), rows["good"].to_numpy()[passed] == 1
+    points, good = features(rows[COUNTS + MORE].to_numpy(np.int64)), rows["_good"].to_numpy() == 1
     crowd = np.concatenate((points[good], points[~good][: max(1, int(good.sum() * bad_share))])) if good.sum() > 1 else points
     forest = IsolationForest.fit(crowd, trees, sample, seed)
-    return QualityModel(forest, calibrate(forest.score(points), good, good_loss))
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, c in map(passing, batches):
+            yield pa.RecordBatch.from_arrays([rows.column("_key"), pa.array(shared.value.score(features(c)))], ["_key", "_score"])
+
+    scored = own.mapInArrow(scores, StructType([of_key, *StructType.fromDDL("_score double").fields]))
+    # counted before the join, so that a key on many rows is a few
+    steps = scored.groupBy("_key", F.floor(F.col("_score") * BINS).alias("_step")).agg(
+        F.count("*").alias("_n"), F.min("_score").alias("_low"), F.max("_score").alias("_high"))
+    n = lambda kind: F.sum(F.when(kind, F.col("_n")).otherwise(0))
+    found = steps.join(labelled, "_key").groupBy("_step").agg(
+        F.min("_low").alias("low"), F.max("_high").alias("high"), n(F.col("_good") == 1).alias("good"), n(F.col("_good") != 1).alias("bad"))
+    table = found.toPandas().sort_values("_step")
+    return QualityModel(forest, calibrate_counts(*(table[c].to_numpy() for c in ("low", "high", "good", "bad")), good_loss))
 
 
 def judge(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:

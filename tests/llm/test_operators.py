@@ -97,6 +97,24 @@ def test_threshold_is_calibrated(spark):
     assert all(got[i]["kept"] == (i % 10 != 0) for i, _ in rows)
 
 
+def test_trees_sample_documents_and_the_threshold_counts_all(spark, monkeypatch):
+    """More labels than the bound: most of other documents, the rest with one key on many rows."""
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(["thing", "other", "reason", "water", "of", "to"]) + "%" * (rng.random() < rng.random() ** 3) for _ in range(60))
+    rows = [(i, text()) for i in range(300)] + [(7, text()) for _ in range(150)] + [(None, text()), (8, "short")]
+    labels = {i: int(i % 9 != 0) for i in range(300)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lab = spark.createDataFrame([*labels.items(), *[(10_000 + i, 1) for i in range(6000)]], "doc_id long, quality int")
+    sizes, fit = [], quality.IsolationForest.fit
+    monkeypatch.setattr(quality.IsolationForest, "fit", lambda points, *a: sizes.append(len(points)) or fit(points, *a))
+    model = quality.fit_quality(df, lab, fit_rows=40, good_loss=0.1, bad_share=1.0)
+    assert sizes and 30 < sizes[0] <= 40
+    own = [(quality.count_slice(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])), labels[i]) for i, t in rows if i in labels]
+    counts, good = np.concatenate([c for c, _ in own]), np.array([g for _, g in own]) == 1
+    ok = ~quality.base_failed(counts)
+    assert model.threshold == pytest.approx(quality.calibrate(model.score(counts[ok]), good[ok], 0.1), abs=2e-6)
+
+
 def test_calibrate_prefers_the_highest_of_equal_thresholds():
     score, good = np.array([0.1, 0.2, 0.3, 0.8, 0.9]), np.array([True, True, True, False, False])
     assert quality.calibrate(score, good, 0.0) == pytest.approx(0.55)
