@@ -90,3 +90,69 @@ select d.doc_id, coalesce(n.n, 0)::bigint n_lines, (coalesce(n.n, 0) - coalesce(
 from documents d left join (select doc_id, count(*) n from l group by doc_id) n using (doc_id)
 left join (select doc_id, count(*) n, string_agg(i::varchar, ',' order by i) x from kept group by doc_id) k using (doc_id)
 """
+
+# A count for each part and set of failed filters; orders by a recursive walk; each step sums the sets it removes.
+ORACLE["op11_filter_audit"] = r"""
+with recursive d as (
+  select doc_id, coalesce(source, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') w from documents),
+v as (select doc_id, max(quality = 1) good, max(toxic = 1) toxic from labels group by doc_id),
+f as (
+  select part, coalesce(good, false) good, coalesce(toxic, false) toxic,
+    (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::int
+      + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::int m
+  from d left join v using (doc_id)),
+c as (select part, m, count(*) n, count(*) filter (good) g, count(*) filter (toxic) x from f group by part, m),
+walk as (
+  select '' o, 0 step, 0 ahead, 0 own
+  union all
+  select o || chr((65 + b)::int), (step + 1)::int, (ahead | own)::int, (1 << b)::int from walk, (select range::int b from range(5)) where (ahead | own) & (1 << b) = 0),
+orders as (select o filter_order from walk where step = 5),
+steps as (select filter_order, step, ahead, own from orders join walk on starts_with(filter_order, o) where step > 0)
+select part, filter_order, step, coalesce(sum(n) filter (m & (own | ahead) = 0), 0)::bigint kept,
+  coalesce(sum(n) filter (m & own <> 0 and m & ahead = 0), 0)::bigint removed,
+  coalesce(sum(n) filter (m & own <> 0 and m & ahead <> 0), 0)::bigint redundant,
+  coalesce(sum(n) filter (m = own), 0)::bigint unique_fails,
+  coalesce(sum(g) filter (m & own <> 0 and m & ahead = 0), 0)::bigint good_lost,
+  coalesce(sum(x) filter (m & own <> 0 and m & ahead = 0), 0)::bigint toxic_lost,
+  coalesce(sum(n * 120 // bit_count(m)) filter (m & own <> 0), 0)::bigint shapley
+from c, steps group by part, filter_order, step
+"""
+
+# Distinct features with their counts; a checksum byte by byte over the UTF-8 bytes; noise from the key's digest.
+ORACLE["op12_importance_resampling"] = r"""
+with tab as (select list(list_reduce([n::bigint] || [0,0,0,0,0,0,0,0]::bigint[], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) t from range(256) r(n)),
+d as (
+  select row_number() over () r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+b as (select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+df as (select r, array_to_string(w[i:i + k - 1], ' ') f from (select r, w, k, unnest(range(1, len(w) - k + 2)) i from d, range(1, 4) x(k) where len(w) >= k)),
+bf as (select array_to_string(w[i:i + k - 1], ' ') f from (select w, k, unnest(range(1, len(w) - k + 2)) i from b, range(1, 4) x(k) where len(w) >= k)),
+known as (
+  select f, xor(list_reduce([4294967295::bigint] || list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda h: ('0x' || h)::bigint),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 h
+  from (select f from df union select f from bf), tab),
+s as (select h, count(*) s from df join known using (f) group by h),
+t as (select h, count(*) t from bf join known using (f) group by h),
+gain as (
+  select h, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from s) + 10000)::double
+    / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from t) + 10000)::double)))::bigint g
+  from s full join t using (h)),
+wt as (select r, count(*) n, sum(g) weight from df join known using (f) join gain using (h) group by r),
+sc as (
+  select r, doc_id, len(w) words, coalesce(n, 0)::bigint n_features, coalesce(weight, 0)::bigint weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::varchar, ''))[1:8])::bigint + 0.5::double) / 4294967296)))::bigint score
+  from d left join wt using (r)),
+ranked as (select r, row_number() over (order by score desc, doc_id nulls first, n_features, weight) k, count(*) over () n from sc where words >= 20)
+select doc_id, n_features, weight, score, case when k <= 5 * n // 100 then k end::bigint as rank from sc left join ranked using (r)
+"""
+
+# Whole numbers; every query against every other row.
+ORACLE["op13_exact_search"] = r"""
+with v as (
+  select row_number() over () r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) e
+  from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.r qr, q.vec_id query_id, v.vec_id, v.r, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]))::bigint score
+  from v q, v where q.vec_id % 50 = 0 and q.r <> v.r),
+k as (select *, row_number() over (partition by qr order by score desc, vec_id, r) as rank from s)
+select query_id, rank::int as rank, vec_id, score from k where rank <= 5
+"""

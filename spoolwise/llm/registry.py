@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, contamination, licenses, lines, ngram_join, pieces, quality, secret_scan as sec, shards, substring
+from . import (
+    chat, contamination, filter_audit, licenses, lines, ngram_join, pieces, pivots, quality, resample, secret_scan as sec, shards, substring,
+)
 
 SHARDS = 40
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -99,6 +101,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.similar_classes(table(spark, sf, "documents").select("doc_id", "text"), n=4, percent=85)
 
 
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    docs, rules = filter_audit.contract_filters(filter_audit.document_stream(spark, f"{sf}/documents.parquet"))
+    return filter_audit.audit(docs, table(spark, sf, "labels"), rules)
+
+
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_exact_search(spark: SparkSession, sf: str) -> DataFrame:
+    return pivots.search(table(spark, sf, "embeddings").select("vec_id", "embedding"), k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in globals().items() if name.startswith("op") and callable(f)
 }
