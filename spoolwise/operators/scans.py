@@ -169,14 +169,20 @@ def _shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new name in the shared checkpoint folder; ``drop_staged`` deletes what is written there."""
+    path = f"{_shared_folder(spark)}/spoolwise-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from there.
 
     The files outlive executors, and later reads still prune columns and push filters down.
     """
-    path = f"{_shared_folder(df.sparkSession)}/spoolwise-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
