@@ -114,7 +114,7 @@ select part, filter_order, step, coalesce(sum(n) filter (m & (own | ahead) = 0),
   coalesce(sum(n) filter (m = own), 0)::bigint unique_fails,
   coalesce(sum(g) filter (m & own <> 0 and m & ahead = 0), 0)::bigint good_lost,
   coalesce(sum(x) filter (m & own <> 0 and m & ahead = 0), 0)::bigint toxic_lost,
-  coalesce(sum(n * 120 // bit_count(m)) filter (m & own <> 0), 0)::bigint shapley
+  coalesce(sum(n * 120 // greatest(bit_count(m), 1)) filter (m & own <> 0), 0)::bigint shapley
 from c, steps group by part, filter_order, step
 """
 
