@@ -125,8 +125,8 @@ def interactions(counters: DataFrame, names: Sequence[str]) -> DataFrame:
     bit = {f: 1 << i for i, f in enumerate(names)}
     steps = [("".join(p), s + 1, bit[p[s]], sum(bit[f] for f in p[:s])) for p in permutations(names) for s in range(k)]
     # a constant text that each part is exploded by: the same steps as structs take seconds to plan
-    said = F.split(F.explode(F.split(F.lit(",".join(f"{o}:{s}:{b}:{a}" for o, s, b, a in steps)), ",")), ":")
-    rows = parts.select("*", said.alias("s")).select(
+    said = F.lit(",".join(f"{o}:{s}:{b}:{a}" for o, s, b, a in steps))
+    rows = parts.select("*", F.explode(F.split(said, ",")).alias("s")).withColumn("s", F.split("s", ":")).select(
         "part", "n", "g", "t", F.get("s", 0).alias("filter_order"), *[F.get("s", i).cast("int").alias(c) for i, c in enumerate(("step", "own", "ahead"), 1)])
 
     def over(column: str, wanted, weight=lambda m: 1) -> Column:  # noqa: ANN001
