@@ -33,7 +33,7 @@ PACK = 256
 """Queries that are compared with a block at once."""
 ROUNDS: tuple[int | None, ...] = (2, 8, None)
 """Rings that a query has looked into after each round; in the last one all that are left within its bound."""
-_TOP = 1 << 62
+_LOW = -(1 << 63)
 
 
 def _matrix(packed: pa.Array | bytes, dims: int) -> np.ndarray:
@@ -196,7 +196,7 @@ def _wanted(open_: DataFrame, index: Index, seen: int, upto: int | None, dims: i
                 order = np.argsort(bound, axis=1, kind="stable")[:, seen:upto]
                 least = part.column("least").to_numpy(zero_copy_only=False).astype(np.float64)
                 reach = np.sqrt(np.maximum((q.astype(np.float64) ** 2).sum(1) + index.norm2 - 2 * least, 0)) + index.slack
-                reach[least <= -float(_TOP)] = np.inf
+                reach[least <= float(_LOW)] = np.inf
                 row, place = np.nonzero(np.take_along_axis(bound, order, 1) <= reach[:, None])
                 pick = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
@@ -271,15 +271,15 @@ def search(
     blocks = cut_lineage(_blocks(keyed))
     queries = cut_lineage(packed.where("ask").groupBy("vec").agg(F.min("row").alias("query")))
     packs = max(1, -(-queries.count() // PACK))
-    open_, best, seen = queries.withColumn("least", F.lit(-_TOP)), None, 0
+    open_, best, seen = queries.withColumn("least", F.lit(_LOW)), None, 0
     for upto in rounds:
         found = _compared(blocks, _wanted(open_, index, seen, upto, dims), packs, k + 1, dims)
         best = cut_lineage(_best(found if best is None else best.unionByName(found), k + 1))
         if upto is None or upto >= len(index.ring):
             break
         kth = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") > k)
-        open_, seen = queries.join(kth, "query", "left").select("query", "vec", F.coalesce("least", F.lit(-_TOP)).alias("least")), upto
-    item = F.struct((-F.col("score")).alias("back"), "id", "row", "score")
+        open_, seen = queries.join(kth, "query", "left").select("query", "vec", F.coalesce("least", F.lit(_LOW)).alias("least")), upto
+    item = F.struct(F.bitwise_not("score").alias("back"), "id", "row", "score")
     lists = best.groupBy("query").agg(F.sort_array(F.collect_list(item)).alias("found")).join(queries, "query").select("vec", "found")
     others = F.slice(F.filter("found", lambda f: f["row"] != F.col("row")), 1, k)
     asked = packed.where("ask").select("id", "row", "vec").join(lists, "vec").select(F.col("id").alias("query_id"), F.posexplode(others).alias("rank", "f"))
