@@ -157,18 +157,17 @@ def find_contamination(
     Words are runs of letters, digits and non-ASCII characters, A-Z in lower case. Null and empty texts have no words;
     null items are passed over; equal items all count; without items nothing is hit. Columns of ``docs`` pass through
     (those of the three added names are replaced). Searching takes no shuffle. The benchmark is read in blocks of at
-    most ``block_bytes`` of text, one pass over ``docs`` each; only a block's windows are broadcast.
+    most ``block_bytes`` of text (or one longer item), one pass over ``docs`` each; only a block is held and broadcast.
+    Item ids are whole numbers.
     """
     size = F.sum(F.octet_length(F.coalesce(F.col(item_text), F.lit(""))) + 16)
     total = benchmark.agg(size.alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     added = {n for n, _ in _ADDED}
     out = docs.drop(*added)
-    passes = []
     for b in range(blocks):
         part = benchmark.where(F.pmod(F.xxhash64(item), F.lit(blocks)) == b) if blocks > 1 else benchmark
         rows = [(r[0], r[1]) for r in part.where(F.col(item).isNotNull()).select(item, item_text).toLocalIterator()]
-        passes.append(rows)
         out = _one_pass(out, rows, text, width)
         if b + 1 < blocks:
             out = cut_lineage(out)
