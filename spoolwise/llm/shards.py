@@ -6,7 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .words import free_names
+
 _UNIT = 2.0**-53
+REPEATS = 1 << 16
+"""Copies of one row that are numbered by one array."""
 
 
 def shard_of(key: Column, weights: Sequence[float]) -> Column:
@@ -14,15 +18,17 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
     ``u`` depends on key and shard alone, so one more shard takes rows only into itself and a heavier shard takes rows
     only from the others. Equal weights compare the hashes themselves (no logarithm). A shard of weight 0 gets nothing;
-    a null key counts as the key 0. Ties go to the lower number. An empty or negative list of weights is refused.
+    keys may be of any type that hashes (texts too), and a null key
+    counts as the number 0. Ties go to the lower number. An empty or negative list of weights is refused.
     """
     if not weights or min(weights) < 0 or max(weights) <= 0:
         raise ValueError("weights must be non-negative, with one above zero")
     live = [(n, w) for n, w in enumerate(weights) if w > 0]
-    key = F.coalesce(key, F.lit(0)) if not isinstance(key, str) else F.col(key)
+    key = F.col(key) if isinstance(key, str) else key
+    nulls = key.isNull()  # a null leaves a hash as it is, so it gets the hash of the number 0 by itself
 
     def draw(n: int, w: float) -> Column:
-        h = F.xxhash64(key, F.lit(n).cast("long"))
+        h = F.when(nulls, F.xxhash64(F.lit(0).cast("long"), F.lit(n).cast("long"))).otherwise(F.xxhash64(key, F.lit(n).cast("long")))
         if len({w for _, w in live}) > 1:
             h = -F.ln((F.shiftrightunsigned(h, 11) + F.lit(0.5)) * F.lit(_UNIT)) / F.lit(float(w))
         return F.struct(h.alias("draw"), F.lit(n).alias("shard"))
@@ -49,14 +55,18 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], slot: str = "s
     ``order`` and ``slot``.
     """
     cols = [shard, *order]
-    equal = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(cells)))
-    sums = equal.groupBy(shard, "_cell").agg(F.sum("_n").alias("_total"))
-    before = Window.partitionBy(shard).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(shard, "_cell", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(shard, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = equal.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(starts, [shard, "_cell"])
-    first = F.col("_start") + F.col("_at")
-    return placed.select(*cols, F.explode(F.sequence(first, first + F.col("_n") - 1)).alias(slot))
+    n, cell, at, begin, total, block = free_names([*df.columns, slot], "_n", "_cell", "_at", "_start", "_total", "_block")
+    equal = df.groupBy(*cols).agg(F.count(F.lit(1)).alias(n)).withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(cells)))
+    sums = equal.groupBy(shard, cell).agg(F.sum(n).alias(total))
+    before = Window.partitionBy(shard).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(shard, cell, F.coalesce(F.sum(total).over(before), F.lit(0)).alias(begin))
+    inside = Window.partitionBy(shard, cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = equal.withColumn(at, F.coalesce(F.sum(n).over(inside), F.lit(0))).join(starts, [shard, cell])
+    first, upto = F.col(begin) + F.col(at), F.col(begin) + F.col(at) + F.col(n)
+    # a row that repeats very often becomes blocks first, so that no array of its numbers has more than a block
+    dealt = placed.select(*cols, first.alias(begin), upto.alias(total), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / REPEATS))).alias(block))
+    low = F.col(begin) + F.col(block) * REPEATS
+    return dealt.select(*cols, F.explode(F.sequence(low, F.least(low + REPEATS, F.col(total)) - 1)).alias(slot))
 
 
 def write_shards(df: DataFrame, shard: str, path: str, mode: str = "errorifexists") -> None:
