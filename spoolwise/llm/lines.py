@@ -9,8 +9,8 @@ from .words import free_names
 
 SIMILAR = (4, 5)
 """Two lines match at a Jaccard similarity of four fifths of their sets of words."""
-RANK_CELLS = 1 << 16
-"""Cells of the table of word frequencies, one small number each, that the driver reads and tasks get."""
+RANK_CELLS = 1 << 18
+"""Cells of the table of word frequencies, one byte each, that the driver reads and tasks get."""
 NEAR = 300_000
 """Rows (at most 60 bytes each) up to which a side of a join is sent to every task; more are joined by a shuffle."""
 _ROUNDS = (10,)
@@ -21,26 +21,33 @@ _WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def words(line: Column) -> Column:
-    """A line's words; one empty word if it has none."""
-    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), _SPACES)
+    """A line's words; one empty word if it has none. Only lines with other gaps than one space need the pattern."""
+    line = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.contains(line, F.lit("  ")) | line.rlike("[\\x09-\\x0D]"), F.split(line, _SPACES)).otherwise(F.split(line, " "))
 
 
-def word_ranks(docs: DataFrame, text: str = "text", cells: int = RANK_CELLS) -> list[int]:
-    """For each cell of word hashes the logarithm of how often its words occur, over all of ``docs``."""
+def word_ranks(docs: DataFrame, text: str = "text", cells: int = RANK_CELLS) -> bytearray:
+    """For each cell of word hashes one more than the logarithm of how often its words occur, over all of ``docs``; 1 says
+    that the cell has one word that occurs once. It comes to the driver as strings of cell (5 hex digits) and rank (one
+    letter) for each 1024 cells."""
     word = docs.select(F.explode(F.split(F.col(text), _SPACES)).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell"))
-    out = [0] * cells
-    for r in word.groupBy("cell").agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("rank")).collect():
-        out[r["cell"]] = min(31, r["rank"] + 1)
+    rank = F.least(F.lit(31), F.floor(F.log2(F.count(F.lit(1)))).cast("int") + 1)
+    told = F.concat(F.lpad(F.hex("cell"), 5, "0"), F.char(F.col("rank") + 64)).alias("told")
+    each = word.groupBy("cell").agg(rank.alias("rank")).select(F.shiftright("cell", 10).alias("part"), told)
+    out = bytearray(cells)
+    for r in each.groupBy("part").agg(F.array_join(F.collect_list("told"), "").alias("told")).toLocalIterator():
+        for at in range(0, len(r["told"]), 6):
+            out[int(r["told"][at : at + 5], 16)] = ord(r["told"][at + 5]) - 64
     return out
 
 
-def _sets(lines: Column, ranks: list[int]) -> Column:
+def _sets(lines: Column, ranks: bytearray) -> Column:
     """A line's distinct words as numbers, the rarest first: rank in the upper bits, hash below."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+    table = F.lit(ranks)
 
     def token(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.get(table, h.bitwiseAND(F.lit(len(ranks) - 1)).cast("int"))
+        rank = F.ascii(F.substring(table, h.bitwiseAND(F.lit(len(ranks) - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(rank.cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
 
     return F.sort_array(F.array_distinct(F.transform(words(lines), token)))
@@ -70,7 +77,7 @@ def _pair_filters() -> Column:
     return (a("word") == b("word")) & parity & length & position
 
 
-def line_classes(docs: DataFrame, key: str, text: str, ranks: list[int]) -> DataFrame:
+def line_classes(docs: DataFrame, key: str, text: str, ranks: bytearray) -> DataFrame:
     """Distinct sets of words with their first line: ``id``, ``n``, two signatures, ``first`` (key, line, row, prefix)."""
     top, bottom = SIMILAR
     rows = docs.select(F.col(key).alias("key"), _row_key(key, text).alias("row"), F.posexplode(_split(F.col(text))).alias("line", "_text"))
@@ -80,7 +87,8 @@ def line_classes(docs: DataFrame, key: str, text: str, ranks: list[int]) -> Data
     parity = F.aggregate("_set", zero, lambda s, w: s.bitwiseXOR(bit(w)))
     odd = F.filter("_set", lambda w: w.bitwiseAND(F.lit(64)) != 0)
     parity2 = F.when(n > LONG, F.aggregate(odd, zero, lambda s, w: s.bitwiseXOR(bit(w)))).otherwise(zero)
-    prefix = F.transform(F.slice("_set", 1, n - F.ceil(n * top / bottom).cast("int") + 1), lambda w: w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    prefix = F.transform(F.slice("_set", 1, n - F.ceil(n * top / bottom).cast("int") + 1), lambda w: F.when(w >= F.lit(2 << 58), w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
+    # a word that occurs once (rank 1) meets no other line: it keeps its place, without a posting
     # sets of three words or fewer match equal sets only
     prefix = F.when(n > bottom - 2, prefix).otherwise(F.array().cast("array<int>"))
     rows = rows.select(F.xxhash64("_set").alias("id"), n.alias("n"), parity.alias("parity"), parity2.alias("parity2"),
@@ -104,7 +112,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     ranks = word_ranks(docs, text)
     classes = cut_lineage(line_classes(docs, key, text, ranks))
-    post = classes.select("id", "n", "parity", "parity2", F.posexplode("first.prefix").alias("at", "word"))
+    post = classes.select("id", "n", "parity", "parity2", F.posexplode("first.prefix").alias("at", "word")).where("word is not null")
     met = cut_lineage(post.alias("b").join(post.alias("a"), _pair_filters() & (F.col("a.id") != F.col("b.id")), "left_semi"))
     found = met.join(classes.select("id", "first.key", "first.line", "first.row"), "id")
     order = Window.partitionBy("word").orderBy("key", "line", "id")
@@ -147,7 +155,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(enough).select(F.col("ib").alias("id")).distinct()
 
 
-def _whole_sets(docs: DataFrame, text: str, key: str, lists: DataFrame, ranks: list[int]) -> DataFrame:
+def _whole_sets(docs: DataFrame, text: str, key: str, lists: DataFrame, ranks: bytearray) -> DataFrame:
     """``id`` and ``set`` of the classes in ``lists``, read again from the texts of their first lines."""
     need = lists.groupBy("row").agg(F.collect_set("line").alias("_lines"))
     few = need.count() <= NEAR and lists.select("row", "line").distinct().count() <= NEAR
