@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -15,8 +16,12 @@ from pyspark.sql.types import StructType
 from . import words as W
 
 MARK = "▁"
-CACHE = 600_000
-"""Distinct words whose pieces a task remembers between batches."""
+CACHE_BYTES = 32 << 20
+"""Memory for the pieces of words that a task remembers between slices; when it is full, a task begins anew."""
+LONG = 1024
+"""Characters from which on a word is encoded by itself with a sliding tail, and not remembered."""
+_SETTLE = 4096
+"""Characters of a long word after which the pieces that all open paths share are settled."""
 _UNKNOWN = -20.0
 
 
@@ -72,34 +77,43 @@ class Pieces:
             marked = MARK + marked
         return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked)
 
-    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+    def _step(self, char: str, open_: list, end: int) -> tuple[list, tuple]:
+        """One character on: the nodes open after it, and the (start, pieces) of the best last piece that ends with it."""
+        top, how, on = -math.inf, None, []
+        for node, score, start in open_:
+            below = node.get(char)
+            if below:
+                if below[0]:
+                    on.append((below[0], score, start))
+                if below[1] and score + below[1][0] > top:
+                    top, how = score + below[1][0], (start, below[1][1])
+        if char not in self.score:
+            spelled = tuple(self.bytes.get(b, self.unknown) for b in char.encode()) if self.bytes else (self.unknown,)
+            score = open_[-1][1] + _UNKNOWN * len(spelled)
+            if score > top:
+                top, how = score, (end, spelled)
+        on.append((self.trie, top, end + 1))
+        return on, how
+
+    def encode_words(self, words: list[str]) -> dict[str, Sequence[int]]:
         """Piece numbers of distinct words.
 
         Sorted, the words are the trie's leaves in depth-first order: forward scores up to the prefix that a word
         shares with the one before it are kept, and only the rest of its path is scored. With each score stand the
-        pieces that are still open there, as nodes of the vocabulary's own trie.
+        pieces that are still open there, as nodes of the vocabulary's own trie. Words of ``LONG`` characters or more
+        go by themselves, so that a text without spaces does not keep its positions.
         """
-        paths, back, out, last, root = [[(self.trie, 0.0, 0)]], [(-1, ())], {}, "", self.trie
+        paths, back, out, last = [[(self.trie, 0.0, 0)]], [(-1, ())], {}, ""
         for word in sorted(set(words)):
+            if len(word) >= LONG:
+                out[word] = self.encode_long(word)
+                continue
             shared, most = 0, min(len(word), len(last))
             while shared < most and word[shared] == last[shared]:
                 shared += 1
             del paths[shared + 1 :], back[shared + 1 :]
             for end in range(shared, len(word)):
-                char, top, how, on = word[end], -math.inf, None, []
-                for node, score, start in paths[end]:
-                    below = node.get(char)
-                    if below:
-                        if below[0]:
-                            on.append((below[0], score, start))
-                        if below[1] and score + below[1][0] > top:
-                            top, how = score + below[1][0], (start, below[1][1])
-                if char not in self.score:
-                    spelled = tuple(self.bytes.get(b, self.unknown) for b in char.encode()) if self.bytes else (self.unknown,)
-                    score = paths[end][-1][1] + _UNKNOWN * len(spelled)
-                    if score > top:
-                        top, how = score, (end, spelled)
-                on.append((root, top, end + 1))
+                on, how = self._step(word[end], paths[end], end)
                 paths.append(on)
                 back.append(how)
             ids, at = [], len(word)
@@ -110,6 +124,38 @@ class Pieces:
             last = word
         return out
 
+    def encode_long(self, word: str) -> array:
+        """Piece numbers of one word of any length, the same as by ``encode_words``.
+
+        Only the last position's open nodes are kept. Every ``_SETTLE`` characters the paths back from all positions at
+        which a piece may still begin are followed to where they meet; what lies before that can't change any more, is
+        written out and forgotten.
+        """
+        out, open_, back, base = array("i"), [(self.trie, 0.0, 0)], [(-1, ())], 0
+
+        def settle(upto: int) -> None:
+            nonlocal base
+            ids, at = [], upto
+            while at > base:
+                at, own = back[at - base]
+                ids.append(own)
+            out.extend(n for own in reversed(ids) for n in own)
+            del back[: upto - base]
+            base = upto
+
+        for end, char in enumerate(word):
+            open_, how = self._step(char, open_, end)
+            back.append(how)
+            if end % _SETTLE == _SETTLE - 1:
+                starts = {start for _, _, start in open_}
+                while len(starts) > 1:
+                    far = max(starts)
+                    starts.remove(far)
+                    starts.add(back[far - base][0])
+                settle(starts.pop())
+        settle(len(word))
+        return out
+
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' bytes in one array, marks as spaces, and where each piece begins."""
         raw = [bytes([self.value[n]]) if n in self.value else p.replace(MARK, " ").encode() for n, p in enumerate(self.text)]
@@ -128,11 +174,12 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Encodes slices of texts; remembers the pieces of at most ``CACHE`` distinct words."""
+    """Encodes slices of texts; remembers the pieces of words in at most about ``CACHE_BYTES``."""
 
     def __init__(self, model_file: str):
         self.pieces = Pieces(model_file)
-        self.known: dict[tuple[bytes, bool], tuple[int, ...]] = {}
+        self.known: dict[tuple[bytes, bool], Sequence[int]] = {}
+        self.held = 0
 
     def slice(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all rows, and where each row's begin.
@@ -159,12 +206,16 @@ class Encoder:
         raw = buf.tobytes()
         own = [(raw[a:b], bool(h)) for a, b, h in zip(start[one].tolist(), end[one].tolist(), head[start[one]].tolist())]
         fresh = [w for w in own if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE:
-            self.known, fresh = {}, own
+        if self.held > CACHE_BYTES:
+            self.known, self.held, fresh = {}, 0, own
         marked = {w: (MARK if w[1] and self.pieces.prefix else "") + w[0].decode("utf-8", "replace").replace(" ", MARK) for w in fresh}
         made = self.pieces.encode_words(list(marked.values()))
-        self.known.update((w, made[m]) for w, m in marked.items())
-        ids = [self.known[w] for w in own]
+        now = {w: made[m] for w, m in marked.items()}
+        ids = [now[w] if w in now else self.known[w] for w in own]
+        for w, own_ids in now.items():
+            if len(w[0]) < LONG:
+                self.known[w] = own_ids
+                self.held += 250 + len(w[0]) + 36 * len(own_ids)  # a dict's slot, two objects and their parts, a number each
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
         at = np.concatenate(([0], np.cumsum(size)))[:-1]
@@ -209,6 +260,9 @@ def encode_pieces(docs: DataFrame, model_file: str, text: str = "text", ids: str
     marked form can't tell them apart); every other text comes back exactly. The distinct words of a slice are encoded
     once; columns of ``docs`` pass through (those of the added names are replaced). ``model_file`` is a path that every
     executor can open. One pass, no shuffle.
+
+    Models whose normaliser changes texts (a table of replacements, or repeated spaces removed, as most published unigram
+    models have) and pieces that run over two words are refused: decoding could not give such texts back.
     """
     added = [ids, *([decoded] if decoded else [])]
     docs = docs.drop(*added)

@@ -487,3 +487,55 @@ def test_registered_figures(spark, tmp_path):
     assert all((five[i]["spans"] or "") == ",".join(brute.secrets(t)) for i, t in ROWS)
     two, seven = by_id(registry.op2_license_scan(spark, str(tmp_path))), by_id(registry.op7_sentencepiece(spark, str(tmp_path)))
     assert all(two[i]["n_licenses"] == 0 and seven[i]["same_text"] for i, _ in ROWS)
+
+
+def test_long_words_settle_as_they_go(monkeypatch):
+    monkeypatch.setattr(pieces, "_SETTLE", 16)
+    model = pieces.Pieces(PIECE_MODEL)
+    rng = random.Random(8)
+    word = "▁" + "".join(rng.choice(["th", "er", "日", "é", "\u0001", "ing", "s", "tion"]) for _ in range(1200))
+    monkeypatch.setattr(pieces, "LONG", 1 << 30)
+    whole = model.encode_words([word])[word]
+    assert tuple(model.encode_long(word)) == whole
+    for n in (1, 15, 16, 17, 33):
+        assert tuple(model.encode_long(word[:n])) == model.encode_words([word[:n]])[word[:n]]
+
+
+def test_a_word_of_a_million_characters(spark):
+    import tracemalloc
+
+    model = pieces.Pieces(PIECE_MODEL)
+    word = "▁" + "ab日c" * 100_000
+    tracemalloc.start()
+    ids = model.encode_long(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.decode(list(ids)) == word[1:] and peak < 8 << 20
+    text = "日本語" * 340_000
+    df = pieces.encode_pieces(spark.createDataFrame([(text,)], "text string"), PIECE_MODEL, decoded="decoded")
+    assert df.select("decoded").first()[0] == text
+
+
+def test_the_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 20_000)
+    encoder = pieces.Encoder(PIECE_MODEL)
+    for n in range(30):
+        text = " ".join(f"w{n}x{i}" for i in range(40)).encode()
+        ids, edge = encoder.slice(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert encoder.pieces.decode(ids.tolist()) == text.decode()
+        assert encoder.held < 20_000 + 40 * 1000 and len(encoder.known) < 200
+
+
+def test_sharding_by_text_and_null_keys(spark):
+    rows = [("doc-a",), ("doc-b",), (None,), ("doc-a",), ("",)]
+    df = spark.createDataFrame(rows, "id string").select("id", *[F.lit(1).alias(c) for c in ("_n", "_cell", "_at", "_start", "_total")])
+    got = shards.assign_shards(df, "id", [1.0, 2.0, 1.0]).collect()
+    assert len({r["shard"] for r in got if r["id"] == "doc-a"}) == 1 and all(0 <= r["shard"] < 3 for r in got)
+    slots = shards.number_slots(shards.assign_shards(df, "id", [1.0]), "shard", ["id", "_n", "_total"])
+    assert sorted(r["slot"] for r in slots.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_slots_of_a_row_that_repeats(spark, monkeypatch):
+    monkeypatch.setattr(shards, "REPEATS", 7)
+    df = spark.range(50).select(F.lit(0).alias("shard"), F.when(F.col("id") < 40, 1).otherwise(F.col("id")).alias("k"))
+    assert sorted(r["slot"] for r in shards.number_slots(df, "shard", ["k"]).collect()) == list(range(50))
