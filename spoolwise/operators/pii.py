@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import boxes as bx
+from ..functions import boxes as bx, offsets as off
 from ..functions.let import let
 from ..functions.lexicon import SENSITIVE
 from .folds import ordered_fold
@@ -76,23 +76,9 @@ def _matches(text: Column, kind: str, pattern: str) -> Column:
 
 
 def _placed(text: Column, found: Column, kind: str, pattern: str) -> Column:
-    gaps = F.split(text, pattern, -1)
-    state = "struct<at:int,out:" + HIT + ">"
-    walked = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("out")).cast(state),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.array_append(
-                acc["out"],
-                F.struct(
-                    F.lit(kind).alias("kind"), (acc["at"] + F.length(x["g"])).alias("start"),
-                    (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("match"),
-                ),
-            ).alias("out"),
-        ),
-    )["out"]
-    hits = F.when(F.size(found) > 0, walked).otherwise(F.array().cast(HIT))
+    ends = off.match_ends(text, found, pattern)
+    placed = F.zip_with(found, ends, lambda m, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(m)).alias("start"), e.alias("end"), m.alias("match")))
+    hits = F.when(F.size(found) > 0, placed).otherwise(F.array().cast(HIT))
     return F.filter(hits, lambda h: bx.luhn(h["match"])) if kind == "card" else hits
 
 
@@ -163,31 +149,41 @@ def all_text(words: DataFrame, confidence: float = 40.0, min_length: int = 2) ->
 
 # ------------------------------------------------------------------ masking text
 
+FEW = 16  # spans up to which a text is masked by plain substrings
+
+
 def mask_text(text: Column, hits: Column) -> Column:
     """The text with every hit replaced by ``[kind]``; overlapping hits become one, naming each kind."""
-    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("a"), h["end"].alias("b"), F.array(h["kind"]).alias("k"))))
-    none = F.array().cast("array<struct<a:int,b:int,k:array<string>>>")
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("a"), h["end"].alias("b"), h["kind"].alias("k"))))
+    return F.when(F.size(hits) == 0, text).otherwise(let(let(ordered, _joined), lambda spans: _fill(text, spans)))
+
+
+def _joined(hits: Column) -> Column:
+    """Ordered hits as spans that don't overlap: one begins at a hit that starts where all before it have ended."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"), F.array_union(last["k"], x["k"]).alias("k"))
-        grown = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), joined)
-        return F.when((F.size(acc) > 0) & (x["a"] < last["b"]), grown).otherwise(F.array_append(acc, x))
+    def spans(reach: Column) -> Column:
+        begins = F.filter(F.transform(hits, lambda h, n: F.when((n == 0) | (h["a"] >= F.get(reach, n - 1)), n)), lambda n: n.isNotNull())
 
-    masked = let(F.aggregate(ordered, none, step), lambda spans: _fill(text, spans))
-    return F.when(F.size(hits) == 0, text).otherwise(masked)
+        def one(firsts: Column) -> Column:
+            def span(first: Column, n: Column) -> Column:
+                upto = F.coalesce(F.get(firsts, n + 1), F.size(hits))
+                own = F.slice(hits, first + 1, upto - first)
+                return F.struct(F.get(hits, first)["a"].alias("a"), F.get(reach, upto - 1).alias("b"), F.array_distinct(F.transform(own, lambda h: h["k"])).alias("k"))
+
+            return F.transform(firsts, span)
+
+        return let(begins, one)
+
+    return let(off.running(F.transform(hits, lambda h: h["b"]), F.greatest), spans)
 
 
 def _fill(text: Column, spans: Column) -> Column:
-    pieces = F.transform(
-        spans,
-        lambda s, k: F.concat(
-            F.substring(text, F.coalesce(F.get(spans, k - 1)["b"], F.lit(0)) + 1, s["a"] - F.coalesce(F.get(spans, k - 1)["b"], F.lit(0))),
-            F.lit("["), F.array_join(s["k"], ", "), F.lit("]"),
-        ),
-    )
-    tail = F.substring(text, F.element_at(spans, -1)["b"] + 1, F.length(text))
-    return F.concat(F.array_join(pieces, ""), tail)
+    starts = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["b"]))
+    ends = F.concat(F.transform(spans, lambda s: s["a"]), F.array(F.length(text)))
+    plain = F.zip_with(starts, ends, lambda a, b: F.substring(text, a + 1, b - a))
+    kept = F.when(F.size(spans) <= FEW, plain).otherwise(off.pieces_between(text, starts, ends))
+    marks = F.concat(F.transform(spans, lambda s: F.concat(F.lit("["), F.array_join(s["k"], ", "), F.lit("]"))), F.array(F.lit("")))
+    return F.array_join(F.zip_with(kept, marks, lambda x, m: F.concat(x, m)), "")
 
 
 def redact_text(docs: DataFrame, text: str = "text", terms: list[str] = (), kinds: dict[str, str] = SENSITIVE) -> DataFrame:

@@ -80,3 +80,29 @@ def test_screen_runs(spark):
     got = [(r.ts, r.run_start, r.read) for r in pii.screen_runs(df).orderBy("ts").collect()]
     assert [t for t, s, r in got if r] == [0.0, 3.0, 4.0, 5.0, 8.0]
     assert {s for _, s, _ in got} == {0.0, 5.0}
+
+
+def test_many_details_in_one_text(spark):
+    """Finding and masking take time in proportion to the details, and agree with a plain search."""
+    import time
+
+    text = "".join(f"é{n} mail a{n}@b.cd 日 " for n in range(100_000)) + "﻿end"
+    df = spark.createDataFrame([(text,)], "text string")
+    t0 = time.time()
+    row = df.select(F.size(pii.find_in_text(F.col("text"))).alias("n"), "text").first()
+    clean = pii.redact_text(df).first()
+    took = time.time() - t0
+    assert row.n == 100_000 and clean["masked"] == 100_000
+    assert clean["clean"] == re.sub(SENSITIVE["email"], "[email]", text) and took < 30
+
+
+def test_masks_of_overlapping_details(apply):
+    hits = [(4, 9, "url"), (0, 3, "a"), (2, 5, "b"), (9, 12, "c"), (10, 11, "a")] + [(n, n + 2, "x") for n in range(20, 90, 5)]
+    made = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit("").alias("match")) for a, b, k in hits])
+    text = "".join(chr(0x4e00 + n) for n in range(100))
+    for few in (16, 0):
+        pii.FEW, was = few, pii.FEW
+        got = apply([text], lambda t: pii.mask_text(t, made))[0]
+        pii.FEW = was
+        want = "[a, b, url][c, a]" + text[12:20] + "".join(f"[x]{text[n + 2:n + 5]}" for n in range(20, 85, 5)) + "[x]" + text[87:]
+        assert got == want
