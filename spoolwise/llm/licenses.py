@@ -127,22 +127,50 @@ class Scanner:
         return out
 
     def _best(self, own: set, hashes: np.ndarray, begins: list[int], ends: list[int], least: float) -> tuple | None:
+        """(coefficient, begin, end) of the best run of sentences.
+
+        A run grows sentence by sentence with its set of bigrams. It ends when that set is too large, or when it holds
+        every bigram of the template that the text still has: from then on the coefficient can't rise. So a notice that is
+        repeated very often costs each of its beginnings one notice.
+        """
         small, large = size_bounds(len(own), least)
-        sets = [bigrams(hashes[b:e]).tolist() for b, e in zip(begins, ends)]
-        at = [n for n, s in enumerate(sets) if not own.isdisjoint(s)]
-        # a passage of several sentences also holds the bigrams across their borders
-        cross = {n for n in range(1, len(begins)) if int(bigrams(hashes[begins[n] - 1 : begins[n] + 1])[0]) in own}
+        first = begins[0]
+        pairs = W.mix(hashes[first : ends[-1] - 1] * np.uint64(0x9E3779B97F4A7C15) + hashes[first + 1 : ends[-1]], 78).tolist()
+        inner = [pairs[b - first : e - 1 - first] for b, e in zip(begins, ends)]
+        lone = {n: int(bigrams(hashes[b:e])[0]) for n, (b, e) in enumerate(zip(begins, ends)) if e - b == 1}
+        # the bigram across the border to the sentence before belongs to runs that hold both
+        across = [None, *[pairs[b - 1 - first] for b in begins[1:]]]
+        at = {n for n, s in enumerate(inner) if not own.isdisjoint(s)} | {n for n, g in lone.items() if g in own}
+        cross = {n for n in range(1, len(begins)) if across[n] in own}
         at = sorted({*at, *cross, *[n - 1 for n in cross]})
+        rest, later = {}, set()
+        for n in range(len(begins) - 1, (at[0] if at else len(begins)) - 1, -1):
+            here = own.intersection(inner[n])
+            rest[n] = len(later | here)
+            later |= here
+            if across[n] in own:
+                later.add(across[n])
         best = None
         for x, i in enumerate(at):
+            got, shared, grown = set(), 0, i
             for j in at[x:]:
-                got = set(bigrams(hashes[begins[i] : ends[j]]).tolist())
+                for n in range(grown, j + 1):
+                    new = set(inner[n]) if n == i else {across[n], *inner[n]}
+                    new -= got
+                    got |= new
+                    shared += len(new & own)
+                    if len(got) > large:
+                        break
+                grown = j + 1
                 if len(got) > large:
                     break
-                if len(got) >= small:
-                    d = dice(got, own)
+                size, same = (len(got), shared) if got else (1, int(lone[i] in own))
+                if size >= small:
+                    d = 2 * same / (size + len(own))
                     if d >= least and (best is None or d > best[0]):
                         best = (d, begins[i], ends[j])
+                if shared >= rest[i] and got:
+                    break
         return best
 
 
