@@ -9,7 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..functions.let import let
+from ..functions.offsets import match_ends
+from ..operators.scans import shared_path
 
 FINDING = "start int, end int"
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
@@ -47,28 +51,20 @@ def spans_of(text: Column, rule: Rule) -> Column:
     The text is cut at the matches; the lengths of gaps and matches give every offset in one running sum. Texts in
     which the pattern does not occur are passed over by one test.
     """
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
-    gaps = F.split(text, rule.pattern, -1)
-    sized = F.zip_with(
-        F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"))),
-        kept, lambda p, k: F.struct(p["gap"].alias("gap"), p["len"].alias("len"), (F.length(k) >= rule.least).alias("keep")),
-    )
+    def placed(found: Column) -> Column:
+        kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
+        spans = F.zip_with(found, match_ends(text, found, rule.pattern), lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end")))
+        if not rule.least:
+            return spans
+        told = F.zip_with(spans, kept, lambda s, k: F.struct(s.alias("span"), (F.length(k) >= rule.least).alias("keep")))
+        return F.transform(F.filter(told, lambda t: t["keep"]), lambda t: t["span"])
+
     none = F.array().cast(f"array<struct<{FINDING.replace(' int', ':int')}>>")
-    walked = F.aggregate(
-        sized, F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + p["gap"] + p["len"]).alias("at"),
-            F.when(p["keep"], F.concat(s["out"], F.array(F.struct(
-                (s["at"] + p["gap"]).alias("start"), (s["at"] + p["gap"] + p["len"]).alias("end"))))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(text.rlike(rule.pattern), walked).otherwise(none)
+    return F.when(text.rlike(rule.pattern), let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), placed)).otherwise(none)
 
 
 def blobs_of(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``blob``, the SHA-256 of its text; null counts as empty."""
+    """``df`` with ``blob``, the SHA-256 of its text; null counts as empty. A column of that name is replaced."""
     return df.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
@@ -78,7 +74,8 @@ def scan_unseen(
     """New rows of the ledger (``LEDGER``) for the blobs of ``df``: one for each (blob, rule version) pair not in it.
 
     Copies of a text are dropped before anything is scanned, at first inside each task, so thousands of copies travel
-    as one row a task.
+    as one row a task. A null text is the empty blob, which is in the ledger with no spans like every other; an empty table
+    gives no rows; other columns are not looked at.
     """
     blobs = blobs_of(df, text).select("blob", F.coalesce(F.col(text), F.lit("")).alias("_text")).dropDuplicates(["blob"])
     every = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules]
@@ -100,8 +97,10 @@ def p_fields(rule: Rule) -> list[Column]:
 def findings(paths: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """``paths`` (with ``blob``) and ``found``: array of (start, kind number, rule, end) of the current rules, in order.
 
-    Only blobs with a finding are joined; all other paths get an empty array.
+    Only blobs with a finding are joined; all other paths get an empty array. Columns of ``paths`` pass through (``found``
+    is replaced), rows that repeat stay, and an empty ledger or no paths are no special case.
     """
+    paths = paths.drop("found")
     current = F.array(*[F.struct(*p_fields(r), F.lit(n).alias("kind")) for n, r in enumerate(rules)])
     number = F.filter(current, lambda c: (c["rule"] == F.col("rule")) & (c["version"] == F.col("version")))
     hits = ledger.where(F.size("spans") > 0).withColumn("_k", F.get(number, 0)["kind"]).where("_k is not null")
@@ -109,3 +108,23 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES)
     per = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(item))).alias("found"))
     none = F.array().cast("array<struct<start:int,kind:int,rule:string,end:int>>")
     return paths.join(per, "blob", "left").withColumn("found", F.coalesce("found", none))
+
+
+def ledger_home(spark: SparkSession) -> str:
+    """A new place for a ledger in the shared folder; a ledger that is to last gets a path of its own."""
+    return shared_path(spark)
+
+
+def read_ledger(spark: SparkSession, home: str, entries: Sequence[str]) -> DataFrame | None:
+    """The pairs that the named entries of a ledger hold; none without entries."""
+    return spark.read.schema(LEDGER).parquet(*[f"{home}/{e}" for e in entries]) if entries else None
+
+
+def append_unseen(df: DataFrame, home: str, entry: str, before: Sequence[str] = (), text: str = "text", rules: Sequence[Rule] = RULES) -> list[str]:
+    """Scan what the ledger's entries ``before`` don't know of ``df`` and write it as ``entry``; the names of all entries.
+
+    An entry is one folder: a round that is run again after a failure replaces its own and no other.
+    """
+    new = scan_unseen(df, text, rules, read_ledger(df.sparkSession, home, before))
+    new.write.mode("overwrite").parquet(f"{home}/{entry}")
+    return [*before, entry]

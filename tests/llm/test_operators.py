@@ -539,3 +539,40 @@ def test_slots_of_a_row_that_repeats(spark, monkeypatch):
     monkeypatch.setattr(shards, "REPEATS", 7)
     df = spark.range(50).select(F.lit(0).alias("shard"), F.when(F.col("id") < 40, 1).otherwise(F.col("id")).alias("k"))
     assert sorted(r["slot"] for r in shards.number_slots(df, "shard", ["k"]).collect()) == list(range(50))
+
+
+def test_a_notice_repeated_very_often():
+    import time
+
+    scanner = licenses.Scanner.of(licenses.TEMPLATES)
+    for notice in ("Licensed under CC BY-NC 4.0.\n", licenses.TEMPLATES["isc"].replace("\n", " ") + "\n"):
+        t0 = time.time()
+        for times in (1, 3, 20_000 if len(notice) < 100 else 2_000):
+            text = (notice * times).encode()
+            got = scanner.slice(np.frombuffer(text, np.uint8), np.array([0, len(text)]), licenses.LEAST)[0]
+            alone = scanner.slice(np.frombuffer(notice.encode(), np.uint8), np.array([0, len(notice.encode())]), licenses.LEAST)[0]
+            assert got and [x[0] for x in got] == [x[0] for x in alone]
+        assert time.time() - t0 < 10
+
+
+def test_many_secrets_in_one_text(spark):
+    import time
+
+    text = "".join(f"é {n:016x} " for n in range(200_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    t0 = time.time()
+    got = [r["spans"] for r in secret_scan.scan_unseen(df).where("rule = 'hex'").collect()]
+    assert [tuple(s) for s in got[0]] == [(2 + 19 * n, 18 + 19 * n) for n in range(200_000)] and time.time() - t0 < 60
+
+
+def test_ledger_rounds_give_the_same(spark):
+    rows = list(enumerate([*SECRETS, *SECRETS[::-1], *TEXTS]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("found", "blob", "rule", "version", "_text", "spans")})
+    home, entries = secret_scan.ledger_home(spark), []
+    for n in range(3):
+        entries = secret_scan.append_unseen(df.where(F.col("doc_id") % 3 == n), home, f"r{n}", entries)
+    ledger = secret_scan.read_ledger(spark, home, entries)
+    assert ledger.count() == ledger.select("blob", "rule", "version").distinct().count()
+    got = by_id(secret_scan.findings(secret_scan.blobs_of(df), ledger))
+    want = by_id(secret_scan.findings(secret_scan.blobs_of(df), secret_scan.scan_unseen(df)))
+    assert len(got) == len(rows) and all(got[i]["found"] == want[i]["found"] for i, _ in rows)
