@@ -7,6 +7,8 @@ polynomial over word hashes, both as differences of prefix sums, so the cost per
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -42,7 +44,8 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE + 4096)
+        # bytes of a slice fill it; words are fewer, so their powers grow as needed
+        size = SLICE + 4096 if which == 0 and n <= SLICE + 4096 else 1 << max(16, (n - 1).bit_length())
         out = []
         for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
@@ -77,6 +80,7 @@ def row_ranges(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, i
 
 def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of slices of a text column; null counts as empty."""
+    gc.collect()  # a task's functions, with the tables they hold, refer to themselves and stay until they are looked for
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -87,6 +91,15 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     for a, b in row_ranges(offsets):
         yield a, b, whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the machine: workers are kept between tasks and stages, and so would be what they held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 @dataclass
