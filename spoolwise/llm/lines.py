@@ -9,7 +9,7 @@ from .words import free_names
 
 SIMILAR = (4, 5)
 """Two lines match at a Jaccard similarity of four fifths of their sets of words."""
-RANK_CELLS = 1 << 18
+RANK_CELLS = 1 << 16
 """Cells of the table of word frequencies, one byte each, that the driver reads and tasks get."""
 NEAR = 300_000
 """Rows (at most 60 bytes each) up to which a side of a join is sent to every task; more are joined by a shuffle."""
@@ -35,7 +35,7 @@ def word_ranks(docs: DataFrame, text: str = "text", cells: int = RANK_CELLS) ->
     told = F.concat(F.lpad(F.hex("cell"), 5, "0"), F.char(F.col("rank") + 64)).alias("told")
     each = word.groupBy("cell").agg(rank.alias("rank")).select(F.shiftright("cell", 10).alias("part"), told)
     out = bytearray(cells)
-    for r in each.groupBy("part").agg(F.array_join(F.collect_list("told"), "").alias("told")).toLocalIterator():
+    for r in each.groupBy("part").agg(F.array_join(F.collect_list("told"), "").alias("told")).collect():
         for at in range(0, len(r["told"]), 6):
             out[int(r["told"][at : at + 5], 16)] = ord(r["told"][at + 5]) - 64
     return out
