@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -14,7 +15,7 @@ from ..functions.lexicon import SENSITIVE
 from .folds import ordered_fold
 from .intervals import elementary, merge_intervals
 from .ranges import overlap_join
-from .scans import KEY, after, before, by_time, cut_lineage, low_after, peak_before, scan, upto
+from .scans import KEY, after, before, by_time, cut_lineage, low_after, peak_before, scan, shared_path, upto
 
 HIT = "array<struct<kind:string,start:int,end:int,match:string>>"
 BLOCK = 64  # free patterns searched in one pass over the lines
@@ -35,37 +36,54 @@ def compile_terms(lines: list[str]) -> list[str]:
     return out
 
 
+def _folded_words(text: Column) -> Column:
+    """The distinct words of a text with case folded as the patterns of terms fold it."""
+    folded = F.upper(F.translate(text, "\u0130\u212a\u212b\u2126\u03f4\u1e9e", "ik\u00e5\u03c9\u03b8\u00df"))  # those upper case leaves apart
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(r"(?U)\w+"), F.lit(0)))
+
+
 def term_patterns(terms: DataFrame, text: str = "text") -> DataFrame:
-    """P17 over a table of term lines: the pattern of each term and the word it is joined by, its longest, as long words
-    are rare; none for ``re:`` terms and terms without a word."""
+    """P17 over a table of term lines: each distinct term with its pattern and its ``words``, empty for ``re:`` terms."""
     t = terms.select(F.trim(text).alias("term")).where((F.col("term") != "") & ~F.startswith("term", F.lit("#"))).distinct()
     quoted = F.regexp_replace("term", r"([^\w\s])", r"\\$1")
     pattern = F.concat(F.lit(r"(?iU)(?<!\w)"), F.regexp_replace(quoted, r"\s+", r"\\s+"), F.lit(r"(?!\w)"))
-    words = F.regexp_extract_all(F.lower("term"), F.lit(r"(?U)\w+"), F.lit(0))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     free = F.startswith("term", F.lit("re:"))
     own = F.when(free, F.concat(F.lit("(?iU)"), F.expr("substring(term, 4)"))).otherwise(pattern)
-    return t.select("term", own.alias("pattern"), F.when(~free, longest).alias("word"))
+    return t.select("term", own.alias("pattern"), F.when(free, F.array().cast("array<string>")).otherwise(_folded_words(F.col("term"))).alias("words"))
 
 
 def term_hits(lines: DataFrame, terms: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
-    """Matches of a dictionary of any size. Lines and terms meet on the term's longest word, then the whole term is
-    checked, so a line never meets terms it shares no word with. ``re:`` terms and terms without a word have nothing to
-    meet by: they are searched in blocks of ``BLOCK``, one pass over the lines each."""
+    """Matches of a dictionary of any size.
+
+    The lines are counted for each word that terms hold, and a term meets only lines with its rarest word; a term with a
+    word that no line holds meets none. Words travel with ``ids`` alone. Texts are joined to the pairs that met, where
+    the whole term is checked; ``ids`` may repeat or be null. ``re:`` terms and terms without a word have nothing to meet
+    by: they are searched ``BLOCK`` at a time, each pass over the lines written before the next.
+    """
     patterns = term_patterns(terms)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)))
-    met = lines.select(*ids, F.col(text).alias("_line"), F.explode(words).alias("word")).join(patterns.where("word is not null"), "word")
+    held = patterns.where(F.size("words") > 0).select("term", "pattern", F.explode("words").alias("word"))
+    said = lines.select(*[F.col(c).alias(f"_id{n}") for n, c in enumerate(ids)], F.explode(_folded_words(F.col(text))).alias("word"))
+    seen = said.join(held.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("word")).alias("l"), "word")
+    rarest = held.join(seen, "word", "left").groupBy("term").agg(F.first("pattern").alias("pattern"), F.min(rank).alias("r"))
+    rarest = rarest.where("r.n > 0").select("term", "pattern", F.col("r.word").alias("word"))
+    keys = [f"_id{n}" for n in range(len(ids))]
+    met = said.join(rarest, "word").select(*keys, "term", "pattern").distinct()
+    texts = lines.select(*ids, F.col(text).alias("_line"))
+    same = [F.col(k).eqNullSafe(F.col(c)) for k, c in zip(keys, ids)]
     found = F.regexp_extract_all("_line", F.col("pattern"), F.lit(0))
-    out = met.select(*ids, F.lit("term").alias("kind"), "term", F.explode(found).alias("match"))
-    rest, block = patterns.where("word is null").orderBy("term").toLocalIterator(), []
-    for r in [*rest, None]:
+    out = met.join(texts, same).select(*ids, F.lit("term").alias("kind"), "term", F.explode(found).alias("match"))
+
+    free, block, path = patterns.where(F.size("words") == 0).orderBy("term").toLocalIterator(), [], None
+    for r in itertools.chain(free, [None]):
         if block and (r is None or len(block) == BLOCK):
             each = F.array(*[F.struct(F.lit(b["term"]).alias("term"), F.regexp_extract_all(F.col(text), F.lit(b["pattern"]), F.lit(0)).alias("found")) for b in block])
             hits = lines.select(*ids, F.explode(each).alias("_t")).select(*ids, F.lit("term").alias("kind"), F.col("_t.term").alias("term"), F.explode("_t.found").alias("match"))
-            out, block = out.unionByName(hits), []
+            path, block = path or shared_path(lines.sparkSession), []
+            hits.write.mode("append").parquet(path)
         if r is not None:
             block.append(r)
-    return out
+    return out.unionByName(lines.sparkSession.read.schema(out.schema).parquet(path)) if path else out
 
 
 # ------------------------------------------------------------------ finding
@@ -248,8 +266,9 @@ def coverage(
 ) -> DataFrame:
     """Share of the frame blurred in each stretch where the boxes change, on a lattice, nothing counted twice.
 
-    Lattice rows are the unit: per row the covered column runs are joined, so no cell is ever a row of its own, and a
-    lattice row has at most as many distinct runs as the lattice has column pairs.
+    The boxes of a stretch are swept in its row: between two neighbouring edges from top to bottom the same boxes lie
+    side by side, so their joined columns times the height add up. No lattice cell or row is ever a row of a table, and
+    the work does not depend on ``grid``. The boxes seen at one moment on one screen are few by nature.
     """
     cols, rows = -(-width // grid), -(-height // grid)
     frame = float(width * height)
@@ -270,23 +289,34 @@ def coverage(
         )
         live = live.where(~settled)
     top, bottom = F.floor(F.col("y") / grid), F.least(F.lit(rows), F.ceil((F.col("y") + F.col("h")) / grid)) - 1
-    runs = live.where(bottom >= top).select(
-        *keys, F.explode(F.sequence(top, bottom)).alias("_row"),
-        F.struct(F.floor(F.col("x") / grid).alias("a"), F.least(F.lit(cols), F.ceil((F.col("x") + F.col("w")) / grid)).alias("b")).alias("_run"),
+    box = F.struct(
+        F.floor(F.col("x") / grid).alias("a"), F.least(F.lit(cols), F.ceil((F.col("x") + F.col("w")) / grid)).alias("b"),
+        top.alias("top"), (bottom + 1).alias("bottom"),
     )
-    per_row = runs.groupBy(*keys, "_row").agg(F.array_sort(F.collect_set("_run")).alias("_runs"))
-    cells = F.aggregate(
-        "_runs", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach")),
-        lambda acc, r: F.struct(
-            (acc["n"] + F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], acc["reach"]))).cast("long").alias("n"),
-            F.greatest(acc["reach"], r["b"]).cast("long").alias("reach"),
-        ),
-    )["n"]
-    exact = per_row.withColumn("_n", cells).groupBy(*keys).agg((F.sum("_n") / F.lit(cols * rows)).alias("share"))
+    boxes = live.where(bottom >= top).groupBy(*keys).agg(F.array_sort(F.collect_set(box)).alias("_boxes"))
+    exact = boxes.select(*keys, (_swept(F.col("_boxes")) / F.lit(cols * rows)).alias("share"))
     out = exact if short is None else exact.unionByName(short)
     return out.select(KEY, F.col("e_start").alias("start"), F.col("e_end").alias("end"), "share")
 
 
+def _swept(boxes: Column) -> Column:
+    """Cells of the lattice under an array of boxes sorted by their left edge ``a``; ``b`` and ``bottom`` lie outside."""
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda r: r["top"]), F.transform(boxes, lambda r: r["bottom"]))))
+
+    def columns(y: Column) -> Column:
+        beside = F.filter(boxes, lambda r: (r["top"] <= y) & (r["bottom"] > y))
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
+
+        def joined(acc: Column, r: Column) -> Column:
+            more = F.greatest(F.lit(0), r["b"] - F.greatest(r["a"], acc["reach"]))
+            return F.struct((acc["n"] + more).cast("long").alias("n"), F.greatest(acc["reach"], r["b"]).cast("long").alias("reach"))
+
+        return F.aggregate(beside, none, joined, lambda acc: acc["n"])
+
+    bands = lambda ys: F.transform(ys, lambda y, i: F.coalesce(F.get(ys, i + 1) - y, F.lit(0)) * columns(y))
+    return F.aggregate(let(edges, bands), F.lit(0).cast("long"), lambda acc, v: acc + v)
+
+
 def large_blurs(redactions: DataFrame, width: int, height: int, share: float = 0.4, **options) -> DataFrame:
     """A10: stretches where the blur covers more than ``share`` of the frame, touching neighbours joined."""
     big = coverage(redactions, width, height, share=share, **options).where(F.col("share") > share)

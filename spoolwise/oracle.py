@@ -175,10 +175,10 @@ live as (
   on r.recording_id = p.recording_id and r.start < p.b and r."end" > p.a where p.b is not null)"""
 COVER = ELEM + """,
 lat as (
-  select recording_id, a, b, count(distinct cell) / (32 * 18.0::double) share from (
-    select recording_id, a, b, unnest(range(x // 60, least(32, (x + w + 59) // 60))) cx, y, h from live) c,
-    lateral (select unnest(range(c.y // 60, least(18, (c.y + c.h + 59) // 60))) cy) r,
-    lateral (select cy * 100 + cx cell) z
+  select recording_id, a, b, count(distinct cell) / (240 * 135.0::double) share from (
+    select recording_id, a, b, unnest(range(x // 8, least(240, (x + w + 7) // 8))) cx, y, h from live) c,
+    lateral (select unnest(range(c.y // 8, least(135, (c.y + c.h + 7) // 8))) cy) r,
+    lateral (select cy * 1000 + cx cell) z
   group by all)"""
 
 ORACLE: dict[str, str] = {
@@ -218,12 +218,16 @@ ORACLE: dict[str, str] = {
       g as (select doc_id, digits, count(*) n, reverse(regexp_replace(digits, '[ -]', '', 'g')) t from f group by 1, 2)
       select doc_id, digits, n, list_sum(list_transform(range(1, length(t) + 1), lambda i: case when i % 2 = 1 then ascii(t[i]) - 48
         else case when (ascii(t[i]) - 48) * 2 > 9 then (ascii(t[i]) - 48) * 2 - 9 else (ascii(t[i]) - 48) * 2 end end)) % 10 = 0 ok from g""",
-    "p17_term_hits": """with t as (select distinct regexp_extract(text, '^([\\p{L}\\p{N}_]+ [\\p{L}\\p{N}_]+)', 1) term from benchmark where regexp_matches(text, '^[\\p{L}\\p{N}_]+ [\\p{L}\\p{N}_]+')),
-      dw as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) word from documents),
-      c as (select distinct doc_id, term from dw join t on word = regexp_extract(lower(term), '^[\\p{L}\\p{N}_]+')),
-      m as (select doc_id, term, len(regexp_extract_all(regexp_replace(' ' || lower(text) || ' ', '([^\\p{L}\\p{N}_])', '\\1\\1', 'g'),
-             '[^\\p{L}\\p{N}_]' || replace(lower(term), ' ', '\\s+') || '[^\\p{L}\\p{N}_]')) hits from c join documents using (doc_id))
-      select doc_id, term, hits from m where hits > 0""",
+    "p17_term_hits": """with t as (select distinct trim(unnest(string_split(text, chr(10))), ' ') term from benchmark),
+      f as materialized (select distinct regexp_extract(text, '^[\\p{L}\\p{N}_]+ [\\p{L}\\p{N}_]+') p from benchmark),
+      e as materialized (select doc_id, text, regexp_replace(lower(text), '\\s+', ' ', 'g') x from documents),
+      d as materialized (select doc_id, regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '([\\p{L}\\p{N}_]+)', chr(1) || '\\1' || chr(2), 'g') x from documents),
+      p as materialized (select term, regexp_replace(regexp_replace(lower(term), '\\s+', ' ', 'g'), '([\\p{L}\\p{N}_]+)', chr(1) || '\\1' || chr(2), 'g') x from t where term <> '' and term not like '#%'),
+      c as materialized (select doc_id, term, string_split(d.x, p.x) l from d join p on contains(d.x, p.x)),
+      m as (select doc_id, term, len(list_filter(range(1, len(l)), lambda i: not ends_with(l[i], chr(2)) and not starts_with(l[i + 1], chr(1)))) hits from c),
+      g as materialized (select doc_id, text, replace(p, ' ', '\\s+') p from e join f on p <> '' and contains(x, lower(p))),
+      r as (select doc_id, 're:' || p || '\\w*' term, len(regexp_extract_all(text, '(?i)' || p || '[\\p{L}\\p{N}_]*')) hits from g)
+      select * from m where hits > 0 union all select * from r where hits > 0""",
     "p19_clip_to_spans": w(EV, PAUSES) + """,
       r as (select recording_id, t as start, t + value * 100 as "end", event_id from ev)
       select r.recording_id, event_id red_ix,

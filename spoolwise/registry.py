@@ -148,7 +148,11 @@ def p16_luhn(s, d):
 
 
 def p17_term_hits(s, d):
-    terms = table(s, d, "benchmark").select(F.regexp_extract("text", r"(?U)^(\w+ \w+)", 1).alias("text")).where(F.col("text") != "")
+    """Every line of the benchmark texts as a term, and for each text a pattern of its first two words and what follows them."""
+    b = table(s, d, "benchmark")
+    starts = F.regexp_extract_all("text", F.lit(r"(?U)^\w+ \w+"), F.lit(0))
+    free = b.select(F.explode(starts).alias("text")).select(F.concat(F.lit("re:"), F.regexp_replace("text", " ", r"\\s+"), F.lit(r"\w*")).alias("text"))
+    terms = b.select(F.explode(F.split("text", "\n")).alias("text")).unionByName(free)
     return pii.term_hits(table(s, d, "documents"), terms, ["doc_id"]).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("hits"))
 
 
@@ -329,12 +333,12 @@ def a8_kind_counts(s, d):
 
 
 def a9_coverage(s, d):
-    x = pii.coverage(staged(s, d, "boxes"), 1920, 1080, 60, bin_seconds=20000.0)
+    x = pii.coverage(staged(s, d, "boxes"), 1920, 1080, bin_seconds=20000.0)
     return x.select(KEY, _r(F.col("start"), 3).alias("start"), _r(F.col("end"), 3).alias("end"), _r(F.col("share")).alias("share"))
 
 
 def a10_large_blurs(s, d):
-    x = pii.large_blurs(staged(s, d, "boxes"), 1920, 1080, 0.05, grid=60, bin_seconds=20000.0)
+    x = pii.large_blurs(staged(s, d, "boxes"), 1920, 1080, 0.05, bin_seconds=20000.0)
     return x.select(KEY, _r(F.col("start"), 3).alias("start"), _r(F.col("end"), 3).alias("end"), _r(F.col("share")).alias("share"))
 
 

@@ -102,6 +102,41 @@ def test_terms_of_all_forms(spark):
     assert got == {(1, r"re:proj-\d+", "Proj-77"), (2, "acme corp", "acme  Corp"), (2, "+++", "+++")}
 
 
+def test_terms_meet_by_their_rarest_word(spark):
+    """Ids may repeat or be null, the rarest word need not be the longest, and letters fold as in the patterns."""
+    from spoolwise.operators import pii
+
+    rows = [(1, "frequentword alone"), (1, "frequentword of zed"), (None, "FREQUENTWORD of  Zed and frequentword of zed"), (2, "zedd frequentword of zed2"), (3, "long \u017feason"), (4, ""), (5, "5 \u212aELVIN")]
+    lines = spark.createDataFrame(rows, "id long, text string")
+    terms = spark.createDataFrame([("frequentword of zed",), ("no such words",), ("long season",), ("frequentword of zed",), ("5 kelvin",)], "text string")
+    got = sorted((r["id"] or 0, r["term"], r["match"]) for r in pii.term_hits(lines, terms, ["id"]).collect())
+    assert got == [
+        (0, "frequentword of zed", "FREQUENTWORD of  Zed"), (0, "frequentword of zed", "frequentword of zed"),
+        (1, "frequentword of zed", "frequentword of zed"), (3, "long season", "long \u017feason"),
+        (5, "5 kelvin", "5 \u212aELVIN"),
+    ]
+    assert pii.term_hits(lines, terms.where("false"), ["id"]).count() == 0 == pii.term_hits(lines.where("false"), terms, ["id"]).count()
+
+
+def test_covered_cells_against_a_grid(spark):
+    import random
+
+    from spoolwise.operators import pii
+
+    rng = random.Random(5)
+    boxes = [(n % 2, float(rng.randrange(12)), 12.0 + rng.randrange(6), rng.randrange(150), rng.randrange(90), rng.randrange(1, 90), rng.randrange(1, 60)) for n in range(14)]
+    df = spark.createDataFrame(boxes, "recording_id long, start double, end double, x int, y int, w int, h int")
+    for grid in (8, 7):
+        got = pii.coverage(df, 160, 96, grid).collect()
+        assert len(got) > 10
+        for r in got:
+            cells = {
+                (i, j) for k, a, b, x, y, w, h in boxes if k == r.recording_id and a < r.end and b > r.start
+                for i in range(x // grid, min(-(-160 // grid), -(-(x + w) // grid))) for j in range(y // grid, min(-(-96 // grid), -(-(y + h) // grid)))
+            }
+            assert abs(r.share - len(cells) / (-(-160 // grid) * -(-96 // grid))) < 1e-9
+
+
 def test_no_row_is_picked_twice(spark):
     from pyspark.sql import functions as F
 
