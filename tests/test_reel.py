@@ -137,6 +137,34 @@ def test_covered_cells_against_a_grid(spark):
             assert abs(r.share - len(cells) / (-(-160 // grid) * -(-96 // grid))) < 1e-9
 
 
+def test_overlaps_are_settled_part_by_part(spark):
+    """The rule walked over each whole recording gives what its parts give."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for n in range(400):
+        a = rng.randrange(0, 40_000) / 2
+        rows.append((n % 3, n, a, a + rng.choice([0.0, 0.5, 1.0, 3.5, 20.0, 45.5])))
+    limits = {0: 15_000.0, 1: 99_999.0}
+    moments = spark.createDataFrame(rows, "recording_id long, moment_ix long, start double, end double")
+    lengths = spark.createDataFrame(list(limits.items()), "recording_id long, duration_seconds double")
+    want = set()
+    for rid in range(3):
+        reach = -1.0
+        for _, n, a, b in sorted((r for r in rows if r[0] == rid), key=lambda r: (r[2], r[1])):
+            last = limits.get(rid, 1e9)
+            if a >= last - 1:
+                continue
+            b = min(b, last)
+            if a < reach and b - reach < 1:
+                continue
+            a, reach = max(a, reach), b
+            want.add((rid, n, a, b))
+    kept, notes = pk.resolve_overlaps(moments, lengths)
+    assert {tuple(r) for r in kept.collect()} == want and 0 < notes.count() < 400
+
+
 def test_no_row_is_picked_twice(spark):
     from pyspark.sql import functions as F
 
