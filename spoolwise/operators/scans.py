@@ -3,6 +3,7 @@
 A window ``partitionBy(recording_id)`` sends every row of a long recording to one task. Here rows are cut into
 chunks (a range of the row index, or a stretch of time). Each chunk is scanned by its own window, chunk totals
 (one row per chunk) are scanned per recording, and what each chunk inherits is joined back on (key, chunk).
+Totals and windows read one shuffle of the input, so the input is worked out once.
 """
 
 from __future__ import annotations
@@ -72,15 +73,18 @@ def by_time(t: str, seconds: float) -> Column:
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, **values: Running) -> DataFrame:
-    """``df`` plus one column per running value; ``order`` must be total within a key and follow ``chunk``."""
+    """``df`` plus one column per running value; ``order`` must be total within a key and follow ``chunk``.
+
+    All columns of ``df`` travel, whether they are used later or not: select before.
+    """
     keys, order = list(keys), list(order)
-    src = df.withColumn(CHUNK, chunk)
-    for name, r in values.items():
-        src = src.withColumn("_v_" + name, r.value)
-    at = F.struct(*[F.col(c) for c in order])
+    row = F.struct(*[F.col(c) for c in df.columns if c not in keys], *[r.value.alias("_v_" + n) for n, r in values.items()])
+    src = df.select(*keys, chunk.alias(CHUNK), row.alias("_row")).repartition(*keys, CHUNK)
+    of = lambda c: F.col(c if c in keys else "_row." + c)
+    at = F.struct(*[of(c).alias(c) for c in order])
 
     def summary(name: str, r: Running) -> Column:
-        v = F.col("_v_" + name)
+        v = of("_v_" + name)
         if r.kind == "total":
             out = F.sum(v)
         elif r.kind == "peak_before":
@@ -105,16 +109,22 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
             return F.last(v, ignorenulls=True).over(w.rowsBetween(past, 0 if inclusive else -1))
         return F.first(v, ignorenulls=True).over(w.rowsBetween(0 if inclusive else 1, future))
 
-    totals = src.groupBy(*keys, CHUNK).agg(*[summary(n, r) for n, r in values.items()])
+    # Spark shuffles once for totals and windows only if both ask for the same rows and columns. So each has a condition
+    # that always holds but needs the whole row, and the keys of totals come by an aggregate, which keeps the join's null
+    # test of keys above the shuffle.
+    totals = src.groupBy(*keys, CHUNK).agg(
+        *[summary(n, r) for n, r in values.items()], *[F.any_value(k).alias("_k_" + k) for k in keys], F.any_value("_row").alias("_any")
+    ).where(F.col("_any").isNotNull()).drop("_any", *keys).withColumnsRenamed({"_k_" + k: k for k in keys})
+    whole = F.get(F.array("_row"), F.pmod(F.coalesce(CHUNK, F.lit(0)), F.lit(1)).cast("int")).isNotNull()
     across = Window.partitionBy(*keys).orderBy(CHUNK)
     inherited = totals.select(
         *keys, CHUNK, *[fold(F.col("_s_" + n), r.kind, across, False).alias("_c_" + n) for n, r in values.items()]
     )
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    inside = Window.partitionBy(*keys, CHUNK).orderBy(*[of(c) for c in order])
     inclusive = {"total", "upto", "onward"}
     local = src.select(
-        "*", *[fold(F.col("_v_" + n), r.kind, inside, r.kind in inclusive).alias("_l_" + n) for n, r in values.items()]
-    )
+        "*", *[fold(of("_v_" + n), r.kind, inside, r.kind in inclusive).alias("_l_" + n) for n, r in values.items()]
+    ).where(whole)
     out = local.join(inherited, [*keys, CHUNK], "left")
 
     def merged(name: str, r: Running) -> Column:
@@ -129,7 +139,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
             v = F.coalesce(mine, theirs)
         return v.alias(name)
 
-    return out.select(*df.columns, *[merged(n, r) for n, r in values.items()])
+    return out.select(*[of(c).alias(c) for c in df.columns], *[merged(n, r) for n, r in values.items()])
 
 
 def with_neighbours(
