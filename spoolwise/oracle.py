@@ -557,3 +557,33 @@ ORACLE |= {
         from z join o on o.recording_id = z.recording_id and o.k = z.k + 1)
       select recording_id, req_ix moment_ix, round(s, 6) as start, round(e, 6) as "end" from z where keep""",
 }
+ORACLE["j10_snap_to_words"] = w(CUES, WORDS, TIMED, REQS) + r""", n as (
+    select *, lag(text) over o pt, lag(speaker) over o ps, lag("end") over o pe, lead(start) over o ns, lead(speaker) over o nsp, lead(word_ix) over o nx,
+      regexp_matches(text, '[.!?]+["''”’)\]]*$') stop from timed window o as (partition by recording_id order by word_ix)),
+  f as (
+    select recording_id, word_ix k, start s, "end" e, ns, ns - "end" after_gap, start - pe before_gap,
+      nx is null or stop or ns - "end" >= 0.45 - 1e-6 or coalesce(nsp <> speaker, false) closes,
+      pt is null or regexp_matches(pt, '[.!?]+["''”’)\]]*$') or start - pe >= 0.45 - 1e-6 or coalesce(ps <> speaker, false) opens from n),
+  a as (
+    select *, max(case when opens then k end) over (partition by recording_id order by k rows between unbounded preceding and current row) first_k,
+      min(case when closes then k end) over (partition by recording_id order by k rows between current row and unbounded following) last_k from f),
+  i as (
+    select r.recording_id, req_ix, r.start t0, r."end" t1, max(k) filter (s <= r.start) k0, max(k) filter (s < r."end" - 1e-6) k1
+    from reqs r join a on a.recording_id = r.recording_id group by all),
+  b as (  -- the word from which on an end is looked for, none if the span ends with its sentence
+    select i.*, x.e e1, case when k1 is null then 0 when x.e > t1 + 1e-6 then k1 when x.closes then null else k1 + 1 end kb,
+      case when y.e > t0 + 1e-6 or not y.closes then k0 end back, y.s s0, y.ns ns0, y.first_k fk
+    from i left join a x on x.recording_id = i.recording_id and x.k = k1 left join a y on y.recording_id = i.recording_id and y.k = k0),
+  c as (
+    select b.*, z.s bs, z.e be, l.e se, h.s ss, o.s s_first from b left join a z on z.recording_id = b.recording_id and z.k = kb
+    left join a l on l.recording_id = b.recording_id and l.k = z.last_k left join a h on h.recording_id = b.recording_id and h.k = fk
+    left join a o on o.recording_id = b.recording_id and o.k = 0),
+  g as (
+    select c.recording_id, c.req_ix, arg_max(a.e, a.k) filter (a.k >= kb and a.e <= t1 + 8 + 1e-6 and coalesce(after_gap, 9) >= 0.25 - 1e-6) breath,
+      arg_max(a.e, a.k) filter (a.k >= kb and a.e <= t1 + 8 + 1e-6) furthest,
+      min(a.s) filter (a.k <= back and a.k > fk and a.s >= t0 - 6 - 1e-6 and before_gap >= 0.25 - 1e-6) pause
+    from c join a on a.recording_id = c.recording_id group by all)
+  select recording_id, req_ix,
+    round(case when back is null then coalesce(case when k0 is null then s_first else ns0 end, t0) when ss >= t0 - 6 - 1e-6 then ss else coalesce(pause, s0) end, 6) snap_start,
+    round(case when kb is null then e1 when bs > t1 + 8 then t1 when se <= t1 + 8 + 1e-6 then se else coalesce(breath, furthest, be) end, 6) snap_end
+  from c join g using (recording_id, req_ix)"""
