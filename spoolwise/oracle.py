@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .functions.lexicon import STOP_WORDS, TASK_WORDS
+from .functions.lexicon import OPEN_WORDS, STOP_WORDS, TASK_WORDS
 from .jobs import SKELETON
 from .operators.picks import AIR, BOOKENDS, CARD, INTRO, TOLERANCE
 
@@ -587,3 +587,13 @@ ORACLE["j10_snap_to_words"] = w(CUES, WORDS, TIMED, REQS) + r""", n as (
     round(case when back is null then coalesce(case when k0 is null then s_first else ns0 end, t0) when ss >= t0 - 6 - 1e-6 then ss else coalesce(pause, s0) end, 6) snap_start,
     round(case when kb is null then e1 when bs > t1 + 8 then t1 when se <= t1 + 8 + 1e-6 then se else coalesce(breath, furthest, be) end, 6) snap_end
   from c join g using (recording_id, req_ix)"""
+ORACLE["p11_dangling"] = f"""with b as (select conv_id, turn, text, (conv_id + turn) % 5 n, regexp_replace(text, '[.!?]+\\s*$', '') bare from conversations),
+  t as (select conv_id, turn, trim(regexp_replace(case n when 0 then bare || ':' when 1 then bare || '?"' when 2 then bare || ' and.' else text end, '\\s+', ' ', 'g')) t from b),
+  l as (select conv_id, turn, regexp_replace(list_extract({SPLIT.format(c='t')}, -1), '[\\s"''“”‘’)\\]]+$', '') s from t),
+  x as (select *, replace(lower(trim(regexp_replace(s, '[.!?]+$', ''))), '’', '''') bare, rtrim(s, ':.…—–-, ') tail from l),
+  m as (select *, regexp_extract(bare, '(?:^| )(?:is|the|in|le|de|der|die|to)(?: [^ ]+){{1,3}}$') found, string_split(bare, ' ') w, string_split(trim(tail), ' ') v from x)
+  select conv_id, turn, coalesce(case when s = '' then null
+    when regexp_matches(s, '(?:[:…—–,-]|\\.\\.\\.)$') then array_to_string(v[-4:], ' ') || trim(substring(s, length(tail) + 1))
+    when ends_with(s, '?') then nullif(regexp_extract(bare, '(?:^| )(?:is|the|le|der|that)(?: .*)?$'), '')
+    when found <> '' and not regexp_matches(found, ' (?:of|a|la|und)(?: |$)') then found
+    when list_contains({_list(OPEN_WORDS)}, w[-1]) then array_to_string(w[-3:], ' ') end, '-') setup from m"""

@@ -115,6 +115,20 @@ def p9_clip_text(s, d):
     return staged(s, d, "long_cues").select(KEY, "cue_ix", tx.clip_text(F.col("text"), 40).alias("clipped"))
 
 
+SETUPS = Lexicon(
+    setup_patterns=(r"(?:^| )(?:is|the|in|le|de|der|die|to)(?: [^ ]+){1,3}$",), setup_finished=r" (?:of|a|la|und)(?: |$)",
+    setup_rhetorical=r"(?:^| )(?:is|the|le|der|that)(?: .*)?$",
+)
+
+
+def p11_dangling(s, d):
+    """Every turn, some left open by a mark, a question or a word that wants another one."""
+    bare = F.regexp_replace("text", r"[.!?]+\s*$", "")
+    n = (F.col("conv_id") + F.col("turn")) % 5
+    said = F.when(n == 0, F.concat(bare, F.lit(":"))).when(n == 1, F.concat(bare, F.lit("?\""))).when(n == 2, F.concat(bare, F.lit(" and."))).otherwise(F.col("text"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.coalesce(tx.dangling(said, SETUPS), F.lit("-")).alias("setup"))
+
+
 def p12_classify(s, d):
     lex = Lexicon(decision_label=r"\bthething\b", demo_label=r"\b(?:this|from)\b")
     return tr.classify(staged(s, d, "cues"), lex=lex).select(KEY, F.coalesce("label", F.lit("none")).alias("label"))
