@@ -597,3 +597,33 @@ ORACLE["p11_dangling"] = f"""with b as (select conv_id, turn, text, (conv_id + t
     when ends_with(s, '?') then nullif(regexp_extract(bare, '(?:^| )(?:is|the|le|der|that)(?: .*)?$'), '')
     when found <> '' and not regexp_matches(found, ' (?:of|a|la|und)(?: |$)') then found
     when list_contains({_list(OPEN_WORDS)}, w[-1]) then array_to_string(w[-3:], ' ') end, '-') setup from m"""
+EDGE = "[^\\p{L}\\p{M}\\p{N}_]"
+ORACLE["w4_finish_thought"] = w(CUES, WORDS) + f""", f as (
+    select *, case when lag(text) over o is null or regexp_matches(lag(text) over o, '[.!?]+["''”’)\\]]*$') or lag(speaker) over o <> speaker or start - lag("end") over o > 1.5 then 1 else 0 end b
+    from words window o as (partition by recording_id order by word_ix)),
+  r as (select recording_id, word_ix, text, speaker, start s, "end" e, cut_end ce, start span, 0::bigint n from f where word_ix = 0
+    union all
+    select f.recording_id, f.word_ix, f.text, f.speaker, f.start, f."end", f.cut_end, case when f.b = 1 or f."end" - r.span > 20 then f.start else r.span end, case when f.b = 1 or f."end" - r.span > 20 then r.n + 1 else r.n end
+    from r join f on f.recording_id = r.recording_id and f.word_ix = r.word_ix + 1),
+  sp as (
+    select recording_id, min(word_ix) ix, last(ce order by word_ix) e, first(s order by word_ix) f, last(e order by word_ix) l, last(speaker order by word_ix) who, string_agg(text, ' ' order by word_ix) t
+    from r group by recording_id, n),
+  u as (select * exclude t, regexp_replace(list_extract({SPLIT.format(c='t')}, -1), '[\\s"''“”‘’)\\]]+$', '') t from sp),
+  v as (select *, lower(trim(regexp_replace(t, '[.!?]+$', ''))) bare from u),
+  d as (
+    select recording_id, ix, e, f, l, who, case when t = '' then false when regexp_matches(t, '(?:[:…—–,-]|\\.\\.\\.)$') then true when ends_with(t, '?') then false
+      else regexp_matches(bare, '(?:^|{EDGE})(?:is|the|le|der)(?:{EDGE}|$)') or list_contains({_list(OPEN_WORDS)}, string_split(bare, ' ')[-1]) end unsaid from v),
+  m as (
+    select q.recording_id, q.ix req_ix, q.e t, s.ix, s.e, s.f, s.l, s.who, s.unsaid from d q join d s
+    on s.recording_id = q.recording_id and least(s.f, s.e) <= q.e + 31 and greatest(s.l, s.e) >= q.e - 1),
+  h as (select recording_id, req_ix, min(ix) filter (f < t and t <= l) i, min(ix) filter (abs(e - t) <= 1e-3) a, max(ix) filter (abs(e - t) <= 1e-3) z from m group by 1, 2),
+  o as (select m.* from m join h using (recording_id, req_ix) where unsaid and ix = case when i is not null and (a is null or i < a) then i else z end),
+  y as (
+    select m.* replace (min(m.f) over (partition by m.recording_id, m.req_ix, m.e) as f), lead(m.e) over (partition by m.recording_id, m.req_ix order by m.ix) following
+    from m join o using (recording_id, req_ix) where m.ix > o.ix),
+  c as (select *, true head from o union all select * exclude following, false from y where following is distinct from e),
+  k as (
+    select *, not head and not (lag(who) over w = who and f - lag(l) over w <= 1.5 and e - t <= 30 and e > lag(e) over w) broken from c window w as (partition by recording_id, req_ix order by ix)),
+  g as (select *, sum(broken::int) over (partition by recording_id, req_ix order by ix) breaks from k),
+  x as (select recording_id, req_ix, arg_min(e, ix) filter (not head and breaks = 0 and not unsaid) found from g group by 1, 2)
+  select d.recording_id, d.ix req_ix, round(d.e, 6) as "end", round(coalesce(found, d.e), 6) finished from d left join x on x.recording_id = d.recording_id and x.req_ix = d.ix"""
