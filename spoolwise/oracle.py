@@ -627,3 +627,25 @@ ORACLE["w4_finish_thought"] = w(CUES, WORDS) + f""", f as (
   g as (select *, sum(broken::int) over (partition by recording_id, req_ix order by ix) breaks from k),
   x as (select recording_id, req_ix, arg_min(e, ix) filter (not head and breaks = 0 and not unsaid) found from g group by 1, 2)
   select d.recording_id, d.ix req_ix, round(d.e, 6) as "end", round(coalesce(found, d.e), 6) finished from d left join x on x.recording_id = d.recording_id and x.req_ix = d.ix"""
+
+
+def clip80(c: str) -> str:
+    return (
+        f"case when length({c}) <= 80 then {c} else rtrim(case when contains(substring(left({c}, 79), 41), ' ') "
+        f"then regexp_replace(left({c}, 79), ' [^ ]*$', '') else left({c}, 79) end, ' ,;:.') || '…' end"
+    )
+
+
+ORACLE["q6_storyboard"] = w(CUES, WORDS, PK + TAKE + TIMELINE) + f""", t0 as (select *, {clean('takeaway', FILL)} t from segs),
+  t1 as (select *, {clip80('t')} u from t0), t2 as (select *, {clean('u', FILL)} short from t1),
+  met as (
+    select s.recording_id, n, c.speaker, sum(least(c."end", b) - greatest(c.start, a)) talk, min(cue_ix) since
+    from segs s join cues c on c.recording_id = s.recording_id and c.start < b and c."end" > a group by 1, 2, 3),
+  who as (select recording_id, n, string_agg(speaker, '|' order by round(talk, 9) desc, since) speakers from met group by 1, 2),
+  said as (
+    select s.recording_id, n, list(x.text order by word_ix) l from segs s join words x on x.recording_id = s.recording_id and x.start < b and x."end" > a group by 1, 2)
+  select line.recording_id, item_ix, role, case role when 'intro' then 'Session' when 'opening' then 'What you''ll learn' when 'chapter' then short when 'clip' then takeaway
+      else 'That''s the session' end title, round(line.start, 3) as start, case when role = 'clip' then speakers end speakers,
+    case when role = 'clip' then array_to_string(case when len(l) > 88 then l[1:70] || ['…'] || l[-18:] else l end, ' ') end quote
+  from line left join t2 on t2.recording_id = line.recording_id and role in ('chapter', 'clip') and n = item_ix // 2
+  left join who on who.recording_id = t2.recording_id and who.n = t2.n left join said on said.recording_id = t2.recording_id and said.n = t2.n"""
