@@ -5,6 +5,7 @@ from __future__ import annotations
 from .functions.lexicon import OPEN_WORDS, STOP_WORDS, TASK_WORDS
 from .jobs import SKELETON
 from .operators.picks import AIR, BOOKENDS, CARD, INTRO, TOLERANCE
+from .plans.schema import PRESET_ASPECT, PRESET_BOUNDS
 
 OUTLINE_TAIL = ("## Moments skeleton\n\nPick the moments worth keeping and fill this list:\n\n```json\n" + SKELETON + "\n```\n").replace("'", "''")
 
@@ -649,3 +650,10 @@ ORACLE["q6_storyboard"] = w(CUES, WORDS, PK + TAKE + TIMELINE) + f""", t0 as (se
     case when role = 'clip' then array_to_string(case when len(l) > 88 then l[1:70] || ['…'] || l[-18:] else l end, ' ') end quote
   from line left join t2 on t2.recording_id = line.recording_id and role in ('chapter', 'clip') and n = item_ix // 2
   left join who on who.recording_id = t2.recording_id and who.n = t2.n left join said on said.recording_id = t2.recording_id and said.n = t2.n"""
+ORACLE["q1_plan"] = w(CUES, (PK + TAKE).replace("<= 60", f"<= {PRESET_BOUNDS['internal'][1]}").replace(">= 15", f">= {PRESET_BOUNDS['internal'][0]}")) + f""", two as (
+    select recording_id, i from picks3 qualify row_number() over (partition by recording_id order by rk) <= 2),
+  z as (select c.recording_id, takeaway, start, "end", dur, row_number() over (partition by c.recording_id order by start) n from clips c join two using (recording_id, i))
+  select recording_id, '{{"version":"1","source":{{"path":"talk-' || recording_id || '.mp4","duration_seconds":' || round(first(dur), 3) || ',"captions":{{"kind":"embedded"}}}},'
+    || '"output":{{"dir":"out","preset":"internal","aspect":"{PRESET_ASPECT['internal']}","captions":"burn_in"}},"clips":['
+    || string_agg('{{"id":"' || {CLIP_ID} || '","takeaway":' || to_json(takeaway) || ',"segments":[{{"start":' || round(start, 3) || ',"end":' || round("end", 3) || '}}],"trim_silence":true}}', ',' order by n)
+    || ']}}' plan_json from z group by recording_id"""
