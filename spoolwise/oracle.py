@@ -657,3 +657,7 @@ ORACLE["q1_plan"] = w(CUES, (PK + TAKE).replace("<= 60", f"<= {PRESET_BOUNDS['in
     || '"output":{{"dir":"out","preset":"internal","aspect":"{PRESET_ASPECT['internal']}","captions":"burn_in"}},"clips":['
     || string_agg('{{"id":"' || {CLIP_ID} || '","takeaway":' || to_json(takeaway) || ',"segments":[{{"start":' || round(start, 3) || ',"end":' || round("end", 3) || '}}],"trim_silence":true}}', ',' order by n)
     || ']}}' plan_json from z group by recording_id"""
+ORACLE["w22_effective_transition"] = w(CUES, PK) + """, t as (
+    select recording_id, "end" - start d, row_number() over (partition by recording_id order by start) k, count(*) over (partition by recording_id) n from picks3)
+  select recording_id, round(case when recording_id % 3 = 0 or n < 2 then 0.0 else least(20.0, min(case when recording_id % 3 = 1 and k > 1 and k < n then d / 2 else d end)) end, 5)::double as seconds
+  from t group by recording_id, n"""

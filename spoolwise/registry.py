@@ -600,6 +600,13 @@ def w20_card_runs(s, d):
     return cards.card_runs(staged(s, d, "reel_plans"), 24, 1, KEY)
 
 
+def w22_effective_transition(s, d):
+    """What the picked windows of each recording can afford of twenty seconds."""
+    g = staged(s, d, "windows").groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("w"))
+    kind = F.when(F.col(KEY) % 3 == 0, "cut").when(F.col(KEY) % 3 == 1, "dissolve").otherwise("dip")
+    return g.select(KEY, _r(cards.effective_transition(kind, F.lit(20.0), F.transform("w", lambda x: x["end"] - x["start"])), 5).alias("seconds"))
+
+
 def v1_violations(s, d):
     """Plans with planted faults: a long takeaway, a wrong preset, a segment past the end, an unknown key."""
     p = staged(s, d, "reel_plans").select(F.col(KEY).alias("plan_id"), "plan_json")
