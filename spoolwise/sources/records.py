@@ -233,4 +233,5 @@ def media_facts(probes: DataFrame, text: str = "probe_json") -> tuple[DataFrame,
 def incremental_filter(inputs: DataFrame, manifest: DataFrame, parts: list[str], version: int = 3) -> DataFrame:
     """Inputs whose fingerprint is not in the manifest yet, with their ``fingerprint``."""
     tag = ck.fingerprint(F.lit(version).alias("version"), *[F.col(p) for p in parts])
-    return inputs.withColumn("fingerprint", tag).join(manifest.select("fingerprint"), "fingerprint", "left_anti")
+    # a fingerprint that a manifest holds often is met once
+    return inputs.withColumn("fingerprint", tag).join(manifest.select("fingerprint").distinct(), "fingerprint", "left_anti")

@@ -72,3 +72,17 @@ def test_ocr_tsv(spark, tmp_path):
     (tmp_path / "frame_12.5.tsv").write_text(head + "5\t1\t1\t1\t1\t1\t20\t40\t60\t10\t96.5\tHi\"x\n4\t1\t1\t1\t1\t0\t0\t0\t0\t0\t-1\t\n5\t1\t1\t1\t1\t2\tbad\t0\t0\t0\t9\tno\n")
     got = rc.read_ocr_tsv(spark, str(tmp_path), 2.0).collect()
     assert [(r.frame_ts, r.text, r.x, r.y, r.w, r.h, r.conf) for r in got] == [(12.5, 'Hi"x', 10, 20, 30, 5, 96.5)]
+
+
+def test_manifest_that_repeats_itself(spark):
+    """A manifest's fingerprints are met once each, however often it holds them."""
+    from pyspark.sql import functions as F
+
+    from spoolwise.sources import records as rc
+
+    rows = spark.range(40).select("id")
+    seen = rc.incremental_filter(rows.where("id < 30"), rows.select(F.lit("").alias("fingerprint")), ["id"])
+    got = rc.incremental_filter(rows, seen.unionByName(seen).unionByName(seen), ["id"])
+    assert sorted(r["id"] for r in got.collect()) == [*range(30, 40)]
+    plan = rc.incremental_filter(rows, seen, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2
