@@ -70,3 +70,18 @@ def test_input_is_worked_out_once(spark, tmp_path):
         plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 2
         assert plan.count("REPARTITION_BY_COL, [plan_id") == 4  # each named again by the one that reuses it
+
+
+def test_values_ahead_take_one_pass(spark):
+    """No frame is open towards the end: such a frame is walked again for each row. Rows that tie keep one order both ways."""
+    rows = [(1, ix, v) for ix in range(300) for v in (ix, None, ix + 1000)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    v = F.col("v")
+    got = sc.scan(df, ["recording_id"], ["ix"], sc.by_index("ix"), t=sc.total(F.lit(1)), a=sc.after(v), o=sc.onward(v), l=sc.low_after(v))
+    assert "unboundedfollowing" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    told = sorted((r["t"], r["v"], r["a"], r["o"], r["l"]) for r in got.collect())
+    vs = [x[1] for x in told]
+    assert [x[0] for x in told] == [*range(1, 901)]
+    for n, (_, v, a, o, low) in enumerate(told):
+        later = [x for x in vs[n + 1:] if x is not None]
+        assert (a, low) == (later[0] if later else None, min(later, default=None)) and o == (a if v is None else v)
