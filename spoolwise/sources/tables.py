@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..operators.scans import KEY, by_index, scan, total
+from ..functions import offsets as off
+from ..functions.let import let
+from ..operators.scans import KEY, by_index, cut_lineage, scan, total
 
 CHARS_PER_SECOND = 15.0
 
@@ -41,8 +43,23 @@ def cues_from_turns(turns: DataFrame, key: str, order: str, text: str, speaker:
 
 
 def cues_from_documents(docs: DataFrame) -> DataFrame:
-    """One recording per document, one cue per sentence, no speakers."""
-    return cues_from_turns(docs.withColumn("_one", F.lit(0)), "doc_id", "_one", "text")
+    """One recording per document, one cue per sentence, no speakers.
+
+    A document whose id no other row has is timed inside its row, so no text is shuffled. Rows that share an id are
+    one recording, which ``cues_from_turns`` puts on one clock.
+    """
+    shared = docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").select("_id")
+    shared, same = cut_lineage(shared), F.col("doc_id").eqNullSafe(F.col("_id"))
+    together = cues_from_turns(docs.join(shared, same, "left_semi").withColumn("_one", F.lit(0)), "doc_id", "_one", "text")
+    alone = docs.join(shared, same, "left_anti").select(F.col("doc_id").alias(KEY), _pieces("text").alias("_p"))
+    ends = let(F.transform("_p", lambda p: F.length(p).cast("long") + 1), lambda n: off.running(n, lambda a, b: a + b, "bigint"))
+    rows = alone.select(KEY, F.posexplode(F.arrays_zip(F.col("_p").alias("text"), ends.alias("c"))).alias("cue_ix", "_x"))
+    c, text = F.col("_x.c"), F.col("_x.text")
+    alone = rows.select(
+        KEY, "cue_ix", ((c - F.length(text) - 1) / F.lit(CHARS_PER_SECOND)).alias("start"), (c / F.lit(CHARS_PER_SECOND)).alias("end"),
+        text.alias("text"), F.lit(None).cast("string").alias("speaker"),
+    )
+    return alone.unionByName(together)
 
 
 def epoch(ts: str = "ts") -> Column:

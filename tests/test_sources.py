@@ -86,3 +86,22 @@ def test_manifest_that_repeats_itself(spark):
     assert sorted(r["id"] for r in got.collect()) == [*range(30, 40)]
     plan = rc.incremental_filter(rows, seen, ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 2
+
+
+def test_documents_as_cues(spark):
+    """Texts of ids that no other row has are not shuffled; rows that share an id, or have none, come as turns of one recording."""
+    from pyspark.sql import functions as F
+
+    from spoolwise.sources import tables as tb
+
+    rows = [(n, " ".join(f"Said {k} of {n}." for k in range(n * 40))) for n in range(5)] + [(7, "Once. Again!"), (None, "No id. None?"), (8, None), (9, "x.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = lambda d: sorted(map(str, tb.cues_from_turns(d.withColumn("_one", F.lit(0)), "doc_id", "_one", "text").collect()))
+    got = tb.cues_from_documents(docs)
+    assert sorted(map(str, got.collect())) == want(docs) and got.count() > 400
+    plan = tb.cues_from_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight" in plan and got.dtypes == tb.cues_from_turns(docs.withColumn("_one", F.lit(0)), "doc_id", "_one", "text").dtypes
+    twice = docs.unionByName(docs.where("doc_id = 9"))
+    got = tb.cues_from_documents(twice)
+    assert sorted(map(str, got.collect())) == want(twice)
+    assert got.where("recording_id = 9").select("cue_ix").distinct().count() == 2
