@@ -81,34 +81,31 @@ def ordered_fold(
 ) -> DataFrame:
     """Stream each key's rows in order through a stateful step; memory does not grow with the key.
 
-    ``start()`` makes the step of one key: it gets a pandas slice of consecutive rows and returns a frame of results
-    for it, carrying its own state to the next slice; at the end of the key it gets None and returns what it still
-    holds, or None. For rules whose next state needs the whole state before it.
+    ``start()`` makes the step of one key: it gets a list of consecutive rows (tuples in the order of ``df``'s columns) and
+    returns a list of result rows for it, carrying its own state to the next list; at the end of the key it gets None
+    and returns what it still holds. For rules whose next state needs the whole state before it. A batch becomes rows,
+    and its results a frame, once, however many short keys it holds.
     """
-    keys = list(keys)
+    keys, names = list(keys), df.sparkSession.createDataFrame([], schema).columns
+    at = [df.columns.index(k) for k in keys]
 
     def run(batches: Iterator) -> Iterator:
-        current, step, out = None, None, []
-
-        def keep(frame) -> None:
-            if frame is not None and len(frame):
-                out.append(frame)
-
+        current, step = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
             heads = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-            labels = list(pdf[keys].iloc[heads].itertuples(index=False, name=None))
-            for key, a, b in zip(labels, heads, [*heads[1:], len(pdf)]):
+            rows, out = list(zip(*[pdf[c].tolist() for c in pdf.columns])), []
+            for a, b in zip(heads, [*heads[1:], len(rows)]):
+                key = tuple(rows[a][n] for n in at)
                 if key != current:
-                    keep(step(None) if step else None)
+                    out += step(None) if step else []
                     current, step = key, start()
-                keep(step(pdf.iloc[a:b]))
-            if out:  # one frame per input batch, however many short keys it held
-                yield pd.concat(out, ignore_index=True)
-                out.clear()
-        keep(step(None) if step else None)
+                out += step(rows[a:b])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        out = step(None) if step else []
         if out:
-            yield pd.concat(out, ignore_index=True)
+            yield pd.DataFrame(out, columns=names)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -6,7 +6,6 @@ import itertools
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import boxes as bx, offsets as off
@@ -337,32 +336,28 @@ def merge_boxes(redactions: DataFrame, same: float = 0.5) -> DataFrame:
     d = scan(d.withColumn("_o", F.when(opens, F.col("start"))).drop("_peak"), [KEY], order, chunk, _island=upto(F.col("_o")))
     schema = f"{KEY} long, start double, end double, x int, y int, w int, h int, why string"
     alone = F.count(F.lit(1)).over(Window.partitionBy(KEY, "_island")) == 1
-    d = d.drop("_o").withColumn("_alone", alone)
-    merged = ordered_fold(d.where("not _alone").drop("_alone"), [KEY, "_island"], order, lambda: _box_merger(same), schema)
-    out = [KEY, "start", "end", "x", "y", "w", "h", "why"]
+    d, out = d.drop("_o").withColumn("_alone", alone), [KEY, "start", "end", "x", "y", "w", "h", "why"]
+    merged = ordered_fold(d.where("not _alone").select(*out, "_island"), [KEY, "_island"], order, lambda: _box_merger(same), schema)
     return d.where("_alone").select(*out).unionByName(merged)  # most records meet no other: they never leave the JVM
 
 
 def _box_merger(same: float):
     held: list[list] = []  # [start, end, x0, y0, x1, y1, why], in order of creation
-    names = [KEY, "start", "end", "x", "y", "w", "h", "why"]
     key = [None]
 
-    def frame(rows: list[list]) -> pd.DataFrame | None:
-        if not rows:
-            return None
-        return pd.DataFrame([[key[0], a, b, x0, y0, x1 - x0, y1 - y0, why] for a, b, x0, y0, x1, y1, why in rows], columns=names)
+    def boxes(closed: list[list]) -> list[tuple]:
+        return [(key[0], a, b, x0, y0, x1 - x0, y1 - y0, why) for a, b, x0, y0, x1, y1, why in closed]
 
     def share(o: list, x0: int, y0: int, x1: int, y1: int) -> float:
         both = max(0, min(o[4], x1) - max(o[2], x0)) * max(0, min(o[5], y1) - max(o[3], y0))
         small = min((o[4] - o[2]) * (o[5] - o[3]), (x1 - x0) * (y1 - y0))
         return both / small if small else 0.0
 
-    def step(pdf: pd.DataFrame | None) -> pd.DataFrame | None:
-        if pdf is None:
-            return frame(held)
+    def step(rows: list[tuple] | None) -> list[tuple]:
+        if rows is None:
+            return boxes(held)
         closed: list[list] = []
-        for rid, a, b, x, y, w, h, why in pdf[names].itertuples(index=False):
+        for rid, a, b, x, y, w, h, why, _ in rows:
             key[0] = rid
             closed += [o for o in held if a > o[1] + 1e-6]
             held[:] = [o for o in held if a <= o[1] + 1e-6]
@@ -374,7 +369,7 @@ def _box_merger(same: float):
                     break
             else:
                 held.append([a, b, x, y, x + w, y + h, why])
-        return frame(closed)
+        return boxes(closed)
 
     return step
 
@@ -409,12 +404,11 @@ def _screen_reader(still: float, delta: int, differs: int, reread: float):
         s["held"] = None
         return [(rid, t, run, bool(read or (last and t - s["at"] >= 1.0)))]
 
-    def step(pdf: pd.DataFrame | None) -> pd.DataFrame | None:
+    def step(frames: list[tuple] | None) -> list[tuple]:
+        if frames is None:
+            return settle(True)
         rows = []
-        if pdf is None:
-            rows = settle(True)
-            return pd.DataFrame(rows, columns=[KEY, "ts", "run_start", "read"]) if rows else None
-        for rid, t, thumb in zip(pdf[KEY], pdf["ts"], pdf["thumb"]):
+        for rid, _, t, thumb in frames:
             thumb = None if thumb is None else np.asarray(thumb, dtype="int64")
             d = gap(s["head"], thumb)
             changed = 1.0 if d is None else float((d > delta).sum()) / len(d)
@@ -428,7 +422,7 @@ def _screen_reader(still: float, delta: int, differs: int, reread: float):
             if read:
                 s["seen"], s["at"] = thumb, t
             s["held"] = (rid, t, s["t0"], read)
-        return pd.DataFrame(rows, columns=[KEY, "ts", "run_start", "read"])
+        return rows
 
     return step
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import clock as ck, text as tx
@@ -87,18 +85,16 @@ def _limit_length():
     """Walk a long run: a word whose end lies over the limit past the span's start opens the next span."""
     state = {"start": None, "part": 0}
 
-    def step(pdf: pd.DataFrame | None) -> pd.DataFrame | None:
-        if pdf is None:
-            return None
-        starts, ends = pdf["start"].to_numpy(), pdf["end"].to_numpy()
-        parts = np.empty(len(pdf), dtype="int64")
-        for n in range(len(pdf)):
+    def step(rows: list[tuple] | None) -> list[tuple]:
+        out = []
+        for row in rows or []:
+            start, end = row[3], row[4]  # recording, run and word come before them
             if state["start"] is None:
-                state["start"] = starts[n]
-            elif ends[n] - state["start"] > MAX_SENTENCE:
-                state["start"], state["part"] = starts[n], state["part"] + 1
-            parts[n] = state["part"]
-        return pdf.assign(_part=parts)
+                state["start"] = start
+            elif end - state["start"] > MAX_SENTENCE:
+                state["start"], state["part"] = start, state["part"] + 1
+            out.append((*row, state["part"]))
+        return out
 
     return step
 
@@ -311,16 +307,15 @@ def chunk_blocks(blocks: DataFrame, limit: int = 28000) -> DataFrame:
     def start():
         state = {"size": 0, "chunk": 0}
 
-        def step(pdf: pd.DataFrame | None) -> pd.DataFrame | None:
-            if pdf is None:
-                return None
-            out = np.empty(len(pdf), dtype="int64")
-            for n, size in enumerate((pdf["_len"] + 2).tolist()):
+        def step(rows: list[tuple] | None) -> list[tuple]:
+            out = []
+            for rid, block, size in rows or []:
+                size += 2
                 if state["size"] and state["size"] + size > limit:
                     state["size"], state["chunk"] = 0, state["chunk"] + 1
                 state["size"] += size
-                out[n] = state["chunk"]
-            return pd.DataFrame({KEY: pdf[KEY], "block": pdf["block"], "chunk": out})
+                out.append((rid, block, state["chunk"]))
+            return out
 
         return step
 

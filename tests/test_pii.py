@@ -106,3 +106,15 @@ def test_masks_of_overlapping_details(apply):
         pii.FEW = was
         want = "[a, b, url][c, a]" + text[12:20] + "".join(f"[x]{text[n + 2:n + 5]}" for n in range(20, 85, 5)) + "[x]" + text[87:]
         assert got == want
+def test_many_short_folds(spark):
+    """A batch is turned into rows once, not for each of its keys."""
+    import time
+
+    n = 6000
+    at = F.floor(F.col("id") / n).cast("double")
+    df = spark.range(2 * n).select((F.col("id") % n).alias("recording_id"), at.alias("start"), (at + 1).alias("end"), *[F.lit(10).alias(c) for c in "xywh"], F.lit("a").alias("why"))
+    t0 = time.time()
+    got = pii.merge_boxes(df).collect()
+    assert len(got) == n and {(r.start, r.end) for r in got} == {(0.0, 2.0)} and time.time() - t0 < 25
+
+
