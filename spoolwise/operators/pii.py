@@ -115,8 +115,9 @@ def find_in_text(text: Column, terms: list[str] = (), kinds: dict[str, str] = SE
         if p == SENSITIVE.get(k):
             hits = F.when(text.isNotNull() & ~text.rlike(NEEDS[k]), F.array().cast(HIT)).otherwise(hits)
         parts.append(hits)
-    parts += [_matches(text, "term", p) for p in terms]
-    return F.concat(*parts)
+    if parts and all(p == SENSITIVE.get(k) for k, p in kinds.items()):
+        parts = [F.when(text.isNotNull() & ~text.rlike(ANY), F.array().cast(HIT)).otherwise(F.concat(*parts))]
+    return F.concat(*parts, *[_matches(text, "term", p) for p in terms])
 
 
 def find_sensitive(docs: DataFrame, ids: list[str], text: str = "text", terms: list[str] = (), kinds: dict[str, str] = SENSITIVE) -> DataFrame:
@@ -129,6 +130,7 @@ def ocr_lines(words: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     """OCR words put back into lines, each with its text and the place of every word in it. A line is small."""
     line = [KEY, "frame_ts", "block", "par", "line"]
     g = words.where(F.col("conf") >= min_confidence).groupBy(*line).agg(
+ANY = r"(?U)[@\d]|" + NEEDS["key"]  # every kind but email and key has a digit in it
         F.array_sort(F.collect_list(F.struct("word_ix", "text", "x", "y", "w", "h", "conf"))).alias("ws")
     )
     ws = F.col("ws")
@@ -222,8 +224,14 @@ def check_and_patch(
     for n in range(rounds + 1):
         # each round's copy is written before it is read back, as the check must see what was really produced
         out = cut_lineage(cut_lineage(out).withColumn("_left", still(F.col("clean"))))
-        if n < rounds:
-            out = out.withColumn("clean", mask_text(F.col("clean"), F.col("_left"))).drop("_left")
+        if n == rounds:
+            break
+        # masking nothing changes nothing, so what reads clean (or can't be read) is settled; only leaks go round again
+        leaky = F.coalesce(F.size("_left") > 0, F.lit(False))
+        settled = out.where(~leaky)
+        done = settled if done is None else done.unionByName(settled)
+        out = out.where(leaky).withColumn("clean", mask_text(F.col("clean"), F.col("_left"))).drop("_left")
+    out = out if done is None else done.unionByName(out)
     leaks = F.transform("_left", lambda h: F.struct(h["kind"].alias("kind"), F.length(h["match"]).alias("characters")))
     out = out.select(*ids, "clean", leaks.alias("leaks"))
     bad = F.col("clean").isNull() | (F.size("leaks") > 0)
@@ -243,6 +251,7 @@ def kind_counts(redactions: DataFrame, keys: tuple[str, ...] = (KEY,)) -> DataFr
     """Records per kind; a merged record counts for each of its kinds."""
     why = F.coalesce(F.nullif("why", F.lit("")), F.lit("manual"))
     return redactions.select(*keys, F.explode(F.split(why, ", ")).alias("kind")).groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("records"))
+    done = None
 
 
 def clip_to_spans(redactions: DataFrame, spans: DataFrame, every: float = 1.0, chunk_seconds: float = 600.0) -> DataFrame:
