@@ -35,10 +35,24 @@ def compile_terms(lines: list[str]) -> list[str]:
     return out
 
 
+def _folded(text: Column) -> Column:
+    """A text with case folded as the patterns of terms fold it."""
+    return F.upper(F.translate(text, "\u0130\u212a\u212b\u2126\u03f4\u1e9e", "ik\u00e5\u03c9\u03b8\u00df"))  # those upper case leaves apart
+
+
 def _folded_words(text: Column) -> Column:
     """The distinct words of a text with case folded as the patterns of terms fold it."""
-    folded = F.upper(F.translate(text, "\u0130\u212a\u212b\u2126\u03f4\u1e9e", "ik\u00e5\u03c9\u03b8\u00df"))  # those upper case leaves apart
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit(r"(?U)\w+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(_folded(text), F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+SPELLED = r"^[\p{L}\p{N}_]+(?:\\s\+[\p{L}\p{N}_]+)*(?:\\w[*+])?$"
+"""Free patterns of nothing but words, ``\\s+`` between them and an open end."""
+
+
+def _spelled(pattern: Column) -> Column:
+    """What a folded text with one space for each run of white space holds wherever the pattern matches; null for other patterns."""
+    words = F.replace(F.regexp_replace(pattern, r"\\w[*+]$", ""), F.lit(r"\s+"), F.lit(" "))
+    return F.when(pattern.rlike(SPELLED), _folded(words))
 
 
 def term_patterns(terms: DataFrame, text: str = "text") -> DataFrame:
@@ -57,7 +71,8 @@ def term_hits(lines: DataFrame, terms: DataFrame, ids: list[str], text: str = "t
     The lines are counted for each word that terms hold, and a term meets only lines with its rarest word; a term with a
     word that no line holds meets none. Words travel with ``ids`` alone. Texts are joined to the pairs that met, where
     the whole term is checked; ``ids`` may repeat or be null. ``re:`` terms and terms without a word have nothing to meet
-    by: they are searched ``BLOCK`` at a time, each pass over the lines written before the next.
+    by: they are searched ``BLOCK`` at a time, each pass over the lines written before the next. In a pass a pattern that
+    is spelled out (``_spelled``) is tried only on lines that hold its words, which a plain search of the folded line tells.
     """
     patterns = term_patterns(terms)
     held = patterns.where(F.size("words") > 0).select("term", "pattern", F.explode("words").alias("word"))
@@ -73,11 +88,20 @@ def term_hits(lines: DataFrame, terms: DataFrame, ids: list[str], text: str = "t
     found = F.regexp_extract_all("_line", F.col("pattern"), F.lit(0))
     out = met.join(texts, same).select(*ids, F.lit("term").alias("kind"), "term", F.explode(found).alias("match"))
 
-    free, block, path = patterns.where(F.size("words") == 0).orderBy("term").toLocalIterator(), [], None
+    free = patterns.where(F.size("words") == 0).withColumn("spelled", F.when(F.startswith("term", F.lit("re:")), _spelled(F.expr("substring(term, 4)"))))
+    free, block, path = free.orderBy("term").toLocalIterator(), [], None
+    folded = lines.select(*ids, F.col(text).alias("_line"), F.regexp_replace(_folded(F.col(text)), r"(?U)\s+", " ").alias("_folded"))
+
+    def tried(b) -> Column:
+        found = F.regexp_extract_all("_line", F.lit(b["pattern"]), F.lit(0))
+        if b["spelled"] is not None:
+            found = F.when(F.contains("_folded", F.lit(b["spelled"])), found).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.lit(b["term"]).alias("term"), found.alias("found"))
+
     for r in itertools.chain(free, [None]):
         if block and (r is None or len(block) == BLOCK):
-            each = F.array(*[F.struct(F.lit(b["term"]).alias("term"), F.regexp_extract_all(F.col(text), F.lit(b["pattern"]), F.lit(0)).alias("found")) for b in block])
-            hits = lines.select(*ids, F.explode(each).alias("_t")).select(*ids, F.lit("term").alias("kind"), F.col("_t.term").alias("term"), F.explode("_t.found").alias("match"))
+            each = F.filter(F.array(*[tried(b) for b in block]), lambda t: F.size(t["found"]) > 0)
+            hits = folded.select(*ids, F.explode(each).alias("_t")).select(*ids, F.lit("term").alias("kind"), F.col("_t.term").alias("term"), F.explode("_t.found").alias("match"))
             path, block = path or shared_path(lines.sparkSession), []
             hits.write.mode("append").parquet(path)
         if r is not None:

@@ -46,6 +46,41 @@ def test_mask_and_check(spark):
     assert [r.doc_id for r in bad.collect()] == [3]
 
 
+def test_only_leaks_are_read_back_again(spark):
+    """A text that reads clean is settled: later rounds write and search only what still leaks."""
+    from spoolwise.operators import scans
+
+    docs = spark.createDataFrame([(n, "mail a.b@example.com" if n == 7 else "nothing") for n in range(50)] + [(50, None)], "doc_id long, text string")
+    before = len(scans._WRITTEN)
+    clean, bad = pii.check_and_patch(docs, ["doc_id"], terms=[r"\[email\]"])
+    rows = [spark.read.parquet(p).count() for p in scans._WRITTEN[before:]]
+    assert rows == [51, 51, 1, 1, 0, 0]
+    assert {r.doc_id: r.clean for r in clean.collect()} == {n: "mail [term]" if n == 7 else "nothing" for n in range(50)}
+    assert [r.doc_id for r in bad.collect()] == [50]
+
+
+def test_no_kind_is_passed_over(apply):
+    """What tells that a text can hold no detail lets every kind through, other digits included."""
+    texts = [t for _, t in POSITIVE] + ["٤١١١ ١١١١ ١١١١ ١١١١", "no", "eyJabcdefghijk.abcdefghijk.x"]
+    assert apply(texts, lambda t: t.rlike(pii.ANY)) == [True] * (len(texts) - 2) + [False, True]
+
+
+def test_spelled_patterns(spark):
+    """Free patterns of plain words are tried only where their words stand; they find what the pattern alone finds."""
+    patterns = [r"acme\s+Corp\w*", r"straße\w*", r"\w+", r"a|b", r"ab*", r"proj-\d+"]
+    df = spark.createDataFrame([(p,) for p in patterns], "p string")
+    assert [r.s for r in df.select(pii._spelled(F.col("p")).alias("s")).collect()] == ["ACME CORP", "STRASSE", None, None, None, None]
+    texts = ["xACME \n corporation, acme corp", "STRAẞEN straße", "aKme corp acmecorp", "a ab abb proj-12", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = spark.createDataFrame([("re:" + p,) for p in patterns], "text string")
+    got = sorted((r.doc_id, r.term, r.match) for r in pii.term_hits(docs, terms, ["doc_id"]).collect())
+    want = []
+    for p in patterns:
+        found = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?iU)" + p), F.lit(0))).alias("m"))
+        want += [(r.doc_id, "re:" + p, r.m) for r in found.collect()]
+    assert got == sorted(want) and len(got) > 10
+
+
 def test_terms(spark):
     assert len(pii.compile_terms(["Acme Corp", "# no", "", "re:proj-\\d+"])) == 2
     docs = spark.createDataFrame([(1, "ACME   corp and acme corporation"), (2, "c++ rocks")], "doc_id long, text string")
