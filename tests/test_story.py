@@ -45,3 +45,25 @@ def test_read_back_hits_become_boxes(spark):
     hits = spark.createDataFrame([(1, 4.0, "email", (110, 102, 40, 16)), (1, 50.0, "key", (0, 0, 10, 10))], "recording_id long, frame_ts double, kind string, box struct<x:int,y:int,w:int,h:int>")
     got = [tuple(r) for r in pii.add_read_back(df, hits, 1920, 1080).orderBy("start").collect()]
     assert [g[1:3] for g in got] == [(0.0, 6.0), (48.0, 52.0)] and got[0][7] == "email, email (read back)" and got[1][3:7] == (0, 0, 20, 20)
+
+
+def test_card_lines_are_worked_out_once(spark):
+    """A card's lines are bound by name: the expression doesn't grow with each use of them, nor the work with their words."""
+    from spoolwise.functions import text as tx
+    from spoolwise.plans import cards
+
+    df = spark.createDataFrame([(["alpha beta gamma", "beta gamma delta", " ", "gamma one", "two", "three"],)], "x array<string>")
+    size = lambda c: df.select(c.alias("c"))._jdf.queryExecution().analyzed().toString().count("regexp_replace(")
+    one = size(tx.clip_text(F.col("x")[0], 120))
+    assert size(cards.opening_card(F.col("x"), F.lit("T"))) <= 2 * one and size(cards.closing_cards(F.col("x"))) <= one
+    got = df.select(cards.opening_card(F.col("x"), F.lit("T")).alias("o"), cards.closing_cards(F.col("x")).alias("c")).first()
+    assert got.o.lines == ["5 moments on gamma, beta", "alpha beta gamma", "beta gamma delta", "gamma one"] and got.o.seconds == 7.5
+    assert [(c.title, c.lines) for c in got.c] == [("Takeaways", ["alpha beta gamma", "beta gamma delta", "gamma one", "two"]), ("Takeaways (continued)", ["three"])]
+
+
+def test_cues_are_scored_once_for_both_ends_of_a_window(spark):
+    from spoolwise.operators import picks
+
+    cues = spark.createDataFrame([(1, n, 10.0 * n, 10.0 * n + 9, "talk of alpha") for n in range(8)], "recording_id long, cue_ix int, start double, end double, text string")
+    found = picks.window_candidates(cues, "alpha", 15, 60)
+    assert found.inputFiles() and found.count() > 0
