@@ -129,6 +129,7 @@ NEEDS = {
     "key": "sk-|gh[pousr]_|github_pat_|xox[abprs]-|AKIA|AIza|eyJ", "money": "[$€£]|USD|EUR|GBP|dollars", "url": "[/?#]",
     "token": r"[A-Za-z0-9_\-+/=]{24}",
 }
+ANY = r"(?U)[@\d]|" + NEEDS["key"]  # every kind but email and key has a digit in it
 
 
 def find_in_text(text: Column, terms: list[str] = (), kinds: dict[str, str] = SENSITIVE) -> Column:
@@ -154,7 +155,6 @@ def ocr_lines(words: DataFrame, min_confidence: float = 0.0) -> DataFrame:
     """OCR words put back into lines, each with its text and the place of every word in it. A line is small."""
     line = [KEY, "frame_ts", "block", "par", "line"]
     g = words.where(F.col("conf") >= min_confidence).groupBy(*line).agg(
-ANY = r"(?U)[@\d]|" + NEEDS["key"]  # every kind but email and key has a digit in it
         F.array_sort(F.collect_list(F.struct("word_ix", "text", "x", "y", "w", "h", "conf"))).alias("ws")
     )
     ws = F.col("ws")
@@ -245,6 +245,7 @@ def check_and_patch(
     """
     still = lambda c: F.filter(find_in_text(c, terms), lambda h: F.length(F.trim(h["match"])) >= min_length)
     out = redact_text(docs.select(*ids, text), text, terms).select(*ids, "clean")
+    done = None
     for n in range(rounds + 1):
         # each round's copy is written before it is read back, as the check must see what was really produced
         out = cut_lineage(cut_lineage(out).withColumn("_left", still(F.col("clean"))))
@@ -275,7 +276,6 @@ def kind_counts(redactions: DataFrame, keys: tuple[str, ...] = (KEY,)) -> DataFr
     """Records per kind; a merged record counts for each of its kinds."""
     why = F.coalesce(F.nullif("why", F.lit("")), F.lit("manual"))
     return redactions.select(*keys, F.explode(F.split(why, ", ")).alias("kind")).groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("records"))
-    done = None
 
 
 def clip_to_spans(redactions: DataFrame, spans: DataFrame, every: float = 1.0, chunk_seconds: float = 600.0) -> DataFrame:
