@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Iterator, Sequence
-from itertools import chain
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +22,10 @@ LONG = 1024
 _SETTLE = 4096
 """Characters of a long word after which the pieces that all open paths share are settled."""
 _UNKNOWN = -20.0
+_TRIE = 1 << 20
+"""Bytes of words that are encoded side by side; more go in turns, so that memory does not follow the length of a text."""
+_LEAD = np.repeat(np.array([0, 1, 2, 3], np.int8), [192, 32, 16, 16])
+"""How many bytes of a character follow its first one."""
 
 
 class Pieces:
@@ -67,6 +70,25 @@ class Pieces:
         inner = [p for p in self.score if MARK in p.lstrip(MARK)]
         if inner:
             raise ValueError(f"a piece runs over two words: {inner[0]!r}")
+        self._by_byte()
+
+    def _by_byte(self) -> None:
+        """The vocabulary's trie over UTF-8 bytes as arrays, a mark as the byte 32: its edges (256 * node + byte) in order
+        with the node below each, and for each node whether it has any, the piece that ends there (or -1) and its score."""
+        node, edges = {b"": 0}, []
+        ends = {piece.replace(MARK, " ").encode(): found for piece, found in self.score.items() if " " not in piece}
+        for raw in ends:
+            for n in range(1, len(raw) + 1):
+                if raw[:n] not in node:
+                    node[raw[:n]] = len(node)
+                    edges.append((256 * node[raw[: n - 1]] + raw[n - 1], node[raw[:n]]))
+        edges.sort()
+        self.edge, self.below = (np.array(x, np.int64) for x in zip(*edges, strict=True)) if edges else (np.full(1, -1), np.zeros(1, np.int64))
+        self.inner, self.ends, self.gain = np.zeros(len(node), bool), np.full(len(node), -1, np.int32), np.zeros(len(node))
+        self.inner[self.edge[self.edge >= 0] >> 8] = True
+        for raw, (score, (n,)) in ends.items():
+            self.ends[node[raw]], self.gain[node[raw]] = n, score
+        self.spelled = np.array([self.bytes.get(b, self.unknown) for b in range(256)], np.int32)
 
     def words(self, text: str) -> list[str]:
         """Marked words: each run of spaces goes with what follows it; their concatenation is the marked text."""
@@ -96,34 +118,136 @@ class Pieces:
         return on, how
 
     def encode_words(self, words: list[str]) -> dict[str, Sequence[int]]:
-        """Piece numbers of distinct words.
-
-        Sorted, the words are the trie's leaves in depth-first order: forward scores up to the prefix that a word
-        shares with the one before it are kept, and only the rest of its path is scored. With each score stand the
-        pieces that are still open there, as nodes of the vocabulary's own trie. Words of ``LONG`` characters or more
-        go by themselves, so that a text without spaces does not keep its positions.
-        """
-        paths, back, out, last = [[(self.trie, 0.0, 0)]], [(-1, ())], {}, ""
-        for word in sorted(set(words)):
+        """Piece numbers of distinct words; those of ``LONG`` characters or more go by themselves, so that a text without
+        spaces does not keep its positions."""
+        out: dict[str, Sequence[int]] = {}
+        some = [w for w in dict.fromkeys(words) if len(w) < LONG]
+        raw = [w.replace(MARK, " ").encode() for w in some]
+        ids, edge = self.encode_bytes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        flat, at = ids.tolist(), edge.tolist()
+        for n, word in enumerate(some):
+            out[word] = tuple(flat[at[n] : at[n + 1]])
+        for word in words:
             if len(word) >= LONG:
                 out[word] = self.encode_long(word)
-                continue
-            shared, most = 0, min(len(word), len(last))
-            while shared < most and word[shared] == last[shared]:
-                shared += 1
-            del paths[shared + 1 :], back[shared + 1 :]
-            for end in range(shared, len(word)):
-                on, how = self._step(word[end], paths[end], end)
-                paths.append(on)
-                back.append(how)
-            ids, at = [], len(word)
-            while at > 0:
-                at, own = back[at]
-                ids.append(own)
-            out[word] = tuple(n for own in reversed(ids) for n in own)
-            last = word
         return out
 
+    def encode_bytes(self, buf: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of words and where each word's begin, as ``edge`` tells for their bytes (UTF-8, marks as spaces).
+
+        At most ``_TRIE`` bytes of words, or one word, are encoded at once.
+        """
+        done = [self._encode(buf[edge[a] : edge[b]], edge[a : b + 1] - edge[a]) for a, b in W.row_ranges(edge, _TRIE)]
+        size = np.concatenate([np.zeros(1, np.int64), *[n for _, n in done]])
+        return np.concatenate([np.zeros(0, np.int32), *[ids for ids, _ in done]]), np.cumsum(size)
+
+    def _encode(self, buf: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece numbers of words and their count in each.
+
+        The words' own trie is walked one byte deeper for all its nodes at a time; words with the same first 16 bytes share
+        their nodes, and with them the forward scores. With each node stand the states open there, the earliest start first:
+        node of the vocabulary's trie, score at the start, node of the start. Every node at the end of a character keeps the
+        best last piece and the node before it, by which the pieces are read back from the words' ends.
+        """
+        start, size = edge[:-1], np.diff(edge)
+        total = len(buf) + 1
+        score, count, depth = np.zeros(total), np.zeros(total, np.int32), np.zeros(total, np.int32)
+        back, last = np.zeros(total, np.int32), np.full(total, -1, np.int32)
+        ahead = np.concatenate((buf, np.zeros(16, np.uint8)))
+        head = np.zeros((len(size), 16), np.uint8)
+        for n in range(16):
+            head[:, n] = np.where(size > n, ahead[start + n], 0)
+        head = head.view(">u8").astype(np.uint64)
+        order = np.lexsort((head[:, 1], head[:, 0]))
+        order = order[size[order] > 0]
+        leaf = np.zeros(len(size), np.int32)
+        here = np.zeros(len(order), np.int64)  # each word's node, counted from the level's first one
+        first, open_ = np.zeros(1, np.int64), np.ones(1, np.int64)
+        node, base, since = np.zeros(1, np.int64), np.zeros(1), np.zeros(1, np.int32)
+        rest, char, offset, nodes, level = np.zeros(1, np.int8), np.zeros(1, np.int32), 0, 1, 0
+        while len(order):
+            byte = buf[start[order] + level]
+            new = np.ones(len(order), bool)
+            new[1:] = (here[1:] != here[:-1]) | (byte[1:] != byte[:-1])
+            parent, byte = here[new], byte[new]
+            here, level = np.cumsum(new) - 1, level + 1
+            own = np.arange(nodes, nodes + len(parent), dtype=np.int32)
+            begins = rest[parent] == 0
+            char = np.where(begins, parent + offset, char[parent]).astype(np.int32)
+            rest = np.where(begins, _LEAD[byte], rest[parent] - 1).astype(np.int8)
+            whole = rest == 0
+            # the parent's open states, one byte on
+            many = open_[parent]
+            state, of = _ranges(first[parent], many), np.repeat(np.arange(len(parent)), many)
+            wanted = (node[state] << 8) | byte[of]
+            at = np.minimum(np.searchsorted(self.edge, wanted), len(self.edge) - 1)
+            met = np.flatnonzero(self.edge[at] == wanted)
+            node, of, state = self.below[at[met]], of[met], state[met]
+            base, since = base[state], since[state]
+            # the best last piece: of equal ones the first, which is the longest
+            top, how, piece, single = np.full(len(parent), -np.inf), char.copy(), np.full(len(parent), -1, np.int32), np.zeros(len(parent), bool)
+            full = np.flatnonzero(self.ends[node] >= 0)
+            if len(full):
+                to, reached = of[full], base[full] + self.gain[node[full]]
+                group = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+                top[to[group]] = np.maximum.reduceat(reached, group)
+                best = np.flatnonzero(reached == top[to])
+                best = best[np.concatenate(([True], to[best][1:] != to[best][:-1]))]
+                how[to[best]], piece[to[best]] = since[full[best]], self.ends[node[full[best]]]
+                single[to[since[full] == char[to]]] = True
+            # a character that is no piece may be spelled
+            alone = np.flatnonzero(whole & ~single)
+            made = np.ones(len(parent), np.int32)
+            if len(alone):
+                bytes_ = self._spelled(level - depth[char[alone]], byte[alone])
+                spelled = score[char[alone]] + _UNKNOWN * bytes_
+                better = spelled > top[alone]
+                alone = alone[better]
+                top[alone], how[alone], piece[alone], made[alone] = spelled[better], char[alone], -1, bytes_[better]
+            score[own], back[own], last[own], depth[own] = top, how, piece, level
+            count[own] = count[how] + made
+            # what is open now: the states that can go on, and one from here where a character ends
+            on = np.flatnonzero(self.inner[node])
+            upto = np.concatenate(([0], np.cumsum(whole)))
+            kept = np.bincount(of[on], minlength=len(parent))
+            open_ = kept + whole
+            first = np.cumsum(open_) - open_
+            fill, fresh = np.arange(len(on)) + upto[of[on]], (first + kept)[whole]
+            states = [np.zeros(len(on) + len(fresh), t) for t in (np.int64, np.float64, np.int32)]
+            for x, old, now in zip(states, (node, base, since), (0, top[whole], own[whole]), strict=True):
+                x[fill], x[fresh] = old[on], now
+            node, base, since = states
+            offset, nodes = nodes, nodes + len(parent)
+            going = size[order] > level
+            leaf[order[~going]] = own[here[~going]]
+            order, here = order[going], here[going]
+        return self._read_back(buf, start, leaf, back, last, count, depth)
+
+    def _spelled(self, width: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """How many pieces spell characters of ``width`` bytes that end with ``byte``."""
+        return np.where(byte == 32, len(MARK.encode()), width).astype(np.int32) if self.bytes else np.ones(len(width), np.int32)
+
+    def _read_back(self, buf, start, leaf, back, last, count, depth) -> tuple[np.ndarray, np.ndarray]:
+        size = count[leaf].astype(np.int64)
+        at = np.cumsum(size) - size
+        out = np.zeros(int(size.sum()), np.int32)
+        word = np.flatnonzero(leaf)
+        node = leaf[word]
+        while len(word):
+            before, piece = back[node], last[node]
+            to = at[word] + count[before]
+            out[to] = piece
+            own = np.flatnonzero(piece < 0)
+            if len(own):
+                spells, char = (count[node] - count[before])[own], (start[word] + depth[before])[own]
+                for n in range(int(spells.max())):
+                    more = spells > n
+                    byte = buf[char[more] if n == 0 else np.minimum(char[more] + n, len(buf) - 1)]
+                    byte = np.where(buf[char[more]] == 32, MARK.encode()[min(n, 2)], byte)
+                    out[to[own[more]] + n] = self.spelled[byte] if self.bytes else self.unknown
+            word, node = word[before > 0], before[before > 0]
+        return out, size
+
     def encode_long(self, word: str) -> array:
         """Piece numbers of one word of any length, the same as by ``encode_words``.
 
@@ -173,13 +297,56 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(size.sum())
 
 
+def _by_row(buf: np.ndarray, offsets: np.ndarray, change: Callable[[bytes], bytes]) -> tuple[np.ndarray, np.ndarray]:
+    rows = [change(buf[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+    return np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+
+
+def _is_utf8(buf: np.ndarray, offsets: np.ndarray) -> bool:
+    """Whether each row is, not only all together."""
+    try:
+        buf.tobytes().decode()
+    except UnicodeDecodeError:
+        return False
+    return not (buf[offsets[:-1][offsets[:-1] < len(buf)]] & 0xC0 == 0x80).any()
+
+
 class Encoder:
     """Encodes slices of texts; remembers the pieces of words in at most about ``CACHE_BYTES``."""
 
     def __init__(self, model_file: str):
         self.pieces = Pieces(model_file)
-        self.known: dict[tuple[bytes, bool], Sequence[int]] = {}
-        self.held = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """``known`` has the remembered words' hashes in order, ``place`` their numbers; ``raw`` and ``ids`` hold the words'
+        bytes and pieces one after the other, each word's from its ``edge`` on."""
+        self.known, self.place, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.raw, self.raw_edge = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.edge = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _remember(self, key: np.ndarray, raw: np.ndarray, raw_edge: np.ndarray, ids: np.ndarray, edge: np.ndarray) -> None:
+        self.place = np.concatenate((self.place, len(self.edge) - 1 + np.arange(len(key))))
+        self.known = np.concatenate((self.known, key))
+        order = np.argsort(self.known, kind="stable")
+        self.known, self.place = self.known[order], self.place[order]
+        self.raw, self.raw_edge = np.concatenate((self.raw, raw)), np.concatenate((self.raw_edge, self.raw_edge[-1] + raw_edge[1:]))
+        self.ids, self.edge = np.concatenate((self.ids, ids)), np.concatenate((self.edge, self.edge[-1] + edge[1:]))
+        parts = (self.known, self.place, self.raw, self.raw_edge, self.ids, self.edge)
+        self.held = 3 * sum(x.nbytes for x in parts)  # while words are added, the old, the new and the sorted stand side by side
+
+    def _recall(self, key: np.ndarray, raw: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """The number of each remembered word, or -1; words are compared byte by byte."""
+        if not len(self.known):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
+        found, size = self.place[at], np.diff(edge)
+        met = np.flatnonzero((self.known[at] == key) & (np.diff(self.raw_edge)[found] == size))
+        alike = raw[_ranges(edge[met], size[met])] == self.raw[_ranges(self.raw_edge[found[met]], size[met])]
+        met = met[np.diff(np.concatenate(([0], np.cumsum(alike)))[np.concatenate(([0], np.cumsum(size[met])))]) == size[met]]
+        out = np.full(len(key), -1)
+        out[met] = found[met]
+        return out
 
     def slice(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all rows, and where each row's begin.
@@ -188,8 +355,9 @@ class Encoder:
         Words are told apart by hash inside the slice, so each distinct one is looked up once.
         """
         if MARK.encode() in buf.tobytes():  # a mark in a text counts as a space, as in the library
-            rows = [buf[a:b].tobytes().replace(MARK.encode(), b" ") for a, b in zip(offsets[:-1], offsets[1:])]
-            buf, offsets = np.frombuffer(b"".join(rows), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+            buf, offsets = _by_row(buf, offsets, lambda row: row.replace(MARK.encode(), b" "))
+        if not _is_utf8(buf, offsets):
+            buf, offsets = _by_row(buf, offsets, lambda row: row.decode("utf-8", "replace").encode())
         n = len(buf)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
@@ -202,25 +370,31 @@ class Encoder:
         start = np.flatnonzero(begin | head)
         end = np.append(start[1:], n)
         key = W.mix(W.span_hashes(W._prefix(W._BYTE[buf], 0), start, end, 0) + (end - start).astype(np.uint64) + head[start] * np.uint64(1 << 40))
-        _, one, which = np.unique(key, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        own = [(raw[a:b], bool(h)) for a, b, h in zip(start[one].tolist(), end[one].tolist(), head[start[one]].tolist())]
-        fresh = [w for w in own if w not in self.known]
+        key, one, which = np.unique(key, return_index=True, return_inverse=True)
+        # the distinct words' bytes, with a space for the mark of a row's beginning
+        lead = (head[start[one]] & self.pieces.prefix).astype(np.int64)
+        size = end[one] - start[one]
+        edge = np.concatenate(([0], np.cumsum(size + lead)))
+        raw = np.full(edge[-1], 32, np.uint8)
+        raw[_ranges(edge[:-1] + lead, size)] = buf[_ranges(start[one], size)]
         if self.held > CACHE_BYTES:
-            self.known, self.held, fresh = {}, 0, own
-        marked = {w: (MARK if w[1] and self.pieces.prefix else "") + w[0].decode("utf-8", "replace").replace(" ", MARK) for w in fresh}
-        made = self.pieces.encode_words(list(marked.values()))
-        now = {w: made[m] for w, m in marked.items()}
-        ids = [now[w] if w in now else self.known[w] for w in own]
-        for w, own_ids in now.items():
-            if len(w[0]) < LONG:
-                self.known[w] = own_ids
-                self.held += 250 + len(w[0]) + 36 * len(own_ids)  # a dict's slot, two objects and their parts, a number each
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
-        at = np.concatenate(([0], np.cumsum(size)))[:-1]
+            self._forget()
+        seen = self._recall(key, raw, edge)
+        size = np.diff(edge)
+        long, fresh = np.flatnonzero(size >= LONG), np.flatnonzero((size < LONG) & (seen < 0))
+        own, own_edge = raw[_ranges(edge[fresh], size[fresh])], np.concatenate(([0], np.cumsum(size[fresh])))
+        made, made_edge = self.pieces.encode_bytes(own, own_edge)
+        whole = [self.pieces.encode_long(raw[a:b].tobytes().decode().replace(" ", MARK)) for a, b in zip(edge[long].tolist(), edge[long + 1].tolist())]
+        # each distinct word's pieces: remembered, encoded now, or long
+        flat = np.concatenate([self.ids, made, *[np.frombuffer(x, np.int32) for x in whole]])
+        told = np.concatenate([np.diff(self.edge), np.diff(made_edge), np.array([len(x) for x in whole], np.int64)])
+        number = seen.copy()
+        number[fresh], number[long] = len(self.edge) - 1 + np.arange(len(fresh)), len(told) - len(long) + np.arange(len(long))
+        at, size = (np.cumsum(told) - told)[number], told[number]
         out = flat[_ranges(at[which], size[which])]
         upto = np.concatenate(([0], np.cumsum(size[which])))
+        if len(fresh):
+            self._remember(key[fresh], own, own_edge, made, made_edge)
         return out, upto[np.searchsorted(start, offsets)]
 
 
