@@ -68,12 +68,14 @@ def sentence_spans(words: DataFrame) -> DataFrame:
         f"{KEY} long, _run long, word_ix long, start double, end double, text string, speaker string, "
         "cut_start double, cut_end double, _part long",
     )
-    w = w.where("not _long").select(*cols, F.lit(0).cast("long").alias("_part")).unionByName(walked)
     first, last = F.min_by(F.struct("start", "cut_start"), "word_ix"), F.max_by(F.struct("end", "cut_end", "speaker"), "word_ix")
-    s = w.groupBy(KEY, "_run", "_part").agg(
+    joined = [
         first.alias("f"), last.alias("l"), F.min("word_ix").alias("first_word"), F.max("word_ix").alias("last_word"),
         F.array_sort(F.collect_list(F.struct("word_ix", "text"))).alias("_t"),
-    )
+    ]
+    # a run is in one of the two; the short ones are joined where the window over runs has put them
+    s = w.where("not _long").groupBy(KEY, "_run").agg(*joined).withColumn("_part", F.lit(0).cast("long"))
+    s = s.unionByName(walked.groupBy(KEY, "_run", "_part").agg(*joined))
     return s.select(
         KEY, F.coalesce("f.cut_start", "f.start").alias("start"), F.coalesce("l.cut_end", "l.end").alias("end"),
         F.col("f.start").alias("first"), F.col("l.end").alias("last"), F.array_join("_t.text", " ").alias("text"),
@@ -99,21 +101,32 @@ def _limit_length():
     return step
 
 
-def sentences(cues: DataFrame, lex: Lexicon = ENGLISH, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
+def fragments(text: Column, lex: Lexicon = ENGLISH) -> Column:
+    """The sentences, or parts of one, that a cue's cleaned text holds."""
+    return F.filter(F.transform(tx.split_sentences(tx.clean_text(text, lex)), lambda p: F.btrim(p, F.lit(" ,"))), lambda p: p != "")
+
+
+def sentences(
+    cues: DataFrame, lex: Lexicon = ENGLISH, keys: tuple[str, ...] = (KEY,), parts: Column | None = None, short: bool = False
+) -> DataFrame:
     """Sentences rejoined across cues; each starts where the cue of its first fragment starts.
 
-    ``keys`` may hold more than the recording (one moment's cues, say).
+    ``keys`` may hold more than the recording (one moment's cues, say); with ``short`` each of their groups is known to be
+    small, and stays in one piece. ``parts`` are the fragments of a cue, if they have been worked out before.
     """
     keys = list(keys)
-    parts = F.filter(
-        F.transform(tx.split_sentences(tx.clean_text(F.col("text"), lex)), lambda p: F.btrim(p, F.lit(" ,"))), lambda p: p != ""
-    )
+    parts = fragments(F.col("text"), lex) if parts is None else parts
     p = cues.select(*keys, "cue_ix", "start", "speaker", F.posexplode(parts).alias("_pos", "_p"))
     p = p.withColumn("_ends", F.col("_p").rlike(tx.TERMINAL_MARK))
     order, chunk = ["cue_ix", "_pos"], by_index("cue_ix", CHUNK_ROWS // 4)
-    p = scan(p, keys, order, chunk, _prev=before(F.struct("_ends", "speaker")))
+    w = Window.partitionBy(*keys).orderBy(*order)
     opens = F.col("_prev").isNull() | F.col("_prev._ends") | ~F.col("_prev.speaker").eqNullSafe(F.col("speaker"))
-    p = scan(p.withColumn("_o", opens.cast("long")).drop("_prev"), keys, order, chunk, sent_ix=total(F.col("_o")))
+    if short:
+        p = p.withColumn("_prev", F.lag(F.struct("_ends", "speaker")).over(w)).withColumn("_o", opens.cast("long")).drop("_prev")
+        p = p.withColumn("sent_ix", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        p = scan(p, keys, order, chunk, _prev=before(F.struct("_ends", "speaker")))
+        p = scan(p.withColumn("_o", opens.cast("long")).drop("_prev"), keys, order, chunk, sent_ix=total(F.col("_o")))
     at = F.struct("cue_ix", "_pos")
     s = p.groupBy(*keys, "sent_ix").agg(
         F.min_by(F.struct("start", "speaker"), at).alias("h"),
@@ -338,9 +351,11 @@ def top_topics(lines: DataFrame, k: int = 3, keys: tuple[str, ...] = (KEY,), lex
     return n.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def best_sentence(cues: DataFrame, keys: tuple[str, ...] = (KEY,), lex: Lexicon = ENGLISH) -> DataFrame:
-    """A5: the most substantive sentence of each group of cues, cleaned."""
-    s = sentences(cues, lex, keys)
+def best_sentence(
+    cues: DataFrame, keys: tuple[str, ...] = (KEY,), lex: Lexicon = ENGLISH, parts: Column | None = None, short: bool = False
+) -> DataFrame:
+    """A5: the most substantive sentence of each group of cues, cleaned. ``parts`` and ``short`` as in ``sentences``."""
+    s = sentences(cues, lex, keys, parts, short)
     order = F.struct(F.round(tx.score_sentence(F.col("text"), None, lex), 9), F.length("text"), -F.col("sent_ix"))
     return s.groupBy(*keys).agg(F.max_by("text", order).alias("_t")).select(*keys, tx.clean_text(F.col("_t"), lex).alias("text"))
 
