@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.scans import cut_lineage
@@ -14,24 +17,35 @@ RANK_CELLS = 1 << 16
 NEAR = 300_000
 """Rows (at most 60 bytes each) up to which a side of a join is sent to every task; more are joined by a shuffle."""
 _ROUNDS = (10,)
-LONG = 90
-"""Words from which on a line has a second signature, as 64 bits no longer tell long lines apart."""
-_SPACES = "[\\x20\\x09-\\x0D]+"
-_WORD = "[^\\x20\\x09-\\x0D]"
+LONG = 40
+"""Words from which on a line has a second signature, of its frequent words, as those 64 bits no longer tell long lines apart."""
+_GAPS = "\t\x0b\x0c\r"
+
+
+def _blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" " + _GAPS)) == ""
+
 
+def _lines(text: Column) -> Column:
+    """A text's lines with one kind of gap, so that a line's words are its pieces between spaces, but for empty ones."""
+    odd = F.contains(text, F.lit(_GAPS[0]))
+    for gap in _GAPS[1:]:
+        odd = odd | F.contains(text, F.lit(gap))
+    return _split(F.when(odd, F.translate(text, _GAPS, " " * len(_GAPS))).otherwise(text))
 
-def words(line: Column) -> Column:
-    """A line's words; one empty word if it has none. Only lines with other gaps than one space need the pattern."""
-    line = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(F.contains(line, F.lit("  ")) | line.rlike("[\\x09-\\x0D]"), F.split(line, _SPACES)).otherwise(F.split(line, " "))
+
+def _cell(h: Column, cells: int) -> Column:
+    """The cell of a word's hash: its upper bits."""
+    return F.shiftrightunsigned(h, 65 - cells.bit_length())
 
 
 def word_ranks(docs: DataFrame, text: str = "text", cells: int = RANK_CELLS) -> bytearray:
-    """For each cell of word hashes one more than the logarithm of how often its words occur, over all of ``docs``; 1 says
-    that the cell has one word that occurs once. It comes to the driver as strings of cell (5 hex digits) and rank (one
+    """For each cell of word hashes one more than twice the logarithm of how often its words occur, over all of ``docs``; 1
+    says that the cell has one word that occurs once. It comes to the driver as strings of cell (5 hex digits) and rank (one
     letter) for each 1024 cells."""
-    word = docs.select(F.explode(F.split(F.col(text), _SPACES)).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).cast("int").alias("cell"))
-    rank = F.least(F.lit(31), F.floor(F.log2(F.count(F.lit(1)))).cast("int") + 1)
+    word = docs.select(F.explode(_lines(F.col(text))).alias("line")).select(F.explode(F.split("line", " ")).alias("w"))
+    word = word.select(_cell(F.xxhash64("w"), cells).cast("int").alias("cell"))
+    rank = F.least(F.lit(63), F.floor(2 * F.log2(F.count(F.lit(1)))).cast("int") + 1)
     told = F.concat(F.lpad(F.hex("cell"), 5, "0"), F.char(F.col("rank") + 64)).alias("told")
     each = word.groupBy("cell").agg(rank.alias("rank")).select(F.shiftright("cell", 10).alias("part"), told)
     out = bytearray(cells)
@@ -41,16 +55,35 @@ def word_ranks(docs: DataFrame, text: str = "text", cells: int = RANK_CELLS) ->
     return out
 
 
-def _sets(lines: Column, ranks: bytearray) -> Column:
-    """A line's distinct words as numbers, the rarest first: rank in the upper bits, hash below."""
-    table = F.lit(ranks)
+@dataclass(frozen=True)
+class WordOrder:
+    """The order of words, from rare to frequent: what turns a hash into a number that sorts so (for each cell), the least
+    number that may occur twice, and the number below which about half of all words lie."""
+
+    turn: np.ndarray
+    twice: int
+    half: int
+
+    @staticmethod
+    def of(ranks: bytearray) -> WordOrder:
+        rank, low = np.frombuffer(bytes(ranks), np.uint8), 65 - len(ranks).bit_length()
+        cell, by_rank = np.arange(len(rank)), np.argsort(rank, kind="stable")
+        place = np.empty_like(cell)
+        place[by_rank] = cell
+        weight = np.cumsum(np.where(rank > 0, 2.0 ** ((rank - 1.0) / 2), 0.0)[by_rank])
+        number = lambda n: min((int(n) << low) - (1 << 63), (1 << 63) - 1)
+        turn = ((cell ^ place ^ len(rank) // 2).astype(np.uint64) << np.uint64(low)).view(np.int64)
+        return WordOrder(turn, number((rank <= 1).sum()), number(np.searchsorted(weight, weight[-1] / 2)))
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.ascii(F.substring(table, h.bitwiseAND(F.lit(len(ranks) - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 58).bitwiseOR(F.shiftrightunsigned(h, 6))
 
-    return F.sort_array(F.array_distinct(F.transform(words(lines), token)))
+def _sets(line: Column, order: WordOrder) -> Column:
+    """A line's distinct words as numbers, the rarest first: the place of the cell in the upper bits, the rest of the hash
+    below. The line is one of ``_lines``."""
+    hashes = F.array_except(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    # one text that Spark folds into an array: an array sent from here is sent number by number
+    turn = F.split(F.lit(",".join(map(str, order.turn.tolist()))), ",").cast("array<bigint>")
+    # a value that can't be null, or the array would be sorted as objects
+    return F.sort_array(F.transform(hashes, lambda h: h.bitwiseXOR(F.coalesce(turn[_cell(h, len(order.turn))], F.lit(0).cast("long")))))
 
 
 def _row_key(key: str, text: str) -> Column:
@@ -69,26 +102,27 @@ def _pair_filters() -> Column:
     length = bottom * F.least(a("n"), b("n")) >= top * F.greatest(a("n"), b("n"))
     # both prefixes meet here first: what follows bounds what they share
     position = (top + bottom) * F.least(a("n") - a("at"), b("n") - b("at")) >= top * total
-    # words that one line alone has are at least as many as the bits in which the signatures differ; of long lines the
-    # second one has the words of odd hash, which leaves the even ones to the first
+    # words that one line alone has are at least as many as the bits in which the signatures differ: the first one of the
+    # rarer words, the second one of the others, if both lines are long
     one, two = a("parity").bitwiseXOR(b("parity")), a("parity2").bitwiseXOR(b("parity2"))
-    differ = F.when((a("n") > LONG) & (b("n") > LONG), F.bit_count(one.bitwiseXOR(two)) + F.bit_count(two)).otherwise(F.bit_count(one))
-    parity = (top + bottom) * differ <= (bottom - top) * total
-    return (a("word") == b("word")) & parity & length & position
+    differ = F.bit_count(one) + F.when((a("n") > LONG) & (b("n") > LONG), F.bit_count(two)).otherwise(0)
+    near = lambda bits: (top + bottom) * bits <= (bottom - top) * total
+    # most pairs end at the first test, so it reads little
+    return (a("word") == b("word")) & near(F.bit_count(one)) & length & position & near(differ)
 
 
-def line_classes(docs: DataFrame, key: str, text: str, ranks: bytearray) -> DataFrame:
+def line_classes(docs: DataFrame, key: str, text: str, words: WordOrder) -> DataFrame:
     """Distinct sets of words with their first line: ``id``, ``n``, two signatures, ``first`` (key, line, row, prefix)."""
     top, bottom = SIMILAR
-    rows = docs.select(F.col(key).alias("key"), _row_key(key, text).alias("row"), F.posexplode(_split(F.col(text))).alias("line", "_text"))
-    rows = rows.where(F.col("_text").rlike(_WORD)).select("key", "row", "line", _sets(F.col("_text"), ranks).alias("_set"))
-    n = F.size("_set")
+    rows = docs.select(F.col(key).alias("key"), _row_key(key, text).alias("row"), F.posexplode(_lines(F.col(text))).alias("line", "_text"))
+    rows = rows.where(~_blank(F.col("_text"))).select("key", "row", "line", _sets(F.col("_text"), words).alias("_set"))
+    n, half = F.size("_set"), F.lit(words.half).cast("long")
+    rows = rows.select("*", F.array_position(F.sort_array(F.concat("_set", F.array(half))), half).cast("int").alias("_half"))
     zero, bit = F.lit(0).cast("long"), lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))
-    parity = F.aggregate("_set", zero, lambda s, w: s.bitwiseXOR(bit(w)))
-    odd = F.filter("_set", lambda w: w.bitwiseAND(F.lit(64)) != 0)
-    parity2 = F.when(n > LONG, F.aggregate(odd, zero, lambda s, w: s.bitwiseXOR(bit(w)))).otherwise(zero)
-    prefix = F.transform(F.slice("_set", 1, n - F.ceil(n * top / bottom).cast("int") + 1), lambda w: F.when(w >= F.lit(2 << 58), w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
-    # a word that occurs once (rank 1) meets no other line: it keeps its place, without a posting
+    sign = lambda own: F.aggregate(own, zero, lambda s, w: s.bitwiseXOR(bit(w)))
+    parity, parity2 = sign(F.slice("_set", 1, F.col("_half") - 1)), F.when(n > LONG, sign(F.slice("_set", F.col("_half"), n))).otherwise(zero)
+    # a word that occurs once meets no other line: it keeps its place, without a posting
+    prefix = F.transform(F.slice("_set", 1, n - F.ceil(n * top / bottom).cast("int") + 1), lambda w: F.when(w >= F.lit(words.twice), w.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")))
     # sets of three words or fewer match equal sets only
     prefix = F.when(n > bottom - 2, prefix).otherwise(F.array().cast("array<int>"))
     rows = rows.select(F.xxhash64("_set").alias("id"), n.alias("n"), parity.alias("parity"), parity2.alias("parity2"),
@@ -110,8 +144,8 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     not removed yet with the first few of each list and then with the next ones, so that many variants of one line don't
     meet in all pairs. Jaccard is checked on the whole sets.
     """
-    ranks = word_ranks(docs, text)
-    classes = cut_lineage(line_classes(docs, key, text, ranks))
+    words = WordOrder.of(word_ranks(docs, text))
+    classes = cut_lineage(line_classes(docs, key, text, words))
     post = classes.select("id", "n", "parity", "parity2", F.posexplode("first.prefix").alias("at", "word")).where("word is not null")
     met = cut_lineage(post.alias("b").join(post.alias("a"), _pair_filters() & (F.col("a.id") != F.col("b.id")), "left_semi"))
     found = met.join(classes.select("id", "first.key", "first.line", "first.row"), "id")
@@ -119,7 +153,7 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     lists = cut_lineage(found.withColumn("place", F.row_number().over(order)))
     removed = None
     if lists.where("place > 1").head(1):
-        sets = cut_lineage(_whole_sets(docs, text, key, lists, ranks))
+        sets = cut_lineage(_whole_sets(docs, text, key, lists, words))
         first = _pairs(lists.where("place <= 2"), lists).groupBy("ib", "ia").agg(F.count(F.lit(1)).alias("n"))
         first = first.groupBy("ib").agg(F.max(F.struct("n", "ia"))["ia"].alias("ia"))
         removed, low = cut_lineage(_alike(first, sets)), 0
@@ -155,13 +189,13 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(enough).select(F.col("ib").alias("id")).distinct()
 
 
-def _whole_sets(docs: DataFrame, text: str, key: str, lists: DataFrame, ranks: bytearray) -> DataFrame:
+def _whole_sets(docs: DataFrame, text: str, key: str, lists: DataFrame, words: WordOrder) -> DataFrame:
     """``id`` and ``set`` of the classes in ``lists``, read again from the texts of their first lines."""
     need = lists.groupBy("row").agg(F.collect_set("line").alias("_lines"))
     few = need.count() <= NEAR and lists.select("row", "line").distinct().count() <= NEAR
     rows = docs.select(_row_key(key, text).alias("row"), F.col(text).alias("_text")).join(F.broadcast(need) if few else need, "row")
-    own = rows.select(F.posexplode(_split(F.col("_text"))).alias("line", "_line"), "_lines").where(F.array_contains("_lines", F.col("line")))
-    return own.select(_sets(F.col("_line"), ranks).alias("set")).select(F.xxhash64("set").alias("id"), "set").dropDuplicates(["id"])
+    own = rows.select(F.posexplode(_lines(F.col("_text"))).alias("line", "_line"), "_lines").where(F.array_contains("_lines", F.col("line")))
+    return own.select(_sets(F.col("_line"), words).alias("set")).select(F.xxhash64("set").alias("id"), "set").dropDuplicates(["id"])
 
 
 def line_decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,7 +203,7 @@ def line_decisions(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     A null text has no lines; an empty one has one, without words. See ``repeated_lines``.
     """
-    blank = F.array_compact(F.transform(_split(F.col(text)), lambda x, i: F.when(~x.rlike(_WORD), i)))
+    blank = F.array_compact(F.transform(_split(F.col(text)), lambda x, i: F.when(_blank(x), i)))
     rows = docs.select(key, _row_key(key, text).alias("row"), F.when(F.col(text).isNull(), 0).otherwise(F.size(_split(F.col(text)))).cast("long").alias("n_lines"),
                        F.when(F.col(text).isNull(), F.array().cast("array<int>")).otherwise(blank).alias("_blank"))
     out = rows.join(repeated_lines(docs, key, text), "row", "left")
@@ -183,6 +217,6 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     row, own = free_names(names, "_row", "_kept")
     kept = repeated_lines(docs, key, text).select(F.col("row").alias(row), F.col("kept").alias(own))
     out = docs.withColumn(row, _row_key(key, text)).join(kept, row, "left")
-    stays = lambda x, i: ~x.rlike(_WORD) | F.coalesce(F.array_contains(own, i), F.lit(False))
+    stays = lambda x, i: _blank(x) | F.coalesce(F.array_contains(own, i), F.lit(False))
     cut = F.array_join(F.filter(_split(F.col(text)), stays), "\n")
     return out.withColumn(text, F.when(F.col(text).isNotNull(), cut)).select(*names)

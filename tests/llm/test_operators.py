@@ -200,6 +200,28 @@ def test_repeated_rows_fare_alike(spark):
     assert got == [(0, [0]), (1, [1]), (1, [1]), (2, [])]
 
 
+def test_line_words_are_counted_finely_and_hashed_once(spark):
+    """Ranks tell 4 from 6 occurrences, and a set hashes each word once, without a pattern."""
+    docs = spark.createDataFrame([(1, "\n".join(["a a a a b b b b b b c"]))], "doc_id long, text string")
+    ranks = lines.word_ranks(docs)
+    assert sorted(r for r in ranks if r) == [1, 5, 6]
+    order = lines.WordOrder.of(ranks)
+    plan = lines.line_classes(docs, "doc_id", "text", order)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(lambda") == 1 and "RLIKE" not in plan and "ascii" not in plan
+    assert "cast(split" not in plan  # the table of the order is folded once, not worked out for each word
+    sets = spark.createDataFrame([("b a c a  b ",)], "t string").select(lines._sets(F.col("t"), order).alias("s")).first()["s"]
+    hashes = spark.sql("select xxhash64('c') c, xxhash64('a') a, xxhash64('b') b").first()
+    low = (1 << 48) - 1
+    assert [w & low for w in sets] == [h & low for h in hashes] and sets[0] < order.twice <= sets[1]
+
+
+def test_lines_with_other_gaps(spark):
+    texts = ["a b c d e\n\t\x0b \n  a\tb  c d\r\ne\x0cf\r\n", "\r\nf e \n d c b a\n   ", "e\u00a0f\n\u2003\n\u2003 ", "", None]
+    rows = list(enumerate(texts))
+    got = by_id(lines.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: got[i]["kept_lines"] for i, _ in rows} == brute.kept_lines(rows)
+
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 
 
