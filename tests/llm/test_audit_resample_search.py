@@ -192,3 +192,18 @@ def test_search_of_little(spark):
     rows = [(0, [1.0, 2.0]), (50, [3e30, -1.0]), (7, [-3e30, 2.0])]
     got = sorted(map(tuple, pivots.search(spark.createDataFrame(rows, kind)).collect()))
     assert [r[:3] for r in got] == [(0, 1, 50), (0, 2, 7), (50, 1, 0), (50, 2, 7)] and got[3][3] == -(2**63)
+
+
+def test_search_sends_no_lists_to_the_driver(spark, monkeypatch):
+    """The lists of queries for all rings are no broadcast, and of the sample's candidates the driver gets a few times SAMPLE."""
+    monkeypatch.setattr(pivots, "RING_ROWS", 8)
+    monkeypatch.setattr(pivots, "SAMPLE", 20)
+    plans, sent, inner, whole = [], [], pivots._compared, type(spark.range(0)).limit
+    monkeypatch.setattr(pivots, "_compared", lambda *a: (lambda c: (plans.append(c._jdf.queryExecution().toString()), c)[1])(inner(*a)))
+    monkeypatch.setattr(type(spark.range(0)), "limit", lambda df, n: (sent.append(df.count()), whole(df, n))[1])
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, pivots.search(df).collect())) == search_plain(rows)
+    assert plans and all("SortMergeJoin [ring" in p and "BroadcastHashJoin [ring" not in p for p in plans)
+    assert 20 <= max(sent) < 100
