@@ -42,6 +42,24 @@ def overlap_join(
     return out.drop(BIN, "_l0", "_r0")
 
 
+HOME = "_home"
+
+
+def homes(moments: DataFrame, lo: Column, hi: Column, width: float, keys: Sequence[str] = (KEY,)) -> tuple[DataFrame, DataFrame]:
+    """``moments`` with ``_home``, the stretch of ``width`` in which ``lo`` lies, and for each home the last stretch that one
+    of its moments reaches (``_to``)."""
+    first, last = _bins(lo, hi, width)
+    own = moments.withColumn(HOME, first)
+    reach = moments.select(*keys, first.alias(HOME), last.alias("_to")).groupBy(*keys, HOME).agg(F.max("_to").alias("_to"))
+    return own, reach.where(F.col(HOME).isNotNull() & F.col("_to").isNotNull())
+
+
+def at_homes(reach: DataFrame, rows: DataFrame, row_range: tuple[str | Column, str | Column], width: float, keys: Sequence[str] = (KEY,)) -> DataFrame:
+    """``rows`` with ``_home``: once for each home whose moments may meet them, so that a row travels once or twice and not
+    once for each moment. Which moments of the home it does meet is for the caller to say."""
+    return overlap_join(rows, reach, row_range, ((F.col(HOME) + 0.5) * width, (F.col("_to") + 0.5) * width), width, keys=keys).drop("_to")
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -67,7 +85,7 @@ def asof_join(
     rhs = right.select(*keys, *stamp(right_at), payload.alias("_best"))
     line = lhs.unionByName(rhs, allowMissingColumns=True)
     kind = peak_before if backward else low_after
-    out = scan(line, keys, ["_t", "_tie"], by_time("_t", chunk_seconds), _hit=kind(F.col("_best")))
+    out = scan(line, keys, ["_t", "_tie"], by_time("_t", chunk_seconds), drop=["_best"], _hit=kind(F.col("_best")))
     out = out.where(F.col("_row").isNotNull())
     out = out.select(*keys, *[F.col("_row." + c) for c in left.columns if c not in keys], F.col("_hit").alias(name))
     # as-of joins come in chains, and each reads its input twice: the rows asked about are written between them

@@ -73,13 +73,14 @@ def by_time(t: str, seconds: float) -> Column:
     return F.floor(F.col(t) / seconds)
 
 
-def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, **values: Running) -> DataFrame:
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column, drop: Sequence[str] = (), **values: Running) -> DataFrame:
     """``df`` plus one column per running value; ``order`` must be total within a key and follow ``chunk``.
 
-    All columns of ``df`` travel, whether they are used later or not: select before.
+    All columns of ``df`` travel, whether they are used later or not: select before. Those in ``drop`` serve the values only.
     """
     keys, order = list(keys), list(order)
-    row = F.struct(*[F.col(c) for c in df.columns if c not in keys], *[r.value.alias("_v_" + n) for n, r in values.items()])
+    kept = [c for c in df.columns if c not in drop]
+    row = F.struct(*[F.col(c) for c in kept if c not in keys], *[r.value.alias("_v_" + n) for n, r in values.items()])
     src = df.select(*keys, chunk.alias(CHUNK), row.alias("_row")).repartition(*keys, CHUNK)
     of = lambda c: F.col(c if c in keys else "_row." + c)
     at = F.struct(*[of(c).alias(c) for c in order])
@@ -145,7 +146,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column
             v = F.coalesce(mine, theirs)
         return v.alias(name)
 
-    return out.select(*[of(c).alias(c) for c in df.columns], *[merged(n, r) for n, r in values.items()])
+    return out.select(*[of(c).alias(c) for c in kept], *[merged(n, r) for n, r in values.items()])
 
 
 def with_neighbours(

@@ -532,7 +532,7 @@ def w4_finish_thought(s, d):
 
 def w14_cut_moments(s, d):
     lex = Lexicon(hard_fillers=("that", "le", "de"))
-    x = cuts.cut_moments(_requests(s, d), staged(s, d, "timed_words"), _silences(s, d), lex=lex)
+    x = cuts.cut_moments(_requests(s, d), staged(s, d, "timed_words"), _silences(s, d), annotated=staged(s, d, "annotated"), lex=lex)
     return x.select(KEY, "req_ix", "fillers", "embedded", "intact", F.size("segments").alias("segments"), _r(F.col("silence_seconds")).alias("silence_seconds"))
 
 

@@ -140,3 +140,23 @@ def test_resolve_and_fit(spark):
     assert sorted((r.moment_ix, r.start, r.end) for r in kept.collect()) == [(0, 0.0, 30.0), (1, 30.0, 60.0), (3, 200.0, 220.0)]
     assert {r.moment_ix for r in notes.collect()} == {1, 2}
     assert {r.moment_ix for r in pk.fit_moments(m, 1.0).collect()} == {1}
+
+
+def test_context_is_exact_and_travels_by_stretch(spark):
+    """Words and silences of a moment over several stretches, none from outside; rows travel to stretches, not to moments."""
+    words = [(r, k, k * 1.5 + r, k * 1.5 + r + (400.0 if k == 3 else 1.0), f"w{k}", k % 11 != 5) for r in (1, 2) for k in range(600)]
+    sil = [(r, k * 7.0, k * 7.0 + 2.0) for r in (1, 2) for k in range(130)]
+    moments = [(r, n, s, s + d) for r in (1, 2) for n, (s, d) in enumerate([(0.0, 5.0), (100.0, 30.0), (119.9, 0.2), (121.0, 500.0), (890.0, 100.0), (5000.0, 3.0)])]
+    moments += [(1, n, 200.0 + n % 40, 230.0 + n % 40) for n in range(6, 80)] + [(None, 0, 1.0, 2.0), (3, 0, 1.0, 2.0), (1, 999, None, 4.0)]
+    m = spark.createDataFrame(moments, f"{sc.KEY} long, req_ix long, start double, end double")
+    w = spark.createDataFrame(words, f"{sc.KEY} long, word_ix long, start double, end double, text string, timed boolean")
+    q = spark.createDataFrame(sil, f"{sc.KEY} long, start double, end double")
+    x = cuts.with_context(m, w, q)
+    got = {(r[sc.KEY], r.req_ix): ([v.text for v in r.words], [v.a for v in r.silences]) for r in x.collect()}
+    want = {}
+    for r, n, s, e in moments:
+        met = lambda rows, a, b: [v for v in rows if s is not None and v[0] == r and v[a] <= e + 3 and v[b] >= s - 3]  # noqa: E731, B023
+        want[r, n] = [v[4] for v in met([v for v in words if v[5]], 2, 3)], [v[1] for v in met(sil, 1, 2)]
+    assert got == want
+    dealt = cuts.at_homes(cuts.homes(m, F.col("start") - 3, F.col("end") + 3, 120.0)[1], q, ("start", "end"), 120.0)
+    assert dealt.count() < 3 * len(sil)
