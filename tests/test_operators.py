@@ -160,3 +160,23 @@ def test_context_is_exact_and_travels_by_stretch(spark):
     assert got == want
     dealt = cuts.at_homes(cuts.homes(m, F.col("start") - 3, F.col("end") + 3, 120.0)[1], q, ("start", "end"), 120.0)
     assert dealt.count() < 3 * len(sil)
+
+
+def test_moment_texts_by_stretch(spark, monkeypatch):
+    """Cues are written once for each stretch of time, not for each moment, and say the same as the cues of each moment."""
+    rnd = random.Random(5)
+    said = ["We decided this.", "Then it", "works, and that is the lesson of", "the whole day.", "Why?", "Because the build is green now."]
+    cues = [(r, k, k * 3.0, k * 3.0 + 3.0, rnd.choice(said), rnd.choice(["ann", "bob", None])) for r in (1, 2) for k in range(90)]
+    moments = [(r, n, s, s + rnd.choice([4.0, 30.0, 200.0])) for r in (1, 2) for n, s in enumerate(rnd.uniform(0, 270) for _ in range(60))]
+    moments += [(None, 0, 1.0, 9.0), (3, 0, 1.0, 9.0), (1, 60, None, 9.0), (2, 60, 9000.0, 9010.0)]
+    c = spark.createDataFrame(cues, f"{sc.KEY} long, cue_ix int, start double, end double, text string, speaker string")
+    m = spark.createDataFrame(moments, f"{sc.KEY} long, moment_ix long, start double, end double")
+    spans = m.select(sc.KEY, "moment_ix", F.col("start").alias("m_start"), F.col("end").alias("m_end"))
+    want = pk.moment_texts(m, c, inside=iv.cues_in_moment(spans, c))
+    written, inner = [], pk.cut_lineage
+    monkeypatch.setattr(pk, "cut_lineage", lambda df: (lambda out: (written.append(out.count()), out)[1])(inner(df)))
+    got = pk.moment_texts(m, c)
+    assert got.columns == want.columns
+    key = lambda r: (str(r[0]), r[1])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert sum(written) < 4 * len(cues)
